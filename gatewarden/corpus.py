@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewarden.functions.sql import literal, pick
+
 # Step lines, chosen by number.
 STEP_LINES = (
     "      - run: echo ${{ github.event.issue.title }}",
@@ -64,6 +66,10 @@ PERMISSIONS = (
     "permissions: { issues: read, contents: write }",
     "permissions:",
 )
+JOBS = "jobs:\n  build:\n    steps:"
+SCRIPT_HEAD = "      - name: note\n        run: |\n          "
+SCRIPT_BREAK = "\n          "
+SCRIPT_TAIL = "echo ${{ github.event.issue.title }}"
 # Fixed values: (extension, language).
 EXTENSION_LANGUAGE = (
     (".go", "go"),
@@ -107,7 +113,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    # A pattern, because a plain path would have to be a folder.
+    return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -116,8 +123,8 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def _pick(values: tuple[str | None, ...], number: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), number.cast("int"))
+def _pick(values: tuple[str | None, ...], number: str) -> Column:
+    return F.expr(pick(values, number))
 
 
 def repo_name(repo_id: Column) -> Column:
@@ -135,28 +142,23 @@ def _shift_indent(line: str) -> str:
     return line[: len(line) - len(body)] + (" " if body else "") + body
 
 
-def _content(fid: Column, body: Column) -> Column:
+def _content(fid: str, body: str) -> str:
     """Header, body and, for some file numbers, an irregularity."""
-    block = F.when(
-        (fid % 8 == 3) & (F.floor(fid / 64) % 2 == 1), F.lit(TRIGGERS_AT_COLUMN_0)
-    ).otherwise(_pick(TRIGGERS, fid % 8))
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("name: wf"), fid.cast("string")),
-        block,
-        _pick(PERMISSIONS, F.floor(fid / 8) % 8),
-        F.when(fid % 31 == 13, F.lit("permissions: read-all\npermissions: read-all")),
-        F.lit("jobs:\n  build:\n    steps:"),
-        F.when(fid % 29 == 11, F.lit("\tbad: tab")),
-        body,
-        F.when(fid % 17 == 7, F.lit("")),
+    triggers = (
+        f"if({fid} % 8 = 3 and {fid} div 64 % 2 = 1, {literal(TRIGGERS_AT_COLUMN_0)}, "
+        f"{pick(TRIGGERS, f'{fid} % 8')})"
+    )
+    twice = literal("permissions: read-all\npermissions: read-all")
+    text = (
+        f"concat_ws('\\n', concat('name: wf', {fid}), {triggers}, "
+        f"{pick(PERMISSIONS, f'{fid} div 8 % 8')}, if({fid} % 31 = 13, {twice}, null), "
+        f"{literal(JOBS)}, if({fid} % 29 = 11, '\\tbad: tab', null), {body}, "
+        f"if({fid} % 17 = 7, '', null))"
     )
     return (
-        F.when(fid % 37 == 17, F.lit(""))
-        .when(fid % 41 == 19, F.lit("# nothing here"))
-        .when(fid % 43 == 23, F.lit("- item\n- other"))
-        .when(fid % 11 == 3, F.replace(text, F.lit("\n"), F.lit("\r\n")))
-        .otherwise(text)
+        f"case when {fid} % 37 = 17 then '' when {fid} % 41 = 19 then '# nothing here' "
+        f"when {fid} % 43 = 23 then '- item\\n- other' "
+        f"else replace({text}, '\\n', if({fid} % 11 = 3, '\\r\\n', '\\n')) end"
     )
 
 
@@ -168,45 +170,29 @@ def workflow_files(spark: SparkSession, sf_dir: str, stream: bool = False) -> Da
             return stream_table(spark, sf_dir, name).select(*columns)
         return _spread(table(spark, sf_dir, name).select(*columns))
 
-    fid = F.col("o_orderkey")
-    repo = F.floor(fid / 6)
-    shifted = tuple(_shift_indent(s) for s in STEP_LINES)
-
-    def step(i: Column) -> Column:
-        number = (
-            F.col("o_custkey") * 7 + fid * 5 + i * i * 2 + i * (F.col("o_custkey") % 13 + 1)
-        ) % 27
-        return F.when(fid % 13 == 5, _pick(shifted, number)).otherwise(
-            _pick(STEP_LINES, number)
-        )
-
-    steps = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("o_custkey") % 45 + 3), step
+    number = "(o_custkey * 7 + o_orderkey * 5 + i * i * 2 + i * (o_custkey % 13 + 1)) % 27"
+    shifted = [_shift_indent(s) for s in STEP_LINES]
+    steps = (
+        "array_join(transform(sequence(0, o_custkey % 45 + 3), i -> "
+        f"if(o_orderkey % 13 = 5, {pick(shifted, number)}, {pick(STEP_LINES, number)})), '\\n')"
     )
-    from_orders = source("orders", "o_orderkey", "o_custkey").select(
-        repo_name(repo).alias("full_name"),
-        repo.cast("long").alias("repo_ord"),
-        (fid % 6).cast("int").alias("wf_ord"),
-        workflow_path(fid).alias("path"),
-        _content(fid, F.array_join(steps, "\n")).alias("content"),
+    from_orders = source("orders", "o_orderkey", "o_custkey").selectExpr(
+        "concat('org', o_orderkey div 6 % 7, '/repo', o_orderkey div 6) as full_name",
+        "o_orderkey div 6 as repo_ord",
+        "cast(o_orderkey % 6 as int) as wf_ord",
+        "concat('.github/workflows/wf', o_orderkey, '.yml') as path",
+        f"{_content('o_orderkey', steps)} as content",
     )
-    doc = F.col("doc_id")
-    script = F.concat(
-        F.lit("      - name: note\n        run: |\n          "),
-        F.replace(F.col("text"), F.lit("\n"), F.lit("\n          ")),
-        F.when(doc % 3 == 0, F.lit("\n          echo ${{ github.event.issue.title }}")).otherwise(
-            F.lit("")
-        ),
+    script = (
+        f"concat({literal(SCRIPT_HEAD)}, replace(text, '\\n', {literal(SCRIPT_BREAK)}), "
+        f"if(doc_id % 3 = 0, {literal(SCRIPT_BREAK + SCRIPT_TAIL)}, ''))"
     )
-    group = F.floor(doc / 4)
-    from_documents = source("documents", "doc_id", "text", "source").select(
-        F.concat(F.lit("docs/"), F.col("source"), F.lit("-"), group.cast("string")).alias(
-            "full_name"
-        ),
-        (-1 - group).cast("long").alias("repo_ord"),
-        (doc % 4).cast("int").alias("wf_ord"),
-        F.concat(F.lit(".github/workflows/doc"), doc.cast("string"), F.lit(".yaml")).alias("path"),
-        _content(doc, script).alias("content"),
+    from_documents = source("documents", "doc_id", "text", "source").selectExpr(
+        "concat('docs/', source, '-', doc_id div 4) as full_name",
+        "-1 - doc_id div 4 as repo_ord",
+        "cast(doc_id % 4 as int) as wf_ord",
+        "concat('.github/workflows/doc', doc_id, '.yaml') as path",
+        f"{_content('doc_id', script)} as content",
     )
     return from_orders.unionByName(from_documents)
 
@@ -288,7 +274,7 @@ def repo_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "customer").select(
         full.alias("full_name"),
-        _pick(META_LANGUAGES, key % 13).alias("language"),
+        _pick(META_LANGUAGES, "c_custkey % 13").alias("language"),
         (key % 3 == 0).alias("is_fork"),
         F.timestamp_seconds(F.lit(1600000000) + key * 3600).alias("created_at"),
         F.timestamp_seconds(F.lit(1700000000) + seconds).alias("updated_at"),
@@ -308,18 +294,14 @@ def registry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``full_name, path``: files of repositories; one row per line item."""
-    repo = F.floor(F.col("l_orderkey") / 48)
-    number = F.col("l_partkey").cast("string")
     choice = (
-        F.when(repo % 5 == 0, F.lit(5))
-        .when(repo % 5 == 1, F.lit(20))
-        .when(repo % 5 == 2, F.col("l_partkey") % 2 * 6 + F.col("l_linenumber") % 2 * 8)
-        .otherwise(F.col("l_partkey") % 23)
+        "case l_orderkey div 48 % 5 when 0 then 5 when 1 then 20 "
+        "when 2 then l_partkey % 2 * 6 + l_linenumber % 2 * 8 else l_partkey % 23 end"
     )
     return table(spark, sf_dir, "lineitem").select(
-        repo_name(repo).alias("full_name"),
+        repo_name(F.expr("l_orderkey div 48")).alias("full_name"),
         F.concat(
-            _pick(TREE_DIRECTORIES, F.col("l_suppkey") % 9),
-            F.replace(_pick(TREE_NAMES, choice), F.lit("{}"), number),
+            _pick(TREE_DIRECTORIES, "l_suppkey % 9"),
+            F.replace(_pick(TREE_NAMES, choice), F.lit("{}"), F.col("l_partkey").cast("string")),
         ).alias("path"),
     )

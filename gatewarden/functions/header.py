@@ -8,8 +8,9 @@ nested syntax errors go unnoticed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from gatewarden.functions.sql import literal
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_-]*"
 _KEY = rf"""(?:{_NAME}|"{_NAME}"|'{_NAME}')[ \t]*:(?=[ \t\r]|$)"""
@@ -20,85 +21,89 @@ _MISPLACED = (
 )
 _ITEM_AT_START = r"(?dm)^-(?:[ \t\r]|$)"
 _SECTION_START = r"\n(?=[A-Za-z_\"'])"
-
-
 # Name of the key that opens a section; empty when the section opens otherwise.
 _KEY_OF_SECTION = rf"(?d)\A[\"']?({_NAME})[\"']?[ \t]*:(?![^ \t\r\n])"
+_COMMENT = r"(?dm)(^|[ \t])#.*$"
+_LINE_END = r"(?dm)[ \t\r]+$"
+_REST = r"^[^:]*:[ \t]*(.*)$"
+_CONTENTS = r"""^[ ]*["']?contents["']?[ ]*:[ ]*["']?([A-Za-z-]+)["']?[ ]*$"""
+
+
+def _replace(text: str, pattern: str) -> str:
+    return f"regexp_replace({text}, {literal(pattern)}, '')"
+
 
+def _clean_lines(section: str) -> str:
+    bare = _replace(_replace(section, _COMMENT), _LINE_END)
+    return f"filter(split({bare}, {literal(chr(10))}, -1), x -> x <> '' and x <> '---')"
 
-def _clean_lines(section: Column) -> Column:
-    bare = F.regexp_replace(section, r"(?dm)(^|[ \t])#.*$", "")
-    bare = F.regexp_replace(bare, r"(?dm)[ \t\r]+$", "")
-    return F.filter(F.split(bare, "\n", -1), lambda x: (x != "") & (x != "---"))
 
+def _section_of(key: str) -> str:
+    at = f"cast(array_position(_keys, '{key}') as int)"
+    return f"if({at} > 0, {_clean_lines(f'get(_sections, {at} - 1)')}, null)"
 
-def _unquote(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"""^["']|["']$""", "")
 
+def _rest_and_children(lines: str) -> str:
+    rest = f"regexp_extract(get({lines}, 0), {literal(_REST)}, 1)"
+    children = f"slice({lines}, 2, greatest(size({lines}) - 1, 0))"
+    return (
+        f"if({lines} is null, null, named_struct('rest', {rest}, 'children', {children}))"
+    )
 
-def _item_name(item: Column) -> Column:
-    text = F.regexp_replace(F.ltrim(item), r"^-[ \t]+", "")
-    return _unquote(F.substring_index(text, ":", 1))
 
+def _unquote(text: str) -> str:
+    return _replace(f"trim({text})", r"""^["']|["']$""")
 
-def _flow_entries(text: Column) -> Column:
-    inner = F.regexp_replace(F.trim(text), r"^[\[{]|[\]}]$", "")
-    inner = F.regexp_replace(inner, r"\[[^\[\]]*\]", "")
-    inner = F.regexp_replace(inner, r"\{[^{}]*\}", "")
-    return F.filter(F.split(inner, ",", -1), lambda x: F.trim(x) != "")
 
+def _item_name(item: str) -> str:
+    return _unquote(f"substring_index({_replace(f'ltrim({item})', '^-[ ' + chr(9) + ']+')}, ':', 1)")
 
-def _flow_text(section: Column) -> Column:
-    return F.concat_ws(" ", section["rest"], F.array_join(section["children"], " "))
 
+def _flow_entries(section: str) -> str:
+    text = f"trim(concat_ws(' ', {section}.rest, array_join({section}.children, ' ')))"
+    inner = _replace(_replace(_replace(text, r"^[\[{]|[\]}]$"), r"\[[^\[\]]*\]"), r"\{[^{}]*\}")
+    return f"filter(split({inner}, ',', -1), x -> trim(x) <> '')"
 
-def _indent(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, "^( *)", 1))
 
+def _indent(line: str) -> str:
+    return f"length(regexp_extract({line}, '^( *)', 1))"
 
-def _first_level(section: Column) -> Column:
-    children = section["children"]
-    return F.filter(children, lambda x: _indent(x) == _indent(F.get(children, F.lit(0))))
 
+def _first_level(section: str) -> str:
+    first = _indent(f"get({section}.children, 0)")
+    return f"filter({section}.children, x -> {_indent('x')} = {first})"
 
-def _form(section: Column) -> Column:
-    rest = section["rest"]
-    first = F.get(section["children"], F.lit(0))
+
+def _form(section: str) -> str:
+    first = f"get({section}.children, 0)"
     return (
-        F.when(section.isNull(), F.lit("absent"))
-        .when(rest.startswith("["), F.lit("flow list"))
-        .when(rest.startswith("{"), F.lit("flow map"))
-        .when(rest != "", F.lit("scalar"))
-        .when(first.isNull(), F.lit("empty"))
-        .when(F.ltrim(first).rlike("^-(?: |$)"), F.lit("block list"))
-        .otherwise(F.lit("block map"))
+        f"case when {section} is null then 'absent' "
+        f"when startswith({section}.rest, '[') then 'flow list' "
+        f"when startswith({section}.rest, '{{') then 'flow map' "
+        f"when {section}.rest <> '' then 'scalar' "
+        f"when {first} is null then 'empty' "
+        f"when ltrim({first}) rlike '^-(?: |$)' then 'block list' else 'block map' end"
     )
 
 
-def _triggers(section: Column, form: Column) -> Column:
+def _triggers(section: str, form: str) -> str:
     names = (
-        F.when(form == "scalar", F.array(_unquote(section["rest"])))
-        .when(
-            form.isin("flow list", "flow map"),
-            F.transform(_flow_entries(_flow_text(section)), _item_name),
-        )
-        .when(
-            form.isin("block list", "block map"),
-            F.transform(_first_level(section), _item_name),
-        )
+        f"case when {form} = 'scalar' then array({_unquote(f'{section}.rest')}) "
+        f"when {form} in ('flow list', 'flow map') then "
+        f"transform({_flow_entries(section)}, e -> {_item_name('e')}) "
+        f"when {form} in ('block list', 'block map') then "
+        f"transform({_first_level(section)}, e -> {_item_name('e')}) end"
     )
-    return F.coalesce(F.filter(names, lambda x: x != ""), F.array().cast("array<string>"))
-
+    return f"coalesce(filter({names}, n -> n <> ''), cast(array() as array<string>))"
 
-_CONTENTS = r"""^[ ]*["']?contents["']?[ ]*:[ ]*["']?([A-Za-z-]+)["']?[ ]*$"""
 
-
-def _contents(section: Column, form: Column) -> Column:
-    entries = F.when(form == "flow map", _flow_entries(_flow_text(section))).when(
-        form == "block map", _first_level(section)
+def _contents(section: str, form: str) -> str:
+    entries = (
+        f"case when {form} = 'flow map' then {_flow_entries(section)} "
+        f"when {form} = 'block map' then {_first_level(section)} end"
     )
-    found = F.get(F.filter(entries, lambda x: x.rlike(_CONTENTS)), F.lit(0))
-    return F.regexp_extract(found, _CONTENTS, 1)
+    found = f"get(filter({entries}, e -> e rlike {literal(_CONTENTS)}), 0)"
+    return f"coalesce(regexp_extract({found}, {literal(_CONTENTS)}, 1), '')"
 
 
 def with_header(files: DataFrame, content: str = "content", out: str = "header") -> DataFrame:
@@ -107,60 +112,38 @@ def with_header(files: DataFrame, content: str = "content", out: str = "header")
     The stages are separate projections so that each shared part is computed
     once for a row; none of them moves rows between tasks.
     """
-    keep = files.columns
-    sections, keys = F.col("_sections"), F.col("_keys")
-
-    def section_of(key: str) -> Column:
-        at = F.array_position(keys, key).cast("int")
-        return F.when(at > 0, _clean_lines(F.get(sections, at - 1)))
-
-    def rest_and_children(lines: str) -> Column:
-        return F.when(
-            F.col(lines).isNotNull(),
-            F.struct(
-                F.regexp_extract(F.get(lines, F.lit(0)), r"^[^:]*:[ \t]*(.*)$", 1).alias("rest"),
-                F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("children"),
-            ),
-        )
-
-    staged = files.select(
-        *keep, F.split(F.col(content), _SECTION_START, -1).alias("_sections")
-    )
-    staged = staged.select(
-        *keep, sections,
-        F.transform(sections, lambda s: F.regexp_extract(s, _KEY_OF_SECTION, 1)).alias("_keys"),
-    )
-    staged = staged.select(
-        *keep,
-        keys,
-        F.get(sections, F.lit(0)).alias("_preamble"),
-        section_of("on").alias("_on_lines"),
-        section_of("permissions").alias("_perm_lines"),
-    )
-    staged = staged.select(
-        *keep, keys, "_preamble",
-        rest_and_children("_on_lines").alias("_on"),
-        rest_and_children("_perm_lines").alias("_perm"),
-    )
-    staged = staged.select(
-        *keep, keys, "_preamble", "_on", "_perm",
-        _form(F.col("_on")).alias("_on_form"),
-        _form(F.col("_perm")).alias("_perm_form"),
+    keep = [f"`{c}`" for c in files.columns]
+    named = "filter(_keys, k -> k <> '')"
+    parse_ok = (
+        f"length({content}) > 0 and not {content} rlike {literal(_MISPLACED)} "
+        f"and not (get(_keys, 0) = '' and _preamble rlike {literal(_ITEM_AT_START)}) "
+        f"and size({named}) = size(array_distinct({named}))"
     )
-    named = F.filter(keys, lambda k: k != "")
-    unique_keys = F.size(named) == F.size(F.array_distinct(named))
-    item_first = (F.get(keys, F.lit(0)) == "") & F.col("_preamble").rlike(_ITEM_AT_START)
-    return staged.select(
-        *keep,
-        F.struct(
-            (
-                (F.length(content) > 0)
-                & ~F.col(content).rlike(_MISPLACED)
-                & ~item_first
-                & unique_keys
-            ).alias("parse_ok"),
-            F.col("_perm_form").alias("permissions_form"),
-            F.coalesce(_contents(F.col("_perm"), F.col("_perm_form")), F.lit("")).alias("contents"),
-            _triggers(F.col("_on"), F.col("_on_form")).alias("triggers"),
-        ).alias(out),
+    return (
+        files.selectExpr(*keep, f"split({content}, {literal(_SECTION_START)}, -1) as _sections")
+        .selectExpr(
+            *keep, "_sections",
+            f"transform(_sections, s -> regexp_extract(s, {literal(_KEY_OF_SECTION)}, 1)) as _keys",
+        )
+        .selectExpr(
+            *keep, "_keys", "get(_sections, 0) as _preamble",
+            f"{_section_of('on')} as _on_lines",
+            f"{_section_of('permissions')} as _perm_lines",
+        )
+        .selectExpr(
+            *keep, "_keys", "_preamble",
+            f"{_rest_and_children('_on_lines')} as _on",
+            f"{_rest_and_children('_perm_lines')} as _perm",
+        )
+        .selectExpr(
+            *keep, "_keys", "_preamble", "_on", "_perm",
+            f"{_form('_on')} as _on_form",
+            f"{_form('_perm')} as _perm_form",
+        )
+        .selectExpr(
+            *keep,
+            f"named_struct('parse_ok', {parse_ok}, 'permissions_form', _perm_form, "
+            f"'contents', {_contents('_perm', '_perm_form')}, "
+            f"'triggers', {_triggers('_on', '_on_form')}) as {out}",
+        )
     )

@@ -13,10 +13,10 @@ atomic group, which finds the same lines and stays linear on very long ones.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from gatewarden.functions.sql import all_of, literal
 
 HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 SEVERITIES = (HIGH, MEDIUM, LOW)
@@ -179,28 +179,29 @@ class LineRule:
     high_pattern: str | None = None
     trimmed: bool = False
 
-    def shown(self, raw: Column, trimmed: Column) -> Column:
+    def shown(self, raw: str, trimmed: str) -> str:
         return trimmed if self.trimmed else raw
 
-    def matches(self, raw: Column, trimmed: Column) -> Column:
+    def matches(self, raw: str, trimmed: str) -> str:
+        """SQL test over the names of the raw and the trimmed line, cheap parts first."""
         text = self.shown(raw, trimmed)
-        tests = [raw.contains(n) for n in self.needles]
+        tests = [f"contains({raw}, {literal(n)})" for n in self.needles]
         if self.starts_with:
-            tests.append(text.startswith(self.starts_with))
-        tests.extend(~raw.contains(x) for x in self.excluded)
+            tests.append(f"startswith({text}, {literal(self.starts_with)})")
+        tests.extend(f"not contains({raw}, {literal(x)})" for x in self.excluded)
         if self.guard_pattern:
-            tests.append(text.rlike(self.guard_pattern))
-        tests.append(text.rlike(self.pattern))
+            tests.append(f"{text} rlike {literal(self.guard_pattern)}")
+        tests.append(f"{text} rlike {literal(self.pattern)}")
         if self.excluded_pattern:
-            tests.append(~text.rlike(self.excluded_pattern))
-        return reduce(lambda a, b: a & b, tests)
+            tests.append(f"not {text} rlike {literal(self.excluded_pattern)}")
+        return all_of(tests)
 
-    def severity(self, raw: Column, trimmed: Column) -> Column:
-        plain = F.lit(self.entry.severity)
+    def severity(self, raw: str, trimmed: str) -> str:
+        plain = literal(self.entry.severity)
         if self.high_pattern is None:
             return plain
-        raised = self.shown(raw, trimmed).rlike(self.high_pattern)
-        return F.when(raised, F.lit(HIGH)).otherwise(plain)
+        text = self.shown(raw, trimmed)
+        return f"if({text} rlike {literal(self.high_pattern)}, {literal(HIGH)}, {plain})"
 
 
 def _event_in_run(fields: str) -> str:

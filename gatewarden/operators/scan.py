@@ -10,165 +10,146 @@ the generated code of the stage.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewarden.functions import sql
 from gatewarden.functions.header import with_header
-from gatewarden.functions.text import split_lines, unicode_trim
+from gatewarden.functions.sql import literal
+from gatewarden.functions.text import UNICODE_SPACE
 from gatewarden.operators import rules as R
 
 FILE_KEYS = ("full_name", "repo_ord", "wf_ord", "path")
 # Order in which findings are reported.
 FINDING_ORDER = ("repo_ord", "wf_ord", "detector_ord", "emit_pos", "rule_ord")
+_FINDING = {
+    "rule_id": "string",
+    "detector_ord": "int",
+    "rule_ord": "int",
+    "emit_pos": "int",
+    "type": "string",
+    "severity": "string",
+    "line": "int",
+    "details": "string",
+}
+_ITEM = _FINDING | {"near": "boolean"}
+_LINES = "split(content, '\\n', -1)"
+
 
 def workflow_lines(files: DataFrame) -> DataFrame:
     """Long form: one row per line with its 1-based number."""
     keys = [c for c in FILE_KEYS if c in files.columns]
-    return files.where(F.length("content") > 0).select(
-        *keys, F.posexplode(split_lines(F.col("content"))).alias("pos", "line")
-    ).select(*keys, (F.col("pos") + 1).alias("line_no"), "line")
-
-
-def _item(entry: R.CatalogEntry | None, severity: Column, line: Column, details: Column,
-          emit_pos: Column, near: Column | None = None) -> Column:
-    """A finding, or (without ``entry``) a line that the line rules still test."""
-    none = F.lit(None)
-    return F.struct(
-        (F.lit(entry.rule_id) if entry else none.cast("string")).alias("rule_id"),
-        (F.lit(entry.detector_ord) if entry else none.cast("int")).alias("detector_ord"),
-        (F.lit(entry.rule_ord) if entry else none.cast("int")).alias("rule_ord"),
-        emit_pos.cast("int").alias("emit_pos"),
-        (F.lit(entry.type) if entry else none.cast("string")).alias("type"),
-        severity.alias("severity"),
-        line.cast("int").alias("line"),
-        details.alias("details"),
-        (none.cast("boolean") if near is None else near).alias("near"),
+    return (
+        files.where("length(content) > 0")
+        .selectExpr(*keys, f"posexplode({_LINES}) as (pos, line)")
+        .selectExpr(*keys, "pos + 1 as line_no", "line")
     )
 
 
-_ITEM = (
-    "struct<rule_id:string,detector_ord:int,rule_ord:int,emit_pos:int,"
-    "type:string,severity:string,line:int,details:string,near:boolean>"
-)
-_FIELDS = (
-    "rule_id", "detector_ord", "rule_ord", "emit_pos", "type", "severity", "line", "details",
-)
+def _trim(text: str) -> str:
+    return f"btrim({text}, {literal(UNICODE_SPACE)})"
 
 
-def _finding(entry: R.CatalogEntry, line: Column, details: Column, emit_pos: Column) -> Column:
-    return _item(entry, F.lit(entry.severity), line, details, emit_pos)
+def _item(**given: str) -> str:
+    """A finding, or (without a rule) a line that the line rules still test."""
+    fields = {k: f"cast(null as {t})" for k, t in _ITEM.items()} | given
+    return sql.struct(**fields)
 
 
-def _file_finding(rule_id: str, emit_pos: Column | None = None) -> Column:
-    return F.array(
-        _finding(
-            R.ENTRY[rule_id], F.lit(0), F.lit(R.FILE_DETAILS[rule_id]),
-            F.lit(0) if emit_pos is None else emit_pos,
-        )
+def _finding(rule_id: str, line: str, details: str, emit_pos: str) -> str:
+    e = R.ENTRY[rule_id]
+    return _item(
+        rule_id=literal(e.rule_id),
+        detector_ord=str(e.detector_ord),
+        rule_ord=str(e.rule_ord),
+        emit_pos=emit_pos,
+        type=literal(e.type),
+        severity=literal(e.severity),
+        line=line,
+        details=details,
     )
 
 
-def _around(lines: Column, number: Column, before: int, after: int) -> Column:
-    """Lines from ``before`` above to ``after`` below line ``number`` (1-based)."""
-    first = F.greatest(number - before, F.lit(1))
-    return F.slice(lines, first, number + after - first + 1)
+def _file_finding(rule_id: str, emit_pos: str = "0") -> str:
+    return f"array({_finding(rule_id, '0', literal(R.FILE_DETAILS[rule_id]), emit_pos)})"
 
 
-def _candidate_items(lines: Column, needles: Iterable[str], token_rule: bool) -> Column:
-    """Lines with one of the needles. For token lines also: permissions nearby?"""
-
-    def item(x: Column, i: Column) -> Column:
-        near = F.lit(None).cast("boolean")
-        if token_rule:
-            near = F.when(
-                x.contains("secrets.GITHUB_TOKEN"),
-                F.exists(_around(lines, i + 1, 10, 9), lambda y: y.contains("permissions:")),
-            )
-        return F.when(
-            _contains_any(x, needles),
-            _item(None, F.lit(None).cast("string"), i + 1, x, i + 1, near),
-        )
-
-    return F.filter(F.transform(lines, item), lambda c: c.isNotNull())
+def _around(number: str, before: int, after: int) -> str:
+    """Lines from ``before`` above to ``after`` below line ``number`` (1-based)."""
+    first = f"greatest({number} - {before}, 1)"
+    return f"slice(lines, {first}, {number} + {after} - {first} + 1)"
 
 
-def _ref_kind(line: Column) -> Column:
-    return F.when(
-        line.contains("github.event.pull_request."),
-        F.when(line.rlike(R.SAFE_REF), "safe").when(line.rlike(R.UNSAFE_REF), "unsafe"),
-    )
+def _candidates(needles: Iterable[str], token_rule: bool) -> str:
+    """Lines with one of the needles. For token lines also: permissions nearby?"""
+    given = {"emit_pos": "i + 1", "line": "i + 1", "details": "x"}
+    if token_rule:
+        near = f"exists({_around('(i + 1)', 10, 9)}, y -> contains(y, 'permissions:'))"
+        given["near"] = f"if(contains(x, 'secrets.GITHUB_TOKEN'), {near}, null)"
+    item = f"if({sql.contains_any('x', needles)}, {_item(**given)}, null)"
+    return f"filter(transform(lines, (x, i) -> {item}), c -> c is not null)"
 
 
-def _checkouts(lines: Column, candidates: Column) -> Column:
+def _checkouts() -> str:
     """Each checkout line with the first ref found from 5 above to 4 below it."""
-    checkouts = F.filter(candidates, lambda c: c["details"].rlike(R.CHECKOUT_LINE))
-
-    def with_ref(c: Column) -> Column:
-        first = F.greatest(c["line"] - 5, F.lit(1))
-        refs = F.transform(
-            _around(lines, c["line"], 5, 4),
-            lambda x, i: F.struct((first + i).alias("no"), _ref_kind(x).alias("kind")),
-        )
-        ref = F.get(F.filter(refs, lambda r: r["kind"].isNotNull()), F.lit(0))
-        return F.struct(c["line"].alias("no"), ref["no"].alias("ref_no"), ref["kind"].alias("kind"))
-
-    return F.transform(checkouts, with_ref)
+    kind = (
+        "case when not contains(x, 'github.event.pull_request.') then null "
+        f"when x rlike {literal(R.SAFE_REF)} then 'safe' "
+        f"when x rlike {literal(R.UNSAFE_REF)} then 'unsafe' end"
+    )
+    number = "cast(greatest(c.line - 5, 1) + i as int)"
+    refs = (
+        f"transform({_around('c.line', 5, 4)}, (x, i) -> named_struct('no', {number}, 'kind', {kind}))"
+    )
+    checkouts = f"filter(candidates, c -> c.details rlike {literal(R.CHECKOUT_LINE)})"
+    return (
+        f"transform({checkouts}, c -> named_struct('no', c.line, "
+        f"'ref', get(filter({refs}, r -> r.kind is not null), 0)))"
+    )
 
 
-def _unsafe_ref_hits(lines: Column, checkouts: Column) -> Column:
-    entry = R.ENTRY["R10"]
-    return F.transform(
-        F.filter(checkouts, lambda c: c["kind"] == "unsafe"),
-        lambda c: _finding(entry, c["ref_no"], F.get(lines, c["ref_no"] - 1), c["no"]),
-    )
+def _unsafe_refs() -> str:
+    finding = _finding("R10", "c.ref.no", "get(lines, c.ref.no - 1)", "c.no")
+    return f"transform(filter(checkouts, c -> c.ref.kind = 'unsafe'), c -> {finding})"
 
 
-def _executes_foreign_code(lines: Column, checkouts: Column) -> Column:
-    """A checkout exists, the last one that met a ref met no safe one, commands run."""
-    decided = F.filter(checkouts, lambda c: c["kind"].isNotNull())
-    last = F.try_element_at(decided, F.lit(-1))["kind"]
-    return (
-        (F.size(checkouts) > 0)
-        & (F.coalesce(last, F.lit("none")) != "safe")
-        & F.exists(lines, lambda x: x.contains("run:"))
-    )
+# A checkout exists, the last one that met a ref met no safe one, commands run.
+_EXECUTES = (
+    "size(checkouts) > 0 and coalesce("
+    "try_element_at(filter(checkouts, c -> c.ref is not null), -1).ref.kind, 'none') <> 'safe' "
+    "and exists(lines, x -> contains(x, 'run:'))"
+)
 
 
-def _script_hits(lines: Column) -> Column:
+def _script_hits() -> str:
     """Event data in multi-line scripts.
 
     The file is written as a string of marks: ``S`` opens a script, ``E`` closes
     it, ``C<n>`` is a suspicious line n. Marks after an ``S`` and before the next
     ``S`` or ``E`` are hits, which needs one pass whatever the size of the file.
     """
-    entry = R.ENTRY["R12"]
-
-    def suspicious(x: Column) -> Column:
-        tests = [x.contains("${{"), x.contains("github.event")]
-        tests.extend(~x.contains(e) for e in R.SCRIPT_EXCLUDED)
-        return reduce(lambda a, b: a & b, tests)
+    suspicious = sql.all_of(
+        ["contains(x, '${{')", "contains(x, 'github.event')"]
+        + [f"not contains(x, {literal(e)})" for e in R.SCRIPT_EXCLUDED]
+    )
 
-    def mark(x: Column, i: Column) -> Column:
-        bare = F.ltrim(x)
-        unusual = (F.ascii(bare) > 127) | (F.ascii(bare) < 32)
-        bare = F.when(unusual, unicode_trim(bare)).otherwise(bare)
+    def mark(bare: str) -> str:
         return (
-            F.when(bare.startswith("run: |") | bare.startswith("run:|"), F.lit("S"))
-            .when(
-                bare.startswith("-") | bare.startswith("#") | bare.startswith("run:"), F.lit("E")
-            )
-            .when(suspicious(x), F.concat(F.lit("C"), (i + 1).cast("string")))
+            f"when startswith({bare}, 'run: |') or startswith({bare}, 'run:|') then 'S' "
+            f"when startswith({bare}, '-') or startswith({bare}, '#') or startswith({bare}, 'run:') then 'E' "
         )
 
-    marks = F.array_join(F.transform(lines, mark), "")
-    inside = F.array_join(F.regexp_extract_all(marks, F.lit("S[^SE]*"), F.lit(0)), "")
-    numbers = F.regexp_extract_all(inside, F.lit("C([0-9]+)"), F.lit(1))
-    return F.transform(
-        numbers,
-        lambda n: _finding(entry, n.cast("int"), F.get(lines, n.cast("int") - 1), n),
+    # Only lines that open with an unusual character need the full trim.
+    unusual = "ascii(ltrim(x)) > 127 or ascii(ltrim(x)) < 32"
+    marks = (
+        f"array_join(transform(lines, (x, i) -> case when {unusual} then "
+        f"case {mark(_trim('x'))} when {suspicious} then concat('C', i + 1) end "
+        f"{mark('ltrim(x)')} when {suspicious} then concat('C', i + 1) end), '')"
     )
+    inside = f"array_join(regexp_extract_all({marks}, 'S[^SE]*', 0), '')"
+    numbers = f"transform(regexp_extract_all({inside}, 'C([0-9]+)', 1), n -> cast(n as int))"
+    return f"transform({numbers}, n -> {_finding('R12', 'n', 'get(lines, n - 1)', 'n')})"
 
 
 def scan(
@@ -184,120 +165,102 @@ def scan(
     """
     wanted = set(rule_ids) if rule_ids is not None else None
 
-    def on(rule_id: str) -> bool:
-        return wanted is None or rule_id in wanted
+    def on(*ids: str) -> bool:
+        return wanted is None or any(i in wanted for i in ids)
 
     line_rules = [r for r in R.LINE_RULES + tuple(extra_rules) if on(r.entry.rule_id)]
-    keys = [F.col(k) for k in FILE_KEYS]
-
-    staged = with_header(files.select(*FILE_KEYS, "content")).select(
-        *keys, "header", "content", split_lines(F.col("content")).alias("lines")
-    )
-    lines, content, header = F.col("lines"), F.col("content"), F.col("header")
-    candidates, checkouts = F.col("candidates"), F.col("checkouts")
-
     needles = [r.needles[0] if r.needles else "" for r in line_rules]
     if on("R09"):
         needles.append("${{")
-    if on("R10") or on("R11"):
+    if on("R10", "R11"):
         needles.append("uses:")
-    staged = staged.select(
-        *keys, header, content, lines,
-        _candidate_items(lines, needles, on("R09")).alias("candidates"),
+    privileged = (
+        "array_contains(header.triggers, 'pull_request_target') "
+        "and contains(content, 'actions/checkout@')"
     )
-    privileged = F.array_contains(header["triggers"], "pull_request_target")
-    staged = staged.select(
-        *keys, header, content, lines, candidates,
-        F.when(
-            privileged & content.contains("actions/checkout@"), _checkouts(lines, candidates)
-        ).alias("checkouts"),
-    )
-
-    parts = [candidates] if line_rules or on("R09") else []
-    is_map = header["permissions_form"].isin("flow map", "block map")
-    if on("R06"):
-        parts.append(F.when(is_map & (header["contents"] == "write"), _file_finding("R06")))
-    if on("R07"):
-        parts.append(F.when(is_map & (header["contents"] == "admin"), _file_finding("R07")))
-    if on("R08"):
-        parts.append(F.when(header["permissions_form"] == "absent", _file_finding("R08")))
-    if on("R10"):
-        parts.append(F.when(checkouts.isNotNull(), _unsafe_ref_hits(lines, checkouts)))
-    if on("R11"):
-        parts.append(
-            F.when(
-                checkouts.isNotNull() & _executes_foreign_code(lines, checkouts),
-                _file_finding("R11", F.size(lines) + 1),
-            )
+    staged = (
+        with_header(files.select(*FILE_KEYS, "content"))
+        .selectExpr(*FILE_KEYS, "header", "content", f"{_LINES} as lines")
+        .selectExpr(
+            *FILE_KEYS, "header", "content", "lines",
+            f"{_candidates(needles, on('R09'))} as candidates",
         )
-    if on("R12"):
-        has_script = content.contains("run: |") | content.contains("run:|")
-        parts.append(
-            F.when(content.contains("github.event") & has_script, _script_hits(lines))
+        .selectExpr(
+            *FILE_KEYS, "header", "content", "lines", "candidates",
+            f"if({privileged}, {_checkouts()}, null) as checkouts",
         )
+    )
 
-    nothing = F.array().cast(f"array<{_ITEM}>")
-    items = F.concat(nothing, *[F.coalesce(p, nothing) for p in parts])
+    parts = ["candidates"] if line_rules or on("R09") else []
+    is_map = "header.permissions_form in ('flow map', 'block map')"
+    whole_file = {
+        "R06": (f"{is_map} and header.contents = 'write'", _file_finding("R06")),
+        "R07": (f"{is_map} and header.contents = 'admin'", _file_finding("R07")),
+        "R08": ("header.permissions_form = 'absent'", _file_finding("R08")),
+        "R10": ("checkouts is not null", _unsafe_refs()),
+        "R11": (f"checkouts is not null and {_EXECUTES}", _file_finding("R11", "size(lines) + 1")),
+        "R12": (
+            "contains(content, 'github.event') and "
+            "(contains(content, 'run: |') or contains(content, 'run:|'))",
+            _script_hits(),
+        ),
+    }
+    parts.extend(f"if({test}, {hits}, null)" for i, (test, hits) in whole_file.items() if on(i))
+    nothing = "cast(array() as array<struct<" + ",".join(f"{k}:{t}" for k, t in _ITEM.items()) + ">>)"
+    items = ", ".join([nothing] + [f"coalesce({p}, {nothing})" for p in parts])
     # inline_outer keeps the optimizer from copying the whole rule expression
     # into a filter below the generator; its rows without an item vanish later.
-    unnested = staged.select(*keys, F.when(header["parse_ok"], items).alias("items")).select(
-        *keys, F.inline_outer("items")
-    )
+    unnested = staged.selectExpr(
+        *FILE_KEYS, f"if(header.parse_ok, concat({items}), null) as items"
+    ).selectExpr(*FILE_KEYS, "inline_outer(items)")
     return _test_lines(unnested, line_rules, on("R09"))
 
 
 def _test_lines(items: DataFrame, line_rules: list[R.LineRule], token_rule: bool) -> DataFrame:
     """Replace the items that are lines by the findings on them; pass the others on."""
-    keys = [F.col(k) for k in FILE_KEYS]
-    fields = [F.col(c) for c in _FIELDS]
-    line = F.when(F.col("rule_id").isNull(), F.col("details"))
-    trim_needles = {r.needles[0] if r.needles else "" for r in line_rules if r.trimmed}
-    items = items.select(*keys, *fields, "near", line.alias("_line")).select(
-        "*", F.when(_contains_any(F.col("_line"), trim_needles), unicode_trim(F.col("_line"))).alias("_trimmed")
-    )
-    raw, trimmed = F.col("_line"), F.col("_trimmed")
-    severities = {r: F.when(r.matches(raw, trimmed), r.severity(raw, trimmed)) for r in line_rules}
+    tested = [(rule, rule.matches("_line", "_trimmed")) for rule in line_rules]
     if token_rule:
-        hit = (
-            raw.contains("secrets.GITHUB_TOKEN") & ~F.col("near") & raw.rlike(R.TOKEN_LINE)
-        )
-        token = R.LineRule(R.ENTRY["R09"], R.TOKEN_LINE)
-        severities[token] = F.when(hit, F.lit(token.entry.severity))
-    tested = items.select(
-        *keys, *fields, raw, trimmed,
-        *[s.alias(f"_severity_{i}") for i, s in enumerate(severities.values())],
-    )
-
-    def as_finding(rule: R.LineRule, severity: Column) -> Column:
-        return F.struct(
-            F.lit(rule.entry.rule_id).alias("rule_id"),
-            F.lit(rule.entry.detector_ord).alias("detector_ord"),
-            F.lit(rule.entry.rule_ord).alias("rule_ord"),
-            F.col("emit_pos"),
-            F.lit(rule.entry.type).alias("type"),
-            severity.alias("severity"),
-            F.col("line"),
-            rule.shown(raw, trimmed).alias("details"),
+        token = R.LineRule(R.ENTRY["R09"], R.TOKEN_LINE, needles=("secrets.GITHUB_TOKEN",))
+        tested.append((token, f"not near and {token.matches('_line', '_trimmed')}"))
+    severities = {
+        f"_severity_{i}": f"if({hit}, {rule.severity('_line', '_trimmed')}, null)"
+        for i, (rule, hit) in enumerate(tested)
+    }
+
+    def as_finding(rule: R.LineRule, severity: str) -> str:
+        e = rule.entry
+        return sql.struct(
+            rule_id=literal(e.rule_id),
+            detector_ord=str(e.detector_ord),
+            rule_ord=str(e.rule_ord),
+            emit_pos="emit_pos",
+            type=literal(e.type),
+            severity=severity,
+            line="line",
+            details=rule.shown("_line", "_trimmed"),
         )
 
-    options = [F.when(F.col("rule_id").isNotNull(), F.struct(*fields))]
-    for i, rule in enumerate(severities):
-        severity = F.col(f"_severity_{i}")
-        options.append(F.when(severity.isNotNull(), as_finding(rule, severity)))
+    options = [f"if(rule_id is not null, {sql.struct(**{k: k for k in _FINDING})}, null)"] + [
+        f"if({name} is not null, {as_finding(rule, name)}, null)"
+        for name, (rule, _) in zip(severities, tested)
+    ]
+    trim_needles = [r.needles[0] if r.needles else "" for r in line_rules if r.trimmed]
+    fields = (*FILE_KEYS, *_ITEM)
     return (
-        tested.select(*keys, F.explode(F.array(*options)).alias("finding"))
-        .where(F.col("finding").isNotNull())
-        .select(*keys, "finding.*")
+        items.selectExpr(*fields, "if(rule_id is null, details, null) as _line")
+        .selectExpr(
+            *fields, "_line",
+            f"if({sql.contains_any('_line', trim_needles)}, {_trim('_line')}, null) as _trimmed",
+        )
+        .selectExpr(
+            *fields, "_line", "_trimmed", *[f"{s} as {n}" for n, s in severities.items()]
+        )
+        .selectExpr(*FILE_KEYS, f"explode(array({', '.join(options)})) as finding")
+        .where("finding is not null")
+        .select(*FILE_KEYS, "finding.*")
     )
 
 
-def _contains_any(text: Column, needles: Iterable[str]) -> Column:
-    distinct = sorted(set(needles))
-    if "" in distinct:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [text.contains(n) for n in distinct] or [F.lit(False)])
-
-
 def with_catalog(findings: DataFrame, extra_rules: tuple[R.LineRule, ...] = ()) -> DataFrame:
     """Add the texts of the rule; the catalogue has a fixed number of rows."""
     texts = R.catalog_frame(findings.sparkSession, extra_rules).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gatewarden import corpus
 from gatewarden.functions.header import with_header
+from gatewarden.functions.sql import keep_where
 from gatewarden.functions.text import path_extension
 from gatewarden.operators import collect, languages, registry, render, report, sarif
 from gatewarden.operators.ranking import number_rows
@@ -111,27 +112,29 @@ def path_extensions(spark, sf_dir):
 
 
 def _headers(spark, sf_dir):
-    files = _files(spark, sf_dir).where(F.length("content") > 0)
-    return with_header(files).select("full_name", "repo_ord", "wf_ord", "path", "header.*")
+    return with_header(_files(spark, sf_dir)).select(
+        "full_name", "path", F.length("content").alias("size"), "header.*"
+    )
 
 
 @query
 def workflow_header(spark, sf_dir):
-    return _headers(spark, sf_dir).where("parse_ok").select(
-        "full_name", "path", "permissions_form", "contents"
+    headers = _headers(spark, sf_dir).select(
+        "full_name", "path", "parse_ok", "permissions_form", "contents"
     )
+    return keep_where(headers, "parse_ok", "permissions_form", "contents").drop("parse_ok")
 
 
 @query
 def workflow_triggers(spark, sf_dir):
-    return _headers(spark, sf_dir).where("parse_ok").select(
-        "full_name", "path", F.explode("triggers").alias("event")
-    )
+    events = F.explode_outer(F.when(F.col("parse_ok"), F.col("triggers"))).alias("event")
+    return _headers(spark, sf_dir).select("full_name", "path", events).where("event is not null")
 
 
 @query
 def workflow_parse_ok(spark, sf_dir):
-    return _headers(spark, sf_dir).select("full_name", "path", "parse_ok")
+    headers = _headers(spark, sf_dir).select("full_name", "path", "size", "parse_ok")
+    return keep_where(headers, "size > 0", "parse_ok").drop("size")
 
 
 # Rules.

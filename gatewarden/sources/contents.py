@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewarden.functions.sql import keep_where
 from gatewarden.functions.text import decode_base64
 
 
@@ -26,7 +27,7 @@ def decode_contents(files: DataFrame) -> DataFrame:
     """Replace ``content_b64`` by ``content``; drop files that fail or are empty."""
     kept = [c for c in files.columns if c != "content_b64"]
     decoded = files.select(*kept, decode_base64(F.col("content_b64")).alias("content"))
-    return decoded.where(F.length("content") > 0)
+    return keep_where(decoded, "length(content) > 0", "content")
 
 
 def files_of_repos(repo_paths: DataFrame, contents: DataFrame) -> DataFrame:
