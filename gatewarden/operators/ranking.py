@@ -23,7 +23,7 @@ def number_rows(
     """``row_number`` inside ``group`` by ``order`` for groups of any size.
 
     Equal rows are first folded into one row with a count. The rows are placed in
-    ranges by (group, order) and written to the checkpoint folder, so that the
+    ranges by (group, order) and written to the shared folder, so that the
     ranges stay as they are when executors are lost. Each range is numbered on
     its own; the number of rows in the ranges before it is added. Columns of
     ``group`` must not be null. Ties are broken by the other columns.

@@ -13,6 +13,7 @@ from gatewarden.functions.text import unicode_trim
 from gatewarden.operators.ranking import broadcast_if_small, number_rows, write_ordered_text
 from gatewarden.operators.rules import SEVERITIES
 from gatewarden.operators.scan import FINDING_ORDER, with_catalog
+from gatewarden.session import cut_lineage
 
 BAR_WIDTH = 20
 
@@ -93,7 +94,11 @@ def _block(section: int, type_rank: Column, occurrence: Column, text: Column) ->
 
 
 def report(findings: DataFrame, run_time: str) -> DataFrame:
-    """Blocks ``section, type_rank, occurrence, text`` of the Markdown report."""
+    """Blocks ``section, type_rank, occurrence, text`` of the Markdown report.
+
+    The findings are written once to the shared folder; all parts read them there.
+    """
+    findings = cut_lineage(findings)
     zero = F.lit(0)
     head = total(findings).select(
         *_block(

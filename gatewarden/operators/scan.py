@@ -40,9 +40,12 @@ _LINES = "split(content, '\\n', -1)"
 def workflow_lines(files: DataFrame) -> DataFrame:
     """Long form: one row per line with its 1-based number."""
     keys = [c for c in FILE_KEYS if c in files.columns]
+    # An outer generator, so that no filter repeats the work below it.
     return (
-        files.where("length(content) > 0")
-        .selectExpr(*keys, f"posexplode({_LINES}) as (pos, line)")
+        files.selectExpr(
+            *keys, f"posexplode_outer(if(length(content) > 0, {_LINES}, null)) as (pos, line)"
+        )
+        .where("pos is not null")
         .selectExpr(*keys, "pos + 1 as line_no", "line")
     )
 

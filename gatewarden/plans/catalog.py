@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from gatewarden.operators import collect, languages, registry, render, report, s
 from gatewarden.operators.ranking import number_rows
 from gatewarden.operators.scan import scan, with_catalog, workflow_lines
 from gatewarden.plans.audit import scan_listed
-from gatewarden.session import ensure_checkpoint_dir
+from gatewarden.session import shared_folder
 from gatewarden.sources import contents as content_source
 from gatewarden.sources import registry_files
 from gatewarden.streaming import incremental
@@ -178,8 +177,7 @@ def scan_limited(spark, sf_dir):
 
 @query
 def scan_incremental(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/incremental-{uuid.uuid4()}"
+    folder = shared_folder(spark, "incremental")
     incremental.scan_arrivals(corpus.workflow_files(spark, sf_dir, stream=True), folder)
     return incremental.read_findings(spark, folder)
 

@@ -121,8 +121,8 @@ def _finding(rule_id: str, severity: str, line: str, details: str, pos: str) ->
     e = rules.ENTRY[rule_id]
     return (
         f"full_name, repo_ord, wf_ord, path, '{e.rule_id}' AS rule_id, {e.detector_ord} AS detector_ord, "
-        f"{e.rule_ord} AS rule_ord, {pos} AS emit_pos, '{e.type}' AS type, {severity} AS severity, "
-        f"{line} AS line, {details} AS details"
+        f"{e.rule_ord} AS rule_ord, CAST({pos} AS INTEGER) AS emit_pos, '{e.type}' AS type, {severity} AS severity, "
+        f"CAST({line} AS INTEGER) AS line, {details} AS details"
     )
 
 
@@ -136,11 +136,11 @@ PARTS: dict[str, str] = {
     "files": f"""
         SELECT *, row_number() OVER () AS fk FROM (
           SELECT {repo_name('o_orderkey // 6')} AS full_name, o_orderkey // 6 AS repo_ord,
-                 o_orderkey % 6 AS wf_ord, '.github/workflows/wf' || o_orderkey || '.yml' AS path,
+                 CAST(o_orderkey % 6 AS INTEGER) AS wf_ord, '.github/workflows/wf' || o_orderkey || '.yml' AS path,
                  {content('o_orderkey', _STEPS)} AS content
           FROM orders
           UNION ALL
-          SELECT 'docs/' || source || '-' || (doc_id // 4), -1 - doc_id // 4, doc_id % 4,
+          SELECT 'docs/' || source || '-' || (doc_id // 4), -1 - doc_id // 4, CAST(doc_id % 4 AS INTEGER),
                  '.github/workflows/doc' || doc_id || '.yaml', {content('doc_id', _SCRIPT)}
           FROM documents)""",
     "lines": """
@@ -320,7 +320,7 @@ PARTS.update({
               WHERE contains(v, ': '))
         WHERE contains(name, '/')""",
     "repo_paths": """
-        SELECT repo_ord, full_name, unnest(range(0, len(workflows))) AS wf_ord, unnest(workflows) AS path FROM repos""",
+        SELECT repo_ord, full_name, CAST(unnest(range(0, len(workflows))) AS INTEGER) AS wf_ord, unnest(workflows) AS path FROM repos""",
     "listings": f"""
         SELECT {repo_name('o_custkey')} AS full_name, o_orderkey AS item_ord,
                CASE WHEN o_orderkey % 6 = 4 THEN 'dir' ELSE 'file' END AS item_type, name,

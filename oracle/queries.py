@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gatewarden.operators import render
+from gatewarden.operators import render, sarif
 from gatewarden.plans import catalog
 from oracle.parts import ecosystem, quote, trim, with_parts
 
@@ -31,11 +31,11 @@ _ITEMS = r"chr(10) || '        - ''' || trim(x) || ''''"
 _SQL: dict[str, str] = {
     "manifest_parse": """SELECT repo_ord, owner, name, full_name, array_to_string(workflows, '|') AS workflows,
         len(workflows) AS n_workflows FROM repos""",
-    "manifest_explode": "SELECT repo_ord, full_name, CAST(wf_ord AS INTEGER) AS wf_ord, path FROM repo_paths",
-    "workflow_load_base64": """SELECT full_name, repo_ord, CAST(wf_ord AS INTEGER) AS wf_ord, path,
+    "manifest_explode": "SELECT repo_ord, full_name, wf_ord, path FROM repo_paths",
+    "workflow_load_base64": """SELECT full_name, repo_ord, wf_ord, path,
         decode(from_base64(to_base64(encode(content)))) AS content
         FROM files WHERE content <> '' AND repo_ord % 47 <> 5""",
-    "workflow_lines": """SELECT full_name, repo_ord, CAST(wf_ord AS INTEGER) AS wf_ord, path,
+    "workflow_lines": """SELECT full_name, repo_ord, wf_ord, path,
         CAST(line_no AS INTEGER) AS line_no, line FROM lines""",
     "workflow_file_filter": "SELECT full_name, item_ord, path FROM workflow_items",
     "registry_load": f"SELECT full_name, {_STAMP.format('processed_at')}, success, message FROM log",
@@ -87,12 +87,33 @@ _SQL: dict[str, str] = {
     "sarif_results": f"""SELECT full_name, replace(f.type, ' ', '') AS rule_id, {_LEVEL} AS level,
         description || ' - ' || string_split(details, chr(10))[1] AS message, path AS uri, line AS start_line,
         details AS snippet FROM findings f JOIN texts USING (rule_id)""",
+    "sarif_document": f"""
+        SELECT full_name, shard, count(*) AS results, CAST(to_json({{
+            '$schema': '{sarif.SCHEMA_URI}', 'version': '{sarif.VERSION}',
+            'runs': [{{
+              'tool': {{'driver': {{'name': '{sarif.TOOL_NAME}', 'version': '{sarif.TOOL_VERSION}',
+                 'rules': list({{'id': replace(type, ' ', ''), 'name': type,
+                    'shortDescription': {{'text': description}}, 'fullDescription': {{'text': impact}},
+                    'help': {{'text': mitigation}},
+                    'properties': {{'security-severity': {_SCORE}, 'tags': ['security', 'github-actions', 'ci-cd']}}}}
+                    ORDER BY number) FILTER (type_number = 1)}}}},
+              'results': list({{'ruleId': replace(type, ' ', ''), 'level': {_LEVEL.replace('f.', '')},
+                 'message': {{'text': description || ' - ' || string_split(details, chr(10))[1]}},
+                 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': path}},
+                    'region': {{'startLine': line, 'snippet': {{'text': details}}}}}}}}]}} ORDER BY number),
+              'invocations': [{{'executionSuccessful': true, 'startTimeUtc': '{catalog.RUN_START}',
+                 'endTimeUtc': '{catalog.RUN_END}'}}]}}]}}) AS VARCHAR) AS document
+        FROM (SELECT *, row_number() OVER (PARTITION BY full_name, shard, type ORDER BY number) AS type_number
+              FROM (SELECT *, (number - 1) // {sarif.RESULTS_PER_DOCUMENT} AS shard
+                    FROM (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY {_ORDER}) AS number FROM findings))
+              JOIN texts USING (rule_id))
+        GROUP BY full_name, shard""",
     "collect_repos": f"""SELECT full_name, {_STAMP.format('indexed_at')}, item_ord, path
         FROM workflow_items JOIN (
           SELECT full_name, max(indexed_at) AS indexed_at FROM meta
           WHERE full_name IN (SELECT full_name FROM workflow_items) GROUP BY full_name
           ORDER BY indexed_at DESC, full_name LIMIT {catalog.COLLECTED}) USING (full_name)""",
-    "manifest_format": """SELECT full_name, 0 AS part,
+    "manifest_format": """SELECT full_name, CAST(0 AS BIGINT) AS part,
         full_name || ': ' || string_agg(path, ',' ORDER BY item_ord) AS value FROM workflow_items GROUP BY full_name""",
     "fork_listing": f"""SELECT row_number() OVER (ORDER BY updated_at DESC, full_name) AS number, full_name,
         {_STAMP.format('created_at')} FROM meta WHERE is_fork""",
