@@ -7,6 +7,8 @@ joins. Patterns are in their original RE2 form.
 
 from __future__ import annotations
 
+import re
+
 from gatewarden import corpus
 from gatewarden.functions.text import UNICODE_SPACE
 from gatewarden.operators import rules
@@ -387,12 +389,15 @@ def ecosystem(language: str) -> str:
     )
 
 
-def with_parts(final: str) -> str:
-    """Put the parts that ``final`` needs in front of it."""
-    import re
+def with_parts(final: str, given: tuple[str, ...] = ()) -> str:
+    """Put the parts that ``final`` needs in front of it.
+
+    Parts named in ``given`` are left out; tables of these names must exist.
+    """
 
     def used(sql: str) -> set[str]:
-        return set(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", sql)) & PARTS.keys()
+        names = re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", sql)
+        return set(names) & (PARTS.keys() - set(given))
 
     needed: set[str] = set()
     queue = used(final)
