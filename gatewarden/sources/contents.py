@@ -11,8 +11,8 @@ from gatewarden.functions.text import decode_base64
 
 def read_workflow_folder(spark: SparkSession, root: str) -> DataFrame:
     """``full_name, path, content`` from ``root/owner/name/.github/workflows/*``."""
-    files = spark.read.option("wholetext", "true").text(
-        f"{root}/*/*/.github/workflows", pathGlobFilter="*.y*ml"
+    files = spark.read.text(
+        f"{root}/*/*/.github/workflows", wholetext=True, pathGlobFilter="*.y*ml"
     )
     where = r"([^/]+/[^/]+)/(\.github/workflows/[^/]+)$"
     location = F.url_decode(F.col("_metadata.file_path"))

@@ -60,7 +60,7 @@ CASES = {
     "list permissions": ("on: push\npermissions:\n- contents: write\n", set()),
     "absent": ("on: push\njobs:\n  permissions:\n    contents: write\n", {("R08", 0)}),
     "only a comment": ("# nothing", {("R08", 0)}),
-    "token": (lines("    token: ${{ secrets.GITHUB_TOKEN }}"), {("R09", 4)}),
+    "token": (lines(*["    x: y"] * 9, "    token: ${{ secrets.GITHUB_TOKEN }}"), {("R09", 13)}),
     "permissions 10 above": (
         lines("    permissions:", *["    x: y"] * 9, "    token: ${{ secrets.GITHUB_TOKEN }}"), set()),
     "permissions 11 above": (
