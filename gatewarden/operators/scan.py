@@ -33,7 +33,6 @@ _FINDING = {
     "line": "int",
     "details": "string",
 }
-_ITEM = _FINDING | {"near": "boolean"}
 _LINES = "split(content, '\\n', -1)"
 
 
@@ -54,28 +53,23 @@ def _trim(text: str) -> str:
     return f"btrim({text}, {literal(UNICODE_SPACE)})"
 
 
-def _item(**given: str) -> str:
-    """A finding, or (without a rule) a line that the line rules still test."""
-    fields = {k: f"cast(null as {t})" for k, t in _ITEM.items()} | given
-    return sql.struct(**fields)
-
-
-def _finding(rule_id: str, line: str, details: str, emit_pos: str) -> str:
-    e = R.ENTRY[rule_id]
-    return _item(
-        rule_id=literal(e.rule_id),
-        detector_ord=str(e.detector_ord),
-        rule_ord=str(e.rule_ord),
+def _finding(rule: R.CatalogEntry, line: str, details: str, emit_pos: str,
+             severity: str | None = None) -> str:
+    return sql.struct(
+        rule_id=literal(rule.rule_id),
+        detector_ord=str(rule.detector_ord),
+        rule_ord=str(rule.rule_ord),
         emit_pos=emit_pos,
-        type=literal(e.type),
-        severity=literal(e.severity),
+        type=literal(rule.type),
+        severity=severity or literal(rule.severity),
         line=line,
         details=details,
     )
 
 
 def _file_finding(rule_id: str, emit_pos: str = "0") -> str:
-    return f"array({_finding(rule_id, '0', literal(R.FILE_DETAILS[rule_id]), emit_pos)})"
+    details = literal(R.FILE_DETAILS[rule_id])
+    return f"array({_finding(R.ENTRY[rule_id], '0', details, emit_pos)})"
 
 
 def _around(number: str, before: int, after: int) -> str:
@@ -84,14 +78,17 @@ def _around(number: str, before: int, after: int) -> str:
     return f"slice(lines, {first}, {number} + {after} - {first} + 1)"
 
 
-def _candidates(needles: Iterable[str], token_rule: bool) -> str:
-    """Lines with one of the needles. For token lines also: permissions nearby?"""
-    given = {"emit_pos": "i + 1", "line": "i + 1", "details": "x"}
-    if token_rule:
-        near = f"exists({_around('(i + 1)', 10, 9)}, y -> contains(y, 'permissions:'))"
-        given["near"] = f"if(contains(x, 'secrets.GITHUB_TOKEN'), {near}, null)"
-    item = f"if({sql.contains_any('x', needles)}, {_item(**given)}, null)"
-    return f"filter(transform(lines, (x, i) -> {item}), c -> c is not null)"
+def _numbers_where(test: str) -> str:
+    """Numbers of the lines ``x`` that pass; ``i`` is the 0-based place."""
+    return f"filter(transform(lines, (x, i) -> if({test}, i + 1, null)), n -> n is not null)"
+
+
+def _bare_tokens() -> str:
+    """Numbers of token lines without permissions nearby."""
+    near = f"exists({_around('(i + 1)', 10, 9)}, y -> contains(y, 'permissions:'))"
+    return _numbers_where(
+        f"contains(x, 'secrets.GITHUB_TOKEN') and x rlike {literal(R.TOKEN_LINE)} and not {near}"
+    )
 
 
 def _checkouts() -> str:
@@ -101,19 +98,21 @@ def _checkouts() -> str:
         f"when x rlike {literal(R.SAFE_REF)} then 'safe' "
         f"when x rlike {literal(R.UNSAFE_REF)} then 'unsafe' end"
     )
-    number = "cast(greatest(c.line - 5, 1) + i as int)"
     refs = (
-        f"transform({_around('c.line', 5, 4)}, (x, i) -> named_struct('no', {number}, 'kind', {kind}))"
+        f"transform({_around('n', 5, 4)}, (x, i) -> "
+        f"named_struct('no', greatest(n - 5, 1) + i, 'kind', {kind}))"
+    )
+    checkouts = _numbers_where(
+        f"contains(x, 'actions/checkout@') and x rlike {literal(R.CHECKOUT_LINE)}"
     )
-    checkouts = f"filter(candidates, c -> c.details rlike {literal(R.CHECKOUT_LINE)})"
     return (
-        f"transform({checkouts}, c -> named_struct('no', c.line, "
+        f"transform({checkouts}, n -> named_struct('no', n, "
         f"'ref', get(filter({refs}, r -> r.kind is not null), 0)))"
     )
 
 
 def _unsafe_refs() -> str:
-    finding = _finding("R10", "c.ref.no", "get(lines, c.ref.no - 1)", "c.no")
+    finding = _finding(R.ENTRY["R10"], "c.ref.no", "get(lines, c.ref.no - 1)", "c.no")
     return f"transform(filter(checkouts, c -> c.ref.kind = 'unsafe'), c -> {finding})"
 
 
@@ -152,7 +151,8 @@ def _script_hits() -> str:
     )
     inside = f"array_join(regexp_extract_all({marks}, 'S[^SE]*', 0), '')"
     numbers = f"transform(regexp_extract_all({inside}, 'C([0-9]+)', 1), n -> cast(n as int))"
-    return f"transform({numbers}, n -> {_finding('R12', 'n', 'get(lines, n - 1)', 'n')})"
+    finding = _finding(R.ENTRY["R12"], "n", "get(lines, n - 1)", "n")
+    return f"transform({numbers}, n -> {finding})"
 
 
 def scan(
@@ -172,31 +172,23 @@ def scan(
         return wanted is None or any(i in wanted for i in ids)
 
     line_rules = [r for r in R.LINE_RULES + tuple(extra_rules) if on(r.entry.rule_id)]
-    needles = [r.needles[0] if r.needles else "" for r in line_rules]
-    if on("R09"):
-        needles.append("${{")
-    if on("R10", "R11"):
-        needles.append("uses:")
     privileged = (
         "array_contains(header.triggers, 'pull_request_target') "
         "and contains(content, 'actions/checkout@')"
     )
+    checkouts = f"if({privileged}, {_checkouts()}, null)" if on("R10", "R11") else "null"
+    tokens = (
+        f"if(contains(content, 'secrets.GITHUB_TOKEN'), {_bare_tokens()}, null)"
+        if on("R09") else "null"
+    )
     staged = (
         with_header(files.select(*FILE_KEYS, "content"))
         .selectExpr(*FILE_KEYS, "header", "content", f"{_LINES} as lines")
-        .selectExpr(
-            *FILE_KEYS, "header", "content", "lines",
-            f"{_candidates(needles, on('R09'))} as candidates",
-        )
-        .selectExpr(
-            *FILE_KEYS, "header", "content", "lines", "candidates",
-            f"if({privileged}, {_checkouts()}, null) as checkouts",
-        )
+        .selectExpr(*FILE_KEYS, "header", "content", "lines", f"{checkouts} as checkouts")
     )
 
-    parts = ["candidates"] if line_rules or on("R09") else []
     is_map = "header.permissions_form in ('flow map', 'block map')"
-    whole_file = {
+    by_file = {
         "R06": (f"{is_map} and header.contents = 'write'", _file_finding("R06")),
         "R07": (f"{is_map} and header.contents = 'admin'", _file_finding("R07")),
         "R08": ("header.permissions_form = 'absent'", _file_finding("R08")),
@@ -208,57 +200,56 @@ def scan(
             _script_hits(),
         ),
     }
-    parts.extend(f"if({test}, {hits}, null)" for i, (test, hits) in whole_file.items() if on(i))
-    nothing = "cast(array() as array<struct<" + ",".join(f"{k}:{t}" for k, t in _ITEM.items()) + ">>)"
-    items = ", ".join([nothing] + [f"coalesce({p}, {nothing})" for p in parts])
-    # inline_outer keeps the optimizer from copying the whole rule expression
-    # into a filter below the generator; its rows without an item vanish later.
-    unnested = staged.selectExpr(
-        *FILE_KEYS, f"if(header.parse_ok, concat({items}), null) as items"
-    ).selectExpr(*FILE_KEYS, "inline_outer(items)")
-    return _test_lines(unnested, line_rules, on("R09"))
-
-
-def _test_lines(items: DataFrame, line_rules: list[R.LineRule], token_rule: bool) -> DataFrame:
-    """Replace the items that are lines by the findings on them; pass the others on."""
-    tested = [(rule, rule.matches("_line", "_trimmed")) for rule in line_rules]
-    if token_rule:
-        token = R.LineRule(R.ENTRY["R09"], R.TOKEN_LINE, needles=("secrets.GITHUB_TOKEN",))
-        tested.append((token, f"not near and {token.matches('_line', '_trimmed')}"))
-    severities = {
-        f"_severity_{i}": f"if({hit}, {rule.severity('_line', '_trimmed')}, null)"
-        for i, (rule, hit) in enumerate(tested)
-    }
-
-    def as_finding(rule: R.LineRule, severity: str) -> str:
-        e = rule.entry
-        return sql.struct(
-            rule_id=literal(e.rule_id),
-            detector_ord=str(e.detector_ord),
-            rule_ord=str(e.rule_ord),
-            emit_pos="emit_pos",
-            type=literal(e.type),
-            severity=severity,
-            line="line",
-            details=rule.shown("_line", "_trimmed"),
+    parts = [f"if({test}, {hits}, null)" for i, (test, hits) in by_file.items() if on(i)]
+    nothing = "cast(array() as array<struct<" + ",".join(f"{k}:{t}" for k, t in _FINDING.items()) + ">>)"
+    found = ", ".join([nothing] + [f"coalesce({p}, {nothing})" for p in parts])
+    # The outer generators keep the optimizer from copying whole rule expressions
+    # into filters below them.
+    lines = (
+        staged.selectExpr(
+            *FILE_KEYS,
+            "if(header.parse_ok, lines, null) as lines",
+            f"if(header.parse_ok, concat({found}), null) as found",
+            f"cast({tokens} as array<int>) as tokens",
         )
+        .selectExpr(*FILE_KEYS, "found", "tokens", "posexplode_outer(lines) as (pos, line)")
+    )
+    return _test_lines(lines, line_rules, on("R09"))
 
-    options = [f"if(rule_id is not null, {sql.struct(**{k: k for k in _FINDING})}, null)"] + [
-        f"if({name} is not null, {as_finding(rule, name)}, null)"
-        for name, (rule, _) in zip(severities, tested)
-    ]
+
+def _test_lines(lines: DataFrame, line_rules: list[R.LineRule], token_rule: bool) -> DataFrame:
+    """Findings of the line rules, and those of the file with its first line."""
+    first_needles = [r.needles[0] if r.needles else "" for r in line_rules]
     trim_needles = [r.needles[0] if r.needles else "" for r in line_rules if r.trimmed]
-    fields = (*FILE_KEYS, *_ITEM)
+    severities = {
+        f"severity_{i}": f"if({r.matches('line', 'trimmed')}, {r.severity('line', 'trimmed')}, null)"
+        for i, r in enumerate(line_rules)
+    }
+    number = "pos + 1"
+    options = [
+        f"if({name} is not null, "
+        f"{_finding(r.entry, number, r.shown('line', 'trimmed'), number, name)}, null)"
+        for name, r in zip(severities, line_rules)
+    ]
+    if token_rule:
+        first_needles.append("secrets.GITHUB_TOKEN")
+        token = _finding(R.ENTRY["R09"], number, "line", number)
+        options.append(f"if(array_contains(tokens, {number}), {token}, null)")
+    on_line = f"array({', '.join(options)})"
+    if not options:
+        on_line = "filter(found, f -> false)"
     return (
-        items.selectExpr(*fields, "if(rule_id is null, details, null) as _line")
+        lines.where(sql.any_of([sql.contains_any("line", first_needles), "pos = 0"]))
         .selectExpr(
-            *fields, "_line",
-            f"if({sql.contains_any('_line', trim_needles)}, {_trim('_line')}, null) as _trimmed",
+            *FILE_KEYS, "found", "tokens", "pos", "line",
+            f"if({sql.contains_any('line', trim_needles)}, {_trim('line')}, null) as trimmed",
         )
+        .selectExpr("*", *[f"{s} as {n}" for n, s in severities.items()])
         .selectExpr(
-            *fields, "_line", "_trimmed", *[f"{s} as {n}" for n, s in severities.items()]
+            *FILE_KEYS,
+            f"explode_outer(if(pos = 0 and size(found) > 0, concat(found, {on_line}), {on_line}))"
+            " as finding",
         )
-        .selectExpr(*FILE_KEYS, f"explode(array({', '.join(options)})) as finding")
         .where("finding is not null")
         .select(*FILE_KEYS, "finding.*")
     )
