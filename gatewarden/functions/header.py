@@ -19,12 +19,16 @@ _KEY = rf"""(?:{_NAME}|"{_NAME}"|'{_NAME}')[ \t]*:(?=[ \t\r]|$)"""
 _MISPLACED = (
     r"(?dm)^(?! |[ \t\r]*$|[ \t]*#|---[ \t\r]*(?:[ \t]#.*)?$|[\]}]|-(?:[ \t\r]|$)|" + _KEY + ")"
 )
-_ITEM_AT_START = r"(?dm)^-(?:[ \t\r]|$)"
-_SECTION_START = r"\n(?=[A-Za-z_\"'])"
-# Name of the key that opens a section; empty when the section opens otherwise.
-_KEY_OF_SECTION = rf"(?d)\A[\"']?({_NAME})[\"']?[ \t]*:(?![^ \t\r\n])"
+# A key with its colon; mismatched quotes are caught by the pattern above.
+_KEY_START = r"[\"']?{}[\"']?[ \t]*:(?![^ \t\r\n])"
+_KEYS = r"(?dm)^[\"']?(" + _NAME + r")[\"']?[ \t]*:(?![^ \t\r\n])"
+_FIRST_ITEM_OR_KEY = r"(?dm)^(-(?=[ \t\r]|$)|" + _KEY_START.format(_NAME) + ")"
+# The line of a key and all lines up to the next one that may open a section. The
+# repetition is possessive: it does not recurse, however long the section is.
+_SECTION = r"(?dm)^" + _KEY_START + r"[^\n]*(?:\n(?![A-Za-z_\"'])[^\n]*)*+"
 _COMMENT = r"(?dm)(^|[ \t])#.*$"
 _LINE_END = r"(?dm)[ \t\r]+$"
+_EMPTY_LINE = r"(?d)\n(?:---)?(?=\n|\z)"
 _REST = r"^[^:]*:[ \t]*(.*)$"
 _CONTENTS = r"""^[ ]*["']?contents["']?[ ]*:[ ]*["']?([A-Za-z-]+)["']?[ ]*$"""
 
@@ -33,14 +37,12 @@ def _replace(text: str, pattern: str) -> str:
     return f"regexp_replace({text}, {literal(pattern)}, '')"
 
 
-def _clean_lines(section: str) -> str:
-    bare = _replace(_replace(section, _COMMENT), _LINE_END)
-    return f"filter(split({bare}, {literal(chr(10))}, -1), x -> x <> '' and x <> '---')"
-
-
-def _section_of(key: str) -> str:
-    at = f"cast(array_position(_keys, '{key}') as int)"
-    return f"if({at} > 0, {_clean_lines(f'get(_sections, {at} - 1)')}, null)"
+def _section(content: str, key: str) -> str:
+    """Text of the first section with this key without comments and empty lines."""
+    text = f"regexp_extract({content}, {literal(_SECTION.format(key))}, 0)"
+    for pattern in (_COMMENT, _LINE_END, _EMPTY_LINE):
+        text = _replace(text, pattern)
+    return text
 
 
 def _rest_and_children(lines: str) -> str:
@@ -113,36 +115,30 @@ def with_header(files: DataFrame, content: str = "content", out: str = "header")
     once for a row; none of them moves rows between tasks.
     """
     keep = [f"`{c}`" for c in files.columns]
-    named = "filter(_keys, k -> k <> '')"
-    parse_ok = (
+    first = f"regexp_extract({content}, {literal(_FIRST_ITEM_OR_KEY)}, 1)"
+    all_keys = f"regexp_extract_all({content}, {literal(_KEYS)}, 1)"
+    well_formed = (
         f"length({content}) > 0 and not {content} rlike {literal(_MISPLACED)} "
-        f"and not (get(_keys, 0) = '' and _preamble rlike {literal(_ITEM_AT_START)}) "
-        f"and size({named}) = size(array_distinct({named}))"
+        f"and not startswith({first}, '-')"
     )
+    sections = {"_on": "on", "_perm": "permissions"}
     return (
-        files.selectExpr(*keep, f"split({content}, {literal(_SECTION_START)}, -1) as _sections")
-        .selectExpr(
-            *keep, "_sections",
-            f"transform(_sections, s -> regexp_extract(s, {literal(_KEY_OF_SECTION)}, 1)) as _keys",
-        )
-        .selectExpr(
-            *keep, "_keys", "get(_sections, 0) as _preamble",
-            f"{_section_of('on')} as _on_lines",
-            f"{_section_of('permissions')} as _perm_lines",
-        )
-        .selectExpr(
-            *keep, "_keys", "_preamble",
-            f"{_rest_and_children('_on_lines')} as _on",
-            f"{_rest_and_children('_perm_lines')} as _perm",
+        files.selectExpr(
+            *keep,
+            f"{all_keys} as _keys",
+            f"{well_formed} as _well_formed",
+            *[f"{_section(content, key)} as {name}_text" for name, key in sections.items()],
         )
         .selectExpr(
-            *keep, "_keys", "_preamble", "_on", "_perm",
-            f"{_form('_on')} as _on_form",
-            f"{_form('_perm')} as _perm_form",
+            *keep,
+            "_well_formed and size(_keys) = size(array_distinct(_keys)) as _ok",
+            *[f"if({n}_text = '', null, split({n}_text, '\n', -1)) as {n}_lines" for n in sections],
         )
+        .selectExpr(*keep, "_ok", *[f"{_rest_and_children(f'{n}_lines')} as {n}" for n in sections])
+        .selectExpr(*keep, "_ok", *sections, *[f"{_form(n)} as {n}_form" for n in sections])
         .selectExpr(
             *keep,
-            f"named_struct('parse_ok', {parse_ok}, 'permissions_form', _perm_form, "
+            "named_struct('parse_ok', _ok, 'permissions_form', _perm_form, "
             f"'contents', {_contents('_perm', '_perm_form')}, "
             f"'triggers', {_triggers('_on', '_on_form')}) as {out}",
         )

@@ -82,14 +82,20 @@ def number_rows(
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+MAX_BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; looks at one row more at most."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
 
     A larger side is returned as it is and the join is left to the optimizer.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def write_ordered_text(df: DataFrame, order: Sequence[str], path: str, text: str = "text") -> None:

@@ -84,11 +84,13 @@ def _numbers_where(test: str) -> str:
 
 
 def _bare_tokens() -> str:
-    """Numbers of token lines without permissions nearby."""
+    """Token lines without permissions nearby."""
     near = f"exists({_around('(i + 1)', 10, 9)}, y -> contains(y, 'permissions:'))"
-    return _numbers_where(
+    numbers = _numbers_where(
         f"contains(x, 'secrets.GITHUB_TOKEN') and x rlike {literal(R.TOKEN_LINE)} and not {near}"
     )
+    finding = _finding(R.ENTRY["R09"], "n", "get(lines, n - 1)", "n")
+    return f"transform({numbers}, n -> {finding})"
 
 
 def _checkouts() -> str:
@@ -177,10 +179,6 @@ def scan(
         "and contains(content, 'actions/checkout@')"
     )
     checkouts = f"if({privileged}, {_checkouts()}, null)" if on("R10", "R11") else "null"
-    tokens = (
-        f"if(contains(content, 'secrets.GITHUB_TOKEN'), {_bare_tokens()}, null)"
-        if on("R09") else "null"
-    )
     staged = (
         with_header(files.select(*FILE_KEYS, "content"))
         .selectExpr(*FILE_KEYS, "header", "content", f"{_LINES} as lines")
@@ -192,6 +190,7 @@ def scan(
         "R06": (f"{is_map} and header.contents = 'write'", _file_finding("R06")),
         "R07": (f"{is_map} and header.contents = 'admin'", _file_finding("R07")),
         "R08": ("header.permissions_form = 'absent'", _file_finding("R08")),
+        "R09": ("contains(content, 'secrets.GITHUB_TOKEN')", _bare_tokens()),
         "R10": ("checkouts is not null", _unsafe_refs()),
         "R11": (f"checkouts is not null and {_EXECUTES}", _file_finding("R11", "size(lines) + 1")),
         "R12": (
@@ -210,14 +209,13 @@ def scan(
             *FILE_KEYS,
             "if(header.parse_ok, lines, null) as lines",
             f"if(header.parse_ok, concat({found}), null) as found",
-            f"cast({tokens} as array<int>) as tokens",
         )
-        .selectExpr(*FILE_KEYS, "found", "tokens", "posexplode_outer(lines) as (pos, line)")
+        .selectExpr(*FILE_KEYS, "found", "posexplode_outer(lines) as (pos, line)")
     )
-    return _test_lines(lines, line_rules, on("R09"))
+    return _test_lines(lines, line_rules)
 
 
-def _test_lines(lines: DataFrame, line_rules: list[R.LineRule], token_rule: bool) -> DataFrame:
+def _test_lines(lines: DataFrame, line_rules: list[R.LineRule]) -> DataFrame:
     """Findings of the line rules, and those of the file with its first line."""
     first_needles = [r.needles[0] if r.needles else "" for r in line_rules]
     trim_needles = [r.needles[0] if r.needles else "" for r in line_rules if r.trimmed]
@@ -231,17 +229,13 @@ def _test_lines(lines: DataFrame, line_rules: list[R.LineRule], token_rule: bool
         f"{_finding(r.entry, number, r.shown('line', 'trimmed'), number, name)}, null)"
         for name, r in zip(severities, line_rules)
     ]
-    if token_rule:
-        first_needles.append("secrets.GITHUB_TOKEN")
-        token = _finding(R.ENTRY["R09"], number, "line", number)
-        options.append(f"if(array_contains(tokens, {number}), {token}, null)")
     on_line = f"array({', '.join(options)})"
     if not options:
-        on_line = "filter(found, f -> false)"
+        on_line = "slice(found, 1, 0)"
     return (
         lines.where(sql.any_of([sql.contains_any("line", first_needles), "pos = 0"]))
         .selectExpr(
-            *FILE_KEYS, "found", "tokens", "pos", "line",
+            *FILE_KEYS, "found", "pos", "line",
             f"if({sql.contains_any('line', trim_needles)}, {_trim('line')}, null) as trimmed",
         )
         .selectExpr("*", *[f"{s} as {n}" for n, s in severities.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.operators import collect, languages, registry, render, report, sarif
-from gatewarden.operators.ranking import broadcast_if_small
+from gatewarden.operators.ranking import broadcast_if_small, is_small
 from gatewarden.operators.rules import LineRule
 from gatewarden.operators.scan import scan
 from gatewarden.sources import contents as content_source
@@ -26,13 +26,24 @@ def collect_flow(candidates: DataFrame, listings: DataFrame, path: str,
 
 def scan_listed(repos: DataFrame, contents: DataFrame, limit: int | None = DEFAULT_ANALYZED,
                 extra_rules: tuple[LineRule, ...] = ()) -> DataFrame:
-    """Findings of the first ``limit`` listed repositories, in list order."""
-    if limit is None:
-        paths = collect.manifest_paths(repos)
-    else:
-        paths = collect.manifest_paths(repos.orderBy("repo_ord").limit(limit))
-        paths = broadcast_if_small(paths)
-    return scan(content_source.files_of_repos(paths, contents), extra_rules=extra_rules)
+    """Findings of the first ``limit`` listed repositories, in list order.
+
+    A short list is sent to the files, so that only listed files are scanned. With
+    a long one all files are scanned where they are and the findings, which are
+    much smaller than the contents, are joined to the list.
+    """
+    if limit is not None:
+        repos = repos.orderBy("repo_ord").limit(limit)
+    paths = collect.manifest_paths(repos)
+    if limit is not None and is_small(paths):
+        listed = content_source.files_of_repos(F.broadcast(paths), contents)
+        return scan(listed, extra_rules=extra_rules)
+    everything = contents.selectExpr(
+        "full_name", "0L as repo_ord", "0 as wf_ord", "path", "content"
+    )
+    found = scan(everything, extra_rules=extra_rules)
+    columns = found.columns
+    return found.drop("repo_ord", "wf_ord").join(paths, ["full_name", "path"]).select(*columns)
 
 
 def analyze_flow(repos: DataFrame, contents: DataFrame, path: str, run_time: str,

@@ -34,6 +34,18 @@ def test_collect_then_analyze(spark, tmp_path):
     assert results == audit.scan_listed(repos, files, 20).count() > 0
 
 
+def test_long_list_gives_the_same_findings(spark):
+    from gatewarden.operators.collect import parse_manifest
+
+    repos = parse_manifest(corpus.manifest_lines(spark, SF))
+    files = corpus.workflow_files(spark, SF)
+
+    def bag(df):
+        return sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+    assert bag(audit.scan_listed(repos, files, None)) == bag(audit.scan_listed(repos, files, 10_000))
+
+
 def test_rollout(spark):
     from gatewarden.operators.collect import parse_manifest
     from gatewarden.operators.registry import latest

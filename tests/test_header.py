@@ -50,3 +50,14 @@ def headers(spark):
 def test_header(headers, i):
     h = headers[i]
     assert (h.parse_ok, h.permissions_form, h.contents, list(h.triggers)) == CASES[i][1], CASES[i][0]
+
+
+def test_very_long_documents(spark):
+    body = "".join(f"  - e{i} # c\n\n" for i in range(100_000))
+    docs = ["on:\n" + body + "  - last\npermissions:\n" + "  a: b\n" * 100_000 + "  contents: write\n",
+            "x: 1\n" * 2 + "on: " + "y" * 1_000_000]
+    rows = [(i, d) for i, d in enumerate(docs)]
+    got = {r.i: r.header for r in with_header(spark.createDataFrame(rows, "i int, content string")).collect()}
+    assert got[0].parse_ok and got[0].contents == "write"
+    assert len(got[0].triggers) == 100_001 and got[0].triggers[-1] == "last"
+    assert not got[1].parse_ok

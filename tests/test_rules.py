@@ -179,3 +179,12 @@ def test_very_long_line(files_of):
     tail = "run: " * 20_000 + "${{ github.event.issue.x " * 20_000
     assert scan(files_of([lines("  - run: " + tail)]), ["R01"]).count() == 0
     assert scan(files_of([lines("  - run: " + tail + "}}")]), ["R01"]).count() == 1
+
+
+def test_very_long_file(files_of):
+    """Many markers, hits and tokens in one file."""
+    block = ["    run: |", "      x ${{ github.event.sender.login }}", "  - y",
+             "    token: ${{ secrets.GITHUB_TOKEN }}"]
+    hits = scan(files_of([lines(*block * 20_000)])).groupBy("rule_id").count().collect()
+    # The first two token lines have the permissions of the head nearby.
+    assert {r.rule_id: r["count"] for r in hits} == {"R12": 20_000, "R09": 19_998}
