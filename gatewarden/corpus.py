@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.functions.sql import literal, pick
+from gatewarden.operators.languages import EXTENSION_LANGUAGE
 
 # Step lines, chosen by number.
 STEP_LINES = (
@@ -70,28 +71,6 @@ JOBS = "jobs:\n  build:\n    steps:"
 SCRIPT_HEAD = "      - name: note\n        run: |\n          "
 SCRIPT_BREAK = "\n          "
 SCRIPT_TAIL = "echo ${{ github.event.issue.title }}"
-# Fixed values: (extension, language).
-EXTENSION_LANGUAGE = (
-    (".go", "go"),
-    (".js", "javascript"),
-    (".jsx", "javascript"),
-    (".ts", "javascript"),
-    (".tsx", "javascript"),
-    (".py", "python"),
-    (".java", "java"),
-    (".kt", "java"),
-    (".cs", "csharp"),
-    (".cpp", "cpp"),
-    (".c", "cpp"),
-    (".h", "cpp"),
-    (".hpp", "cpp"),
-    (".cc", "cpp"),
-    (".rb", "ruby"),
-    (".php", "php"),
-    (".rs", "rust"),
-    (".swift", "swift"),
-    (".m", "swift"),
-)
 TREE_DIRECTORIES = (
     "src/", "lib/core/", "vendor/x/", "node_modules/y/", ".git/", ".github/workflows/",
     "dist/", "docs/vendored/", "",
@@ -298,7 +277,8 @@ def repo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case l_orderkey div 48 % 5 when 0 then 5 when 1 then 20 "
         "when 2 then l_partkey % 2 * 6 + l_linenumber % 2 * 8 else l_partkey % 23 end"
     )
-    return table(spark, sf_dir, "lineitem").select(
+    columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return _spread(table(spark, sf_dir, "lineitem").select(*columns)).select(
         repo_name(F.expr("l_orderkey div 48")).alias("full_name"),
         F.concat(
             _pick(TREE_DIRECTORIES, "l_suppkey % 9"),

@@ -37,6 +37,15 @@ def collect_repos(candidates: DataFrame, listings: DataFrame, limit: int) -> Dat
     ).select("full_name", "indexed_at", "item_ord", "path")
 
 
+def select_repo(repos: DataFrame, full_name: str | None = None) -> DataFrame:
+    """The named repository (``owner/name``), or the first one in list order."""
+    if full_name is None:
+        return repos.orderBy("repo_ord").limit(1)
+    if full_name.count("/") != 1:
+        raise ValueError(f"expected owner/name, got {full_name!r}")
+    return repos.where(F.col("full_name") == full_name)
+
+
 def parse_manifest(lines: DataFrame) -> DataFrame:
     """``repo_ord, owner, name, full_name, workflows`` from ``line_no, value``.
 

@@ -5,9 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewarden.corpus import EXTENSION_LANGUAGE
 from gatewarden.functions.text import path_elements, path_extension
 
+# Fixed values: (extension, language).
+EXTENSION_LANGUAGE = (
+    (".go", "go"),
+    (".js", "javascript"),
+    (".jsx", "javascript"),
+    (".ts", "javascript"),
+    (".tsx", "javascript"),
+    (".py", "python"),
+    (".java", "java"),
+    (".kt", "java"),
+    (".cs", "csharp"),
+    (".cpp", "cpp"),
+    (".c", "cpp"),
+    (".h", "cpp"),
+    (".hpp", "cpp"),
+    (".cc", "cpp"),
+    (".rb", "ruby"),
+    (".php", "php"),
+    (".rs", "rust"),
+    (".swift", "swift"),
+    (".m", "swift"),
+)
 # Fixed values.
 PRUNED_DIRECTORIES = (".git", "node_modules", "vendor", "dist", ".github")
 RELEVANT_FILES = 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.operators.languages import ecosystem, scanner_language
@@ -71,7 +71,28 @@ TEMPLATES = (
 )
 
 
-def _fill(body: Column, language: Column) -> Column:
+def read_templates(spark: SparkSession, folder: str) -> tuple[Template, ...]:
+    """Templates from text files; those of known tools keep their target path.
+
+    A folder of templates is configuration: more than 100 files are refused.
+    """
+    rows = (
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.yml")
+        .select(F.regexp_extract("_metadata.file_name", r"^(.*)\.yml$", 1).alias("tool"), "value")
+        .limit(101)
+        .collect()
+    )
+    if len(rows) > 100:
+        raise ValueError("a folder of at most 100 templates is expected")
+    known = {t.tool: t for t in TEMPLATES}
+    found = []
+    for tool, body in sorted(map(tuple, rows)):
+        base = known.get(tool, Template(tool, f".github/workflows/{tool}.yml", "", True))
+        found.append(Template(tool, base.target_path, body, base.optional))
+    return tuple(found)
+
+
+def _fill(body: Column, language: Column, as_list: bool) -> Column:
     """Put the language, or a block list of several, into the template."""
     items = F.transform(
         F.split(language, ",", -1),
@@ -79,7 +100,7 @@ def _fill(body: Column, language: Column) -> Column:
     )
     listed = F.replace(body, F.lit("[ 'language' ]"), F.array_join(items, ""))
     single = F.replace(body, F.lit("'language'"), F.concat(F.lit("'"), language, F.lit("'")))
-    return F.when(language.contains(","), listed).otherwise(single)
+    return F.when(language.contains(","), listed).otherwise(single) if as_list else single
 
 
 def repo_languages(meta: DataFrame, detected: DataFrame) -> DataFrame:
@@ -100,10 +121,12 @@ def render(
     repos: DataFrame,
     templates: tuple[Template, ...] = TEMPLATES,
     enabled: tuple[str, ...] = ("gitleaks", "container-scan"),
+    as_list: bool = True,
 ) -> DataFrame:
     """``full_name, tool, path, content``: one row per repository and template.
 
-    Optional templates are used when they are named in ``enabled``.
+    Optional templates are used when they are named in ``enabled``. Several
+    languages become a block list unless ``as_list`` is off.
     """
     used = [t for t in templates if not t.optional or t.tool in enabled]
     rows = F.array(
@@ -117,5 +140,5 @@ def render(
         ]
     )
     return repos.select("full_name", "language", F.inline(rows)).select(
-        "full_name", "tool", "path", _fill(F.col("body"), F.col("language")).alias("content")
+        "full_name", "tool", "path", _fill(F.col("body"), F.col("language"), as_list).alias("content")
     )

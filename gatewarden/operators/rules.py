@@ -212,6 +212,7 @@ def _event_in_run(fields: str) -> str:
 
 _FULL_HASH = r"(?d)uses:" + WS + r"+[^@]+@[0-9a-f]{40}"
 
+# What the rules on single lines look for.
 LINE_RULES: tuple[LineRule, ...] = (
     LineRule(
         ENTRY["R01"],
@@ -254,7 +255,7 @@ LINE_RULES: tuple[LineRule, ...] = (
     ),
 )
 
-# Patterns of the rules that look at neighbouring lines.
+# What the rules on neighbouring lines look for.
 TOKEN_LINE = r"(?d)token:" + WS + "*" + _OPEN + r"secrets\.GITHUB_TOKEN" + WS + r"*\}\}"
 CHECKOUT_LINE = r"(?d)uses:" + WS + r"+actions/checkout@"
 SAFE_REF = (

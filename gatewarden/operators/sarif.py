@@ -15,7 +15,7 @@ SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
 VERSION = "2.1.0"
 TAGS = ("security", "github-actions", "ci-cd")
 TOOL_NAME, TOOL_VERSION = "gatewarden", "1.0.0"
-RESULTS_PER_DOCUMENT = 5_000
+RESULTS_PER_DOCUMENT = 1_000
 
 
 def _lookup(severity: Column, values: dict[str, str], other: str) -> Column:

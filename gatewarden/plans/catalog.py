@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden import corpus
@@ -52,7 +52,7 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.latest(corpus.registry_log(spark, sf_dir))
 
 
-def _time(column: str) -> F.Column:
+def _time(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
 
 

@@ -12,6 +12,7 @@ import re
 from gatewarden import corpus
 from gatewarden.functions.text import UNICODE_SPACE
 from gatewarden.operators import rules
+from gatewarden.operators.languages import EXTENSION_LANGUAGE
 
 
 def quote(text: str | None) -> str:
@@ -357,7 +358,7 @@ PARTS.update({
                    ['.git', 'node_modules', 'vendor', 'dist', '.github'])) > 0 AS pruned
         FROM tree""",
     "ext_language": "SELECT * FROM (VALUES "
-    + _values([quote(e), quote(lang)] for e, lang in corpus.EXTENSION_LANGUAGE)
+    + _values([quote(e), quote(lang)] for e, lang in EXTENSION_LANGUAGE)
     + ") AS t(ext, language)",
     "tree_counts": """
         SELECT full_name, language, count(*) AS files FROM tree_parts JOIN ext_language USING (ext)

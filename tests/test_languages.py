@@ -55,3 +55,16 @@ def test_normalised_names(spark):
     assert [tuple(r) for r in df.collect()] == [
         ("go", "gomod"), ("javascript", "npm"), ("java", "maven"), ("csharp", "nuget"), ("cpp", "npm"),
         ("javascript", "composer"), ("javascript", "npm"), ("javascript", "npm")]
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "codeql.yml").write_text("l: [ 'language' ]\n")
+    (tmp_path / "own.yml").write_text("x: 'language'\n")
+    templates = render.read_templates(spark, str(tmp_path))
+    assert [(t.tool, t.target_path, t.optional) for t in templates] == [
+        ("codeql", ".github/workflows/codeql.yml", False), ("own", ".github/workflows/own.yml", True)]
+    repos = spark.createDataFrame([("o/a", "go, rust")], "full_name string, language string")
+    rows = {r.tool: r.content for r in render.render(repos, templates, ("own",)).collect()}
+    assert rows == {"codeql": "l: \n        - 'go'\n        - 'rust'\n", "own": "x: 'language'\n"}
+    plain = {r.tool: r.content for r in render.render(repos, templates, ("own",), as_list=False).collect()}
+    assert plain == {"codeql": "l: [ 'go, rust' ]\n", "own": "x: 'go, rust'\n"}

@@ -80,4 +80,4 @@ def test_numbering_on_skewed_tables(spark, skewed, name):
     else:
         total = con.execute(CHECKS["summary_total"]).fetchall()[0][0]
         rows = df.select("results").collect()
-        assert sum(r.results for r in rows) == total and max(r.results for r in rows) <= 5000
+        assert sum(r.results for r in rows) == total and max(r.results for r in rows) <= 1000
