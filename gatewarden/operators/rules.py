@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewarden.functions.sql import all_of, literal
+from gatewarden.functions.sql import all_of, literal, struct
 
 HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 SEVERITIES = (HIGH, MEDIUM, LOW)
@@ -265,6 +265,19 @@ UNSAFE_REF = r"(?d)ref:" + WS + "*" + _OPEN + r"github\.event\.pull_request\.hea
 SCRIPT_EXCLUDED = ('"${{', "'${{", "github.event.repository", "github.event.number")
 
 
+def catalog_map(extra: tuple[LineRule, ...] = ()) -> str:
+    """The texts that single findings show, as a SQL map from rule to struct."""
+    pairs = []
+    for e in CATALOG + tuple(r.entry for r in extra):
+        texts = struct(
+            description=literal(e.description),
+            impact=literal(e.impact),
+            mitigation=literal(e.mitigation),
+        )
+        pairs.append(f"{literal(e.rule_id)}, {texts}")
+    return f"map({', '.join(pairs)})"
+
+
 def catalog_frame(spark: SparkSession, extra: tuple[LineRule, ...] = ()) -> DataFrame:
     """The catalogue as a dimension table (one row per rule, fixed size)."""
     rows = [

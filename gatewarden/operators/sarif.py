@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from gatewarden.operators.ranking import number_rows
 from gatewarden.operators.report import first_of_type
-from gatewarden.operators.rules import LEVEL, OTHER_LEVEL, OTHER_SCORE, SCORE
+from gatewarden.operators.rules import (
+    LEVEL, OTHER_LEVEL, OTHER_SCORE, SCORE, LineRule, catalog_map,
+)
 from gatewarden.operators.scan import FINDING_ORDER, with_catalog
+from gatewarden.session import cut_lineage
 
 # Fixed values of the format.
 SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -86,7 +89,8 @@ def _document(rule_list: Column, result_list: Column, start: str, end: str) -> C
 
 
 def documents(
-    findings: DataFrame, start: str, end: str, per_document: int = RESULTS_PER_DOCUMENT
+    findings: DataFrame, start: str, end: str, per_document: int = RESULTS_PER_DOCUMENT,
+    extra_rules: tuple[LineRule, ...] = (),
 ) -> DataFrame:
     """``full_name, shard, results, document``: JSON texts of bounded size.
 
@@ -96,24 +100,24 @@ def documents(
     numbered = number_rows(findings, ["full_name"], FINDING_ORDER, "number").withColumn(
         "shard", F.expr(f"(number - 1) div {per_document}")
     )
-    described = with_catalog(numbered)
-    entry = F.struct(
-        "number", "type", "severity", "path", "line", "details", "description", "impact", "mitigation"
-    )
-    gathered = described.groupBy("full_name", "shard").agg(
+    # Texts of rules are looked up after the shuffle.
+    entry = F.struct("number", "rule_id", "type", "severity", "path", "line", "details")
+    gathered = numbered.groupBy("full_name", "shard").agg(
         F.array_sort(F.collect_list(entry)).alias("entries")
     )
+    catalog = F.expr(catalog_map(extra_rules))
 
     def text(value: Column) -> Column:
         return F.struct(value.alias("text"))
 
     def rule(first: Column) -> Column:
+        texts = F.try_element_at(catalog, first["rule_id"])
         return F.struct(
             rule_name(first["type"]).alias("id"),
             first["type"].alias("name"),
-            text(first["description"]).alias("shortDescription"),
-            text(first["impact"]).alias("fullDescription"),
-            text(first["mitigation"]).alias("help"),
+            text(texts["description"]).alias("shortDescription"),
+            text(texts["impact"]).alias("fullDescription"),
+            text(texts["mitigation"]).alias("help"),
             F.struct(
                 _lookup(first["severity"], SCORE, OTHER_SCORE).alias("security-severity"),
                 F.array(*[F.lit(t) for t in TAGS]).alias("tags"),
@@ -121,6 +125,7 @@ def documents(
         )
 
     def result(x: Column) -> Column:
+        description = F.try_element_at(catalog, x["rule_id"])["description"]
         region = F.struct(x["line"].alias("startLine"), text(x["details"]).alias("snippet"))
         location = F.struct(
             F.struct(
@@ -130,7 +135,7 @@ def documents(
         return F.struct(
             rule_name(x["type"]).alias("ruleId"),
             _lookup(x["severity"], LEVEL, OTHER_LEVEL).alias("level"),
-            text(_message(x["description"], x["details"])).alias("message"),
+            text(_message(description, x["details"])).alias("message"),
             F.array(location).alias("locations"),
         )
 
@@ -156,8 +161,11 @@ def empty_document(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def write_sarif(findings: DataFrame, start: str, end: str, path: str) -> None:
-    """One JSON text per line."""
-    found = documents(findings, start, end).select("document")
-    if not findings.limit(1).count():
-        found = empty_document(findings.sparkSession, start, end)
+    """One JSON text per line; the findings are computed once."""
+    spark = findings.sparkSession
+    findings = cut_lineage(findings)
+    if findings.isEmpty():
+        found = empty_document(spark, start, end)
+    else:
+        found = documents(findings, start, end).select("document")
     found.write.mode("overwrite").text(path)

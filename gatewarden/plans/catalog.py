@@ -32,7 +32,8 @@ REGISTRY_CUT = "2024-01-16 00:00:00"
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register under the name of the function; a final underscore is not part of it."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -79,7 +80,7 @@ def workflow_load_base64(spark, sf_dir):
 
 
 @query
-def workflow_lines_all(spark, sf_dir):
+def workflow_lines_(spark, sf_dir):
     return workflow_lines(_files(spark, sf_dir))
 
 
@@ -102,7 +103,7 @@ def tree_prune(spark, sf_dir):
 
 
 @query
-def path_extensions(spark, sf_dir):
+def path_extension_(spark, sf_dir):
     tree = corpus.repo_tree(spark, sf_dir)
     return tree.select("full_name", "path", path_extension(F.col("path")).alias("ext"))
 
@@ -352,8 +353,3 @@ def language_ecosystem(spark, sf_dir):
 def scan_config_render(spark, sf_dir):
     detected = languages.detect_languages(corpus.repo_tree(spark, sf_dir))
     return render.render(render.repo_languages(corpus.repo_meta(spark, sf_dir), detected))
-
-
-# The names of the survey for queries whose function names are taken here.
-QUERIES["workflow_lines"] = QUERIES.pop("workflow_lines_all")
-QUERIES["path_extension"] = QUERIES.pop("path_extensions")

@@ -22,6 +22,16 @@ def test_numbers_equal_row_number_with_a_hot_group_and_copies(spark):
     assert bag(got) == bag(want)
 
 
+def test_many_copies_are_spread(spark, monkeypatch):
+    from gatewarden.operators import ranking
+
+    monkeypatch.setattr(ranking, "_CHUNK", 7)
+    monkeypatch.setattr(ranking, "_MANY_COPIES", 50)
+    df = spark.range(100).select(F.lit(1).alias("a")).unionByName(spark.range(3).select(F.lit(0).alias("a")))
+    got = sorted((r.n, r.a) for r in number_rows(df, [], ["a"], "n").collect())
+    assert got == [(i, int(i > 3)) for i in range(1, 104)]
+
+
 def test_global_descending(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 10).alias("k"))
     got = {r.id: r.n for r in number_rows(df, [], ["k", "id"], "n", ["k"]).collect()}
