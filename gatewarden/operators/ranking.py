@@ -26,7 +26,7 @@ def number_rows(
     ranges by (group, order) and written to the shared folder, so that the
     ranges stay as they are when executors are lost. Each range is numbered on
     its own; the number of rows in the ranges before it is added. Columns of
-    ``group`` must not be null. Ties are broken by the other columns.
+    ``group`` must not be null. Ties are broken by a hash of the other columns.
     """
     names = df.columns
     rest = [c for c in names if c not in group and c not in order]
@@ -39,15 +39,14 @@ def number_rows(
 
     by = [F.asc(c) for c in group] + [direction(c) for c in order] + [F.asc("_tie")]
     # Without a fixed number small inputs take few ranges; the order of ranges stays.
+    # The lower 33 bits of the id are the place of a row in its sorted range.
     placed = cut_lineage(
-        folded.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
+        folded.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
 
-    inside = (
-        Window.partitionBy("_range", *group)
-        .orderBy(*[direction(c) for c in order], F.asc("_tie"), *[F.asc(c) for c in rest])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     # One row per range and group that meets it.
     earlier = (
         Window.partitionBy(*(group or [F.lit(0)]))
@@ -57,18 +56,27 @@ def number_rows(
     zero = F.lit(0).cast("long")
     offsets = (
         placed.groupBy("_range", *group)
-        .agg(F.sum("_copies").alias("_rows"))
-        .select("_range", *group, F.coalesce(F.sum("_rows").over(earlier), zero).alias("_offset"))
+        .agg(F.sum("_copies").alias("_rows"), F.min("_place").alias("_first"))
+        .select(
+            "_range", *group, "_first",
+            F.coalesce(F.sum("_rows").over(earlier), zero).alias("_offset"),
+        )
+    )
+    most = placed.agg(F.max("_copies")).first()[0] or 1
+    if most == 1:
+        number = F.col("_offset") + F.col("_place") - F.col("_first") + 1
+        return placed.join(offsets, ["_range", *group]).select(*names, number.alias(out))
+
+    inside = (
+        Window.partitionBy("_range", *group)
+        .orderBy("_place")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     numbered = (
         placed.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), zero))
         .join(offsets, ["_range", *group])
         .select(*names, "_copies", (F.col("_offset") + F.col("_before")).alias("_start"))
     )
-
-    most = placed.agg(F.max("_copies")).first()[0] or 1
-    if most == 1:
-        return numbered.select(*names, (F.col("_start") + 1).alias(out))
     chunks = numbered.select(
         *names, "_copies", "_start",
         F.explode(F.sequence(zero, F.expr(f"(_copies - 1) div {_CHUNK}"))).alias("_chunk"),

@@ -10,12 +10,19 @@ def test_numbers_equal_row_number_with_a_hot_group_and_copies(spark):
         (F.col("id") * 7919 % 500).alias("o"),
         F.when(F.col("id") % 5 == 0, "same").otherwise(F.col("id").cast("string")).alias("v"),
     )
+    check(df)
+    check(df.distinct())
     # Half of the hot group are copies of one row.
-    df = df.unionByName(spark.range(3000).select(F.lit("hot").alias("g"), F.lit(7).cast("long").alias("o"), F.lit("c").alias("v")))
+    copies = spark.range(3000).selectExpr("'hot' as g", "7L as o", "'c' as v")
+    check(df.unionByName(copies))
+
+
+def check(df):
     got = number_rows(df, ["g"], ["o"], "n")
     want = df.withColumn(
         "n", F.row_number().over(Window.partitionBy("g").orderBy("o", F.xxhash64("v"), "v"))
     )
+
     def bag(d):
         return sorted((r.g, r.n, r.o, r.v) for r in d.collect())
 
