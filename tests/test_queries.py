@@ -50,7 +50,7 @@ def test_query(spark, given, name):
     assert ok, note
 
 
-# Order inside groups of equal keys is open in these three checks.
+# Order inside groups of equal keys is open in these checks.
 OPEN_ORDER = {"report_occurrences", "report_sections", "sarif_document", "manifest_format"}
 SKEWED = [
     n for n in entry.queries()
