@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import mixing
+from gatewarden.llm import chat, mixing
 
-_MODULES = (mixing,)
+_MODULES = (chat, mixing)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
