@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import chat, exact_dedup, mixing
+from gatewarden.llm import chat, exact_dedup, mixing, warc
 
-_MODULES = (chat, exact_dedup, mixing)
+_MODULES = (chat, exact_dedup, mixing, warc)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
