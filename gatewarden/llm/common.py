@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def broadcast_if_bounded(table: DataFrame, text_columns: tuple[str, ...] = ()) -
 def text_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, list]]:
     """Values of a string column in slices of about ``most`` characters (one text at least)."""
     values = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and total + size > most:

@@ -27,20 +27,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gatewarden.llm.common import broadcast_if_bounded, read, whole_text
+from gatewarden.llm.common import broadcast_if_bounded, read, text_slices, whole_text
 from gatewarden.session import cut_lineage
 
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
-#: Ids in a shard and in a task that writes shards (documents are kept whole).
-SHARD_IDS, TASK_IDS = 1 << 20, 1 << 22
+#: Ids in a shard (documents are kept whole), and bytes of text for a task that writes shards.
+SHARD_IDS, TASK_BYTES = 1 << 20, 16_000_000
 #: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 2_000_000
 MAGIC, BLOCK_BITS = b"WMATRIX1", 512
 ID = np.dtype("<u4")
 NO_ID = -(1 << 63)
@@ -53,37 +56,60 @@ class WordEncoder:
 
     #: Separators on which the library and ``str.split`` may differ.
     UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0]")
+    #: Fixed value: the pattern by which the tokenizer splits.
+    WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        for piece in pieces:
-            self.known[piece] = self._whole(piece)
-
-    def encode(self, text: str) -> bytes:
+        """Encode the words of new pieces in one call; the last id of each word tells where it ends."""
+        known, parts = self.known, {p: self.WORD.findall(p) for p in pieces}
+        words = [w for w in dict.fromkeys(w for ws in parts.values() for w in ws) if w not in known]
+        if len(known) + len(words) + len(pieces) > REMEMBERED:
+            known.clear()
+            words = list(dict.fromkeys(w for ws in parts.values() for w in ws))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, ID)
+        stops = np.flatnonzero(self.is_end[ids]) + 1
+        if len(stops) == len(words):
+            data, at = ids.tobytes(), [0, *(stops * ID.itemsize).tolist()]
+            known.update(zip(words, (data[a:b] for a, b in zip(at, at[1:])), strict=True))
+        else:
+            known.update((w, self._whole(w)) for w in words)
+        for piece, ws in parts.items():
+            known[piece] = b"".join([known[w] for w in ws])
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """What stands between white space, or none if the library must see the whole text."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._whole(text)
+            return None
         if self.UNUSUAL.search(text):
-            return self._whole(text)
-        pieces, known = text.lower().split(), self.known
-        if max(map(len, pieces), default=0) > REMEMBERED_CHARS:
-            return self._whole(text)
+            return None
+        pieces = text.lower().split()
+        return pieces if max(map(len, pieces), default=0) <= REMEMBERED_CHARS else None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._pieces(text) for text in texts]
+        new = set().union(*(pieces for pieces in split if pieces)).difference(self.known)
+        if new:
+            self._learn(sorted(new))
+        known = self.known
         try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            self._learn([p for p in dict.fromkeys(pieces) if p not in known])
-            return b"".join([self.known.get(p) or self._whole(p) for p in pieces])
+            return [self._whole(text) if pieces is None else b"".join([known[p] for p in pieces])
+                    for text, pieces in zip(texts, split, strict=True)]
+        except KeyError:  # the table was emptied to make room
+            self._learn(sorted(set().union(*(pieces for pieces in split if pieces))))
+            return self.encode(texts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -194,53 +220,45 @@ def read_shard(content: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), WaveletMatrix(n, planes)
 
 
-def encode(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids, n_ids`` with the ids as bytes, the end id included."""
-    end = np.array([end_id], ID).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path)
-        for batch in batches:
-            doc_ids, out, size, start = batch.column("doc_id"), [], 0, 0
-            for i, text in enumerate(batch.column("text")):
-                out.append(encoder.encode(text.as_py()) + end)
-                size += len(out[-1])
-                if size > 4_000_000 or i + 1 == batch.num_rows:
-                    counts = [len(x) // ID.itemsize for x in out]
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(out)), pa.array(out, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "ids", "n_ids"])
-                    start, out, size = i + 1, [], 0
-
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text().alias("text")).mapInArrow(
-        run, "doc_id long, ids binary, n_ids long")
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[int, bytes]]:
+    encoder, end = word_encoder(path), np.array([end_id], ID).tobytes()
+    for batch in batches:
+        doc_ids = batch.column("doc_id").to_pylist()
+        for start, texts in text_slices(batch, "text", SLICE_BYTES):
+            for i, ids in enumerate(encoder.encode(texts), start):
+                yield doc_ids[i], ids + end
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     part, seq, doc_ids, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([write_shard(doc_ids, ids)], pa.binary())], names=["part", "seq", "n_ids", "content"])
-
-    for batch in batches:
-        for doc_id, x in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
-            data = x.as_py()
-            if ids and size + len(data) // ID.itemsize > SHARD_IDS:
-                yield row()
-                seq, doc_ids, ids, size = seq + 1, [], [], 0
-            doc_ids.append(doc_id.as_py())
-            ids.append(data)
-            size += len(data) // ID.itemsize
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()),
+             pa.array([write_shard(doc_ids, ids)], pa.binary())], names=["part", "seq", "n_ids", "content"])
+
+    for doc_id, data in _encoded(batches, path, end_id):
+        if ids and size + len(data) // ID.itemsize > SHARD_IDS:
+            yield row()
+            seq, doc_ids, ids, size = seq + 1, [], [], 0
+        doc_ids.append(doc_id)
+        ids.append(data)
+        size += len(data) // ID.itemsize
     if ids:
         yield row()
 
 
 def write_shards(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """The shards (``part, seq`` in ascending order of documents), written to the shared folder."""
-    encoded = cut_lineage(encode(docs, path, end_id))  # once: finding the ranges would encode again
-    total = encoded.agg(F.coalesce(F.sum("n_ids"), F.lit(0))).first()[0]
-    tie = F.xxhash64("ids", F.monotonically_increasing_id())  # lets a repeated id be spread
-    ranges = encoded.withColumn("tie", tie).repartitionByRange(max(1, -(-total // TASK_IDS)), "doc_id", "tie")
-    ordered = ranges.sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    return cut_lineage(ordered.mapInArrow(_write, SHARD))
+    """The shards (``part, seq`` in ascending order of documents), written to the shared folder.
+
+    Texts are dealt to ranges of ids, not their tokens: finding the ranges samples ids
+    only, and each text is encoded once, in the task that writes its shard.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text().alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())  # lets the rows of a repeated id be spread
+    ranges = rows.repartitionByRange(max(1, -(-total // TASK_BYTES)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return cut_lineage(ranges.select("doc_id", "text").mapInArrow(lambda batches: _shards(batches, path, end_id), SHARD))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
