@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import bpe, chat, exact_dedup, mixing, near_dedup, token_store, toxicity, warc
+from gatewarden.llm import bpe, chat, exact_dedup, mixing, near_dedup, suffix_dedup, token_store, toxicity, warc
 
-_MODULES = (bpe, chat, exact_dedup, mixing, near_dedup, token_store, toxicity, warc)
+_MODULES = (bpe, chat, exact_dedup, mixing, near_dedup, suffix_dedup, token_store, toxicity, warc)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
