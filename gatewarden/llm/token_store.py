@@ -41,7 +41,7 @@ TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 #: Ids in a shard (documents are kept whole), and bytes of text for a task that writes shards.
 SHARD_IDS, TASK_BYTES = 1 << 20, 16_000_000
 #: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+REMEMBERED, REMEMBERED_CHARS = 1_200_000, 64
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 2_000_000
 MAGIC, BLOCK_BITS = b"WMATRIX1", 512
@@ -56,6 +56,7 @@ class WordEncoder:
 
     #: Separators on which the library and ``str.split`` may differ.
     UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0]")
+    BEYOND = re.compile("[^\x00-\xff]")
     #: Fixed value: the pattern by which the tokenizer splits.
     WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -89,9 +90,7 @@ class WordEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """What stands between white space, or none if the library must see the whole text."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
+        if not text.isascii() and self.BEYOND.search(text):
             return None
         if self.UNUSUAL.search(text):
             return None
@@ -129,22 +128,24 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        levels, planes, x = max(1, int(ids.max(initial=0)).bit_length()), [], ids
+        levels, planes = max(1, int(ids.max(initial=0)).bit_length()), []
+        x = ids.astype(np.uint16) if levels <= 16 else ids  # narrower numbers move faster
         for level in range(levels - 1, -1, -1):
-            bit = (x >> np.uint32(level) & np.uint32(1)).astype(bool)
+            bit = (x & x.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit))
             x = np.concatenate([x[~bit], x[bit]])
         return cls(len(ids), planes)
 
     def decode(self) -> np.ndarray:
         """All ids: the moves of the levels are undone from the last to the first."""
-        x = np.zeros(self.n, ID)
+        narrow = np.uint16 if len(self.planes) <= 16 else np.uint32
+        x = np.zeros(self.n, narrow)
         for k in range(len(self.planes) - 1, -1, -1):
-            bit, zeros, up = self.bits[k], self.zeros[k], np.empty(self.n, ID)
+            bit, zeros, up = self.bits[k], self.zeros[k], np.empty(self.n, narrow)
             up[~bit] = x[:zeros]
-            up[bit] = x[zeros:] | np.uint32(1 << (len(self.planes) - 1 - k))
+            up[bit] = x[zeros:] | narrow(1 << (len(self.planes) - 1 - k))
             x = up
-        return x
+        return x.astype(ID)
 
     def _ones(self, k: int, i: int) -> int:
         """Ones in plane k before place i, from the block counts and one block."""
