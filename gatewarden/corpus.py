@@ -67,6 +67,17 @@ PERMISSIONS = (
     "permissions: { issues: read, contents: write }",
     "permissions:",
 )
+# Frames around a document and a document in flow form, chosen by number.
+BEFORE = (
+    "\ufeff", "", "%YAML 1.2\n---\n", "", "", '"quoted key": x\n', 'label: "two\nlines: here"\n', "",
+)
+AFTER = (
+    "", "\n...\nstray text", "", "", "\n1.2 key: x\na.b: y\n42: z", "", "", "\n---\nname: again\nname: twice",
+)
+FLOW_DOCUMENT = (
+    "{name: flow, on: [push, pull_request_target], permissions: {contents: write},\n"
+    " jobs: {build: {steps: [{uses: actions/checkout@v4}, {run: make}]}}}"
+)
 JOBS = "jobs:\n  build:\n    steps:"
 SCRIPT_HEAD = "      - name: note\n        run: |\n          "
 SCRIPT_BREAK = "\n          "
@@ -88,20 +99,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = 1000) -> DataFrame:
+    """The same table as a stream, ``files`` of its files at a time."""
     schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     # A pattern, because a plain path would have to be a folder.
     return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a source of very few files; large sources stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _pick(values: tuple[str | None, ...], number: str) -> Column:
     return F.expr(pick(values, number))
 
@@ -134,8 +139,11 @@ def _content(fid: str, body: str) -> str:
         f"{literal(JOBS)}, if({fid} % 29 = 11, '\\tbad: tab', null), {body}, "
         f"if({fid} % 17 = 7, '', null))"
     )
+    odd, form = f"{fid} % 53 = 29", f"{fid} div 53 % 8"
+    text = f"concat(if({odd}, {pick(BEFORE, form)}, ''), {text}, if({odd}, {pick(AFTER, form)}, ''))"
     return (
         f"case when {fid} % 37 = 17 then '' when {fid} % 41 = 19 then '# nothing here' "
+        f"when {odd} and {form} = 3 then {literal(FLOW_DOCUMENT)} "
         f"when {fid} % 43 = 23 then '- item\\n- other' "
         f"else replace({text}, '\\n', if({fid} % 11 = 3, '\\r\\n', '\\n')) end"
     )
@@ -147,7 +155,7 @@ def workflow_files(spark: SparkSession, sf_dir: str, stream: bool = False) -> Da
     def source(name: str, *columns: str) -> DataFrame:
         if stream:
             return stream_table(spark, sf_dir, name).select(*columns)
-        return _spread(table(spark, sf_dir, name).select(*columns))
+        return table(spark, sf_dir, name).select(*columns)
 
     number = "(o_custkey * 7 + o_orderkey * 5 + i * i * 2 + i * (o_custkey % 13 + 1)) % 27"
     shifted = [_shift_indent(s) for s in STEP_LINES]
@@ -278,7 +286,7 @@ def repo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "when 2 then l_partkey % 2 * 6 + l_linenumber % 2 * 8 else l_partkey % 23 end"
     )
     columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return _spread(table(spark, sf_dir, "lineitem").select(*columns)).select(
+    return table(spark, sf_dir, "lineitem").select(*columns).select(
         repo_name(F.expr("l_orderkey div 48")).alias("full_name"),
         F.concat(
             _pick(TREE_DIRECTORIES, "l_suppkey % 9"),

@@ -1,9 +1,11 @@
 """Top-level structure of a workflow document, without a YAML library.
 
-Everything is computed from the one row that holds the document. Limits: no
-anchors or merge keys, no multi-document files, no flow collections nested more
-than two deep, ``#`` after a blank always starts a comment (also in quotes), and
-nested syntax errors go unnoticed.
+Everything is computed from the one row that holds the document, the first one of the
+file. Files that are certainly no mapping (stray text at column 0, a list, a tab before
+content, a repeated key) are dropped; where this reader is unsure, a file counts as
+valid. Limits: anchors, aliases, tags and explicit keys are not followed, flow
+collections only three deep, ``#`` after a blank always starts a comment (also in
+quotes), and nested syntax errors go unnoticed.
 """
 
 from __future__ import annotations
@@ -12,20 +14,30 @@ from pyspark.sql import DataFrame
 
 from gatewarden.functions.sql import literal
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_-]*"
-_KEY = rf"""(?:{_NAME}|"{_NAME}"|'{_NAME}')[ \t]*:(?=[ \t\r]|$)"""
-# A line at column 0 which is none of: indented, blank, comment, document mark,
-# closing bracket, list item, key. A tab before content also lands here.
-_MISPLACED = (
-    r"(?dm)^(?! |[ \t\r]*$|[ \t]*#|---[ \t\r]*(?:[ \t]#.*)?$|[\]}]|-(?:[ \t\r]|$)|" + _KEY + ")"
-)
-# A key with its colon; mismatched quotes are caught by the pattern above.
+# A plain scalar as a key begins with none of the indicators and ends at its colon.
+_PLAIN = r"(?:[^\s#,\[\]{}&*!|>'\"%@`?:-]|[?:-](?=[^\s]))(?:(?![ \t]#|:(?:[ \t\r]|$))[^\n])*+"
+_KEY = r"""^("(?:[^"\\\n]|\\.)*+"|'(?:[^'\n]|'')*+'|""" + _PLAIN + r""")[ \t]*:(?=[ \t\r]|$)"""
+# Lines at column 0 that are neither blank nor comments. A tab before content also is one.
+_TOP = r"(?dm)^(?! |[ \t\r]*$|[ \t]*#)[^\n]*"
+# What such a line may be, besides a key: closing bracket, list item, and forms this
+# reader does not follow (anchor, alias, tag, explicit key), which are given the benefit.
+_OTHER = r"^(?:[\]}]|-(?:[ \t\r]|$)|\?(?:[ \t\r]|$)|[&*!])"
 _KEY_START = r"[\"']?{}[\"']?[ \t]*:(?![^ \t\r\n])"
-_KEYS = r"(?dm)^[\"']?(" + _NAME + r")[\"']?[ \t]*:(?![^ \t\r\n])"
-_FIRST_ITEM_OR_KEY = r"(?dm)^(-(?=[ \t\r]|$)|" + _KEY_START.format(_NAME) + ")"
 # The line of a key and all lines up to the next one that may open a section. The
 # repetition is possessive: it does not recurse, however long the section is.
-_SECTION = r"(?dm)^" + _KEY_START + r"[^\n]*(?:\n(?![A-Za-z_\"'])[^\n]*)*+"
+_SECTION = r"(?dm)^" + _KEY_START + r"[^\n]*(?:\n(?![^ \t\r\n#\-\]}}])[^\n]*)*+"
+# The frame of a document: mark, directives, opening mark, and what follows its end.
+_MARK = "\ufeff"
+_DIRECTIVES = r"(?d)\A(?:[ \t\r]*(?:#[^\n]*)?\n)*%[^\n]*\n(?:[%#][^\n]*\n|[ \t\r]*\n)*"
+_OPENING = r"(?d)\A((?:[ \t\r]*(?:#[^\n]*)?\n)*+)---(?=[ \t\r\n]|\z)"
+_ENDING = r"(?ds)(?:\A|\n)(?:---|\.\.\.)(?=[ \t\r\n]|\z).*"
+# A quoted value of a key at column 0 that goes on over the next lines.
+_LONG_QUOTE = (
+    r"""(?dm)^([^\s#][^\n"']*:[ \t]+)(?:"(?:[^"\\\n]|\\.)*+\n(?:[^"\\]|\\.)*+"|'(?:[^'\n]|'')*+\n(?:[^']|'')*+')"""
+)
+# Entries of a flow mapping, with collections in it up to three deep.
+_DEEP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*+\})*+\}"
+_FLOW_ENTRY = r"""(?:[^,\[\]{}"']|"(?:[^"\\]|\\.)*+"|'[^']*+'|\[(?:[^\[\]]|\[[^\[\]]*\])*+\]|""" + _DEEP + ")+"
 _COMMENT = r"(?dm)(^|[ \t])#.*$"
 _LINE_END = r"(?dm)[ \t\r]+$"
 _EMPTY_LINE = r"(?d)\n(?:---)?(?=\n|\z)"
@@ -108,30 +120,57 @@ def _contents(section: str, form: str) -> str:
     return f"coalesce(regexp_extract({found}, {literal(_CONTENTS)}, 1), '')"
 
 
+def _document(content: str) -> str:
+    """The first document of a file; each step only where it is needed."""
+    text = f"if(startswith({content}, {literal(_MARK)}), substr({content}, 2), {content})"
+    text = f"if(contains(left({content}, 2000), '%'), {_replace(text, _DIRECTIVES)}, {text})"
+    framed = f"contains({content}, '---') or contains({content}, '\\n...')"
+    bare = f"regexp_replace(regexp_replace({text}, {literal(_OPENING)}, '$1'), {literal(_ENDING)}, '')"
+    return f"if({framed}, {bare}, {text})"
+
+
+def _as_block(doc: str) -> str:
+    """A top-level flow mapping as one line per entry; long quoted values on one line."""
+    space = literal(" \t\r\n")
+    inner = _replace(f"btrim({doc}, {space})", r"^\{|\}$")
+    entries = f"regexp_extract_all({inner}, {literal(_FLOW_ENTRY)}, 0)"
+    lines = f"array_join(transform({entries}, e -> btrim(regexp_replace(e, {literal('[ \t\r\n]+')}, ' '))), '\\n')"
+    quoted = f"regexp_replace({doc}, {literal(_LONG_QUOTE)}, {literal('$1' + chr(34) * 2)})"
+    open_quote = " or ".join(f"contains({doc}, {literal(': ' + q)})" for q in ('"', "'"))
+    return f"case when startswith(ltrim({space}, {doc}), '{{') then {lines} when {open_quote} then {quoted} else {doc} end"
+
+
 def with_header(files: DataFrame, content: str = "content", out: str = "header") -> DataFrame:
     """Add ``out``: struct(parse_ok, permissions_form, contents, triggers).
 
     The stages are separate projections so that each shared part is computed
-    once for a row; none of them moves rows between tasks.
+    once for a row; none of them moves rows between tasks. The content is read once
+    for its lines at column 0, and again only for sections that are there.
     """
     keep = [f"`{c}`" for c in files.columns]
-    first = f"regexp_extract({content}, {literal(_FIRST_ITEM_OR_KEY)}, 1)"
-    all_keys = f"regexp_extract_all({content}, {literal(_KEYS)}, 1)"
-    well_formed = (
-        f"length({content}) > 0 and not {content} rlike {literal(_MISPLACED)} "
-        f"and not startswith({first}, '-')"
-    )
+    name = _unquote(f"regexp_extract(x, {literal(_KEY)}, 1)")
+    keys = f"filter(transform(_top, x -> {name}), k -> k <> '')"
+    allowed = f"(x rlike {literal(_KEY)} or x rlike {literal(_OTHER)})"
     sections = {"_on": "on", "_perm": "permissions"}
     return (
-        files.selectExpr(
-            *keep,
-            f"{all_keys} as _keys",
-            f"{well_formed} as _well_formed",
-            *[f"{_section(content, key)} as {name}_text" for name, key in sections.items()],
+        files.selectExpr(*keep, f"{_document(content)} as _raw")
+        .selectExpr(*keep, f"{_as_block('_raw')} as _doc")
+        .selectExpr(*keep, "_doc", f"regexp_extract_all(_doc, {literal(_TOP)}, 0) as _top")
+        .selectExpr(
+            *keep, "_doc", f"{keys} as _keys",
+            f"length({content}) > 0 and not exists(_top, x -> not {allowed}) and not "
+            f"coalesce(get(_top, 0) rlike {literal('^-(?:[ \t\r]|$)')}, false) as _well_formed",
         )
         .selectExpr(
             *keep,
             "_well_formed and size(_keys) = size(array_distinct(_keys)) as _ok",
+            *[
+                f"if(array_contains(_keys, '{key}'), {_section('_doc', key)}, '') as {n}_text"
+                for n, key in sections.items()
+            ],
+        )
+        .selectExpr(
+            *keep, "_ok",
             *[f"if({n}_text = '', null, split({n}_text, '\n', -1)) as {n}_lines" for n in sections],
         )
         .selectExpr(*keep, "_ok", *[f"{_rest_and_children(f'{n}_lines')} as {n}" for n in sections])

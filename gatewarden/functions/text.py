@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 # The code points with the Unicode White_Space property.
 UNICODE_SPACE = (
-    "\t\n\x0b\f\r \u0085  "
-    "           "
-    "    　"
+    "\t\n\x0b\f\r \u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
+
 def unicode_trim(text: Column) -> Column:
     """Strip all Unicode white space; ``trim`` alone knows only U+0020."""
     return F.btrim(text, F.lit(UNICODE_SPACE))

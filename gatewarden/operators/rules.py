@@ -244,7 +244,7 @@ LINE_RULES: tuple[LineRule, ...] = (
         needles=("${{",),
         guard_pattern=r"(?diu)" + _OPEN + r"secrets\.",
         pattern=(
-            r"(?diu)\A(?>.*?(?:echo|print|console\.log|cat))(?>.*?" + _OPEN + r"secrets\.)"
+            r"(?diu)\A(?>.*?(?:echo|pr(?-iu:[iI])nt|console\.log|cat))(?>.*?" + _OPEN + r"secrets\.)"
         ),
     ),
     LineRule(

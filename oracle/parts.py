@@ -59,9 +59,15 @@ def content(fid: str, body: str) -> str:
         f"CASE WHEN {fid} % 29 = 11 THEN chr(9) || 'bad: tab' END, "
         f"{body}, CASE WHEN {fid} % 17 = 7 THEN '' END)"
     )
+    odd, form = f"{fid} % 53 = 29", f"({fid} // 53) % 8"
+    text = (
+        f"concat(CASE WHEN {odd} THEN {pick(corpus.BEFORE, form)} END, {text}, "
+        f"CASE WHEN {odd} THEN {pick(corpus.AFTER, form)} END)"
+    )
     return (
         f"CASE WHEN {fid} % 37 = 17 THEN '' "
         f"WHEN {fid} % 41 = 19 THEN '# nothing here' "
+        f"WHEN {odd} AND {form} = 3 THEN {quote(corpus.FLOW_DOCUMENT)} "
         f"WHEN {fid} % 43 = 23 THEN '- item' || chr(10) || '- other' "
         f"WHEN {fid} % 11 = 3 THEN replace({text}, chr(10), chr(13) || chr(10)) "
         f"ELSE {text} END"
@@ -112,7 +118,7 @@ P_CHECKOUT = r"uses:" + W + r"+actions/checkout@"
 P_SAFE = r"ref:" + W + "*" + O + r"github\.event\.pull_request\.base\.sha" + W + r"*\}\}"
 P_UNSAFE = r"ref:" + W + "*" + O + r"github\.event\.pull_request\.head\."
 QUOTED = "(contains(line, '\"${{') OR contains(line, '''${{'))"
-_KEY = r"^(?:([A-Za-z_][A-Za-z0-9_-]*)|\"([A-Za-z_][A-Za-z0-9_-]*)\"|'([A-Za-z_][A-Za-z0-9_-]*)')[ \t]*:(?:[ \t]|$)"
+_KEY = r"^(?:([^\s#,\[\]{}&*!|>'\"%@`?:-](?:[^:]|:[^ \t])*?)|\"([^\"]*)\"|'([^']*)')[ \t]*:(?:[ \t]|$)"
 _KEY_SQL = _KEY.replace('\\"', '"').replace("'", "''")
 
 
@@ -150,14 +156,35 @@ PARTS: dict[str, str] = {
         SELECT fk, full_name, repo_ord, wf_ord, path, unnest(parts) AS line,
                unnest(range(1, len(parts) + 1)) AS line_no
         FROM (SELECT *, string_split(content, chr(10)) AS parts FROM files WHERE content <> '')""",
-    # Header work on cleaned lines.
-    "clean": r"""
+    # Header work on cleaned lines of the first document of a file.
+    "cleaned": r"""
         SELECT fk, line_no, text FROM (
-          SELECT fk, line_no,
-                 regexp_replace(regexp_replace(regexp_replace(line, '\r$', ''), '(^|[ \t])#.*$', ''),
-                                '[ \t\r]+$', '') AS text
+          SELECT fk, line_no, regexp_replace(regexp_replace(regexp_replace(
+                   CASE WHEN line_no = 1 THEN ltrim(line, chr(65279)) ELSE line END,
+                   '\r$', ''), '(^|[ \t])#.*$', ''), '[ \t\r]+$', '') AS text
           FROM lines)
-        WHERE text NOT IN ('', '---')""",
+        WHERE text <> ''""",
+    "framed": r"""
+        SELECT *, min(CASE WHEN line_no > opening AND regexp_matches(text, '^(---|\.\.\.)([ \t]|$)') THEN line_no END)
+                    OVER (PARTITION BY fk) AS ending,
+               min(CASE WHEN regexp_matches(text, '^[^ #"''][^"'']*: +"[^"]*$') THEN line_no END)
+                    OVER (PARTITION BY fk) AS quoted
+        FROM (SELECT *, min(CASE WHEN NOT regexp_matches(text, '^(%|---([ \t]|$))') THEN line_no END)
+                          OVER (PARTITION BY fk) AS opening FROM cleaned)""",
+    "block": r"""
+        SELECT fk, line_no, text FROM (
+          SELECT *, min(CASE WHEN line_no > quoted AND contains(text, '"') THEN line_no END) OVER (PARTITION BY fk) AS unquoted
+          FROM framed)
+        WHERE line_no >= opening AND line_no < coalesce(ending, line_no + 1)
+          AND NOT coalesce(line_no > quoted AND line_no <= unquoted, false)""",
+    "flow": r"""
+        SELECT fk, unnest(range(1, len(parts) + 1)) AS line_no, trim(unnest(parts)) AS text FROM (
+          SELECT fk, regexp_extract_all(regexp_replace(string_agg(text, ' ' ORDER BY line_no), '^\{|\}$', '', 'g'),
+                 '(?:[^,\[\]{}"'']|"[^"]*"|''[^'']*''|\[[^\[\]]*\]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})+') AS parts
+          FROM block GROUP BY fk HAVING starts_with(first(text ORDER BY line_no), '{'))""",
+    "clean": """
+        SELECT fk, line_no, text FROM block WHERE fk NOT IN (SELECT fk FROM flow)
+        UNION ALL SELECT fk, line_no, text FROM flow""",
     "keyed": f"""
         SELECT *, last_value(key IGNORE NULLS) OVER w AS owner FROM (
           SELECT *, CASE WHEN {has('text', _KEY_SQL)} THEN
@@ -173,7 +200,7 @@ PARTS: dict[str, str] = {
                    WHEN regexp_matches(text, '^[ ]*\t') THEN NOT regexp_matches(text, '^\t')
                    WHEN text LIKE ' %' THEN true
                    WHEN text = '-' OR regexp_matches(text, '^-[ \t]') THEN owner IS NOT NULL
-                   ELSE text LIKE ']%' OR text LIKE '}%' END)
+                   ELSE regexp_matches(text, '^[\]}&*!]') OR regexp_matches(text, '^\?([ \t]|$)') END)
                  AND count(key) = count(DISTINCT key) AS ok
           FROM keyed GROUP BY fk) USING (fk)""",
     "section": r"""

@@ -36,6 +36,24 @@ CASES = [
     ("a:\n\tb: 1", (False, "absent", "", [])),
     ("a:\n  \tb", (True, "absent", "", [])),
     ("a: [\n  1\n]\nb: {\n  c: 1\n}", (True, "absent", "", [])),
+    ("\ufeffon: push", (True, "absent", "", ["push"])),
+    ("on: push\n...\n", (True, "absent", "", ["push"])),
+    ("on: push\n...\nstray : text\nwhatever", (True, "absent", "", ["push"])),
+    ("%YAML 1.2\n---\non: push", (True, "absent", "", ["push"])),
+    ("# c\n%YAML 1.2\n%TAG ! x\n# d\n--- # e\non: push", (True, "absent", "", ["push"])),
+    ("{on: push, permissions: {contents: write}}", (True, "flow map", "write", ["push"])),
+    ("---\n{\n  'on': [push, x],\n  jobs: {a: {steps: [{run: 'a, b'}]}}\n}\n", (True, "absent", "", ["push", "x"])),
+    ("a.b: 1\non: push", (True, "absent", "", ["push"])),
+    ("a b: 1\n42: x\non: push", (True, "absent", "", ["push"])),
+    ("'a b': 1\n\"c d\": 2\non: push", (True, "absent", "", ["push"])),
+    ("name: \"two\nlines: here\"\non: push", (True, "absent", "", ["push"])),
+    ("name: 'two\n\n  it''s'\non: push", (True, "absent", "", ["push"])),
+    ("on: push\n---\non: pull_request\non: x", (True, "absent", "", ["push"])),
+    ("x: &a\n  b: 1\n<<: *a\non: push", (True, "absent", "", ["push"])),
+    ("on: push\n42: y\npermissions:\n  contents: write\n1.5: x", (True, "block map", "write", ["push"])),
+    ("a b: 1\na b: 2", (False, "absent", "", [])),
+    ("{a: 1, a: 2}", (False, "absent", "", [])),
+    ("on: push\na : b\n\tc: d", (False, "absent", "", ["push"])),
 ]
 
 

@@ -68,3 +68,18 @@ def test_templates_from_a_folder(spark, tmp_path):
     assert rows == {"codeql": "l: \n        - 'go'\n        - 'rust'\n", "own": "x: 'language'\n"}
     plain = {r.tool: r.content for r in render.render(repos, templates, ("own",), as_list=False).collect()}
     assert plain == {"codeql": "l: [ 'go, rust' ]\n", "own": "x: 'go, rust'\n"}
+
+
+def test_fixed_values_are_pinned():
+    """The checks in SQL import these, so that an error in them would go unseen there."""
+    from gatewarden.functions.text import UNICODE_SPACE
+    from gatewarden.operators.languages import EXTENSION_LANGUAGE
+    from gatewarden.operators.rules import CATALOG
+
+    spaces = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    assert sorted(map(ord, UNICODE_SPACE)) == spaces
+    of = dict(EXTENSION_LANGUAGE)
+    assert len(of) == 19 and (of[".go"], of[".py"], of[".cs"], of[".rb"], of[".kt"]) == ("go", "python", "csharp", "ruby", "java")
+    assert [e.rule_id for e in CATALOG] == [f"R{i:02d}" for i in range(1, 13)]
+    assert [e.severity for e in CATALOG] == [
+        "MEDIUM", "MEDIUM", "HIGH", "HIGH", "MEDIUM", "MEDIUM", "HIGH", "LOW", "LOW", "HIGH", "HIGH", "MEDIUM"]

@@ -47,6 +47,8 @@ CASES = {
     "secret long s": (lines("    x: cat ${{ \u017fecrets.A }}"), {("R04", 4)}),
     "cat in a word": (lines("    authentication: ${{ secrets.A }}"), {("R04", 4)}),
     "secret alone": (lines("    key: ${{ secrets.A }}"), set()),
+    "print with other letters": (lines("    run: pr\u0131nt ${{ secrets.A }}", "    run: PR\u0130NT ${{ secrets.A }}"), set()),
+    "print in capitals": (lines("    run: PrInT ${{ secrets.A }}"), {("R04", 4)}),
     "secret before print": (lines("    key: ${{ secrets.A }} echo"), set()),
     "env secret": (lines("    env: { A: ${{ secrets.A }} }"), {("R05", 4)}),
     "env masked": (lines("    env: { A: ${{ secrets.A }} } # mask: true"), set()),
