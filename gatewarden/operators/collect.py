@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import is_workflow_name
-from gatewarden.operators.ranking import broadcast_if_small, number_rows
-
-PATHS_PER_LINE = 1_000
+from gatewarden.operators.ranking import bounded_by, number_rows
 
 
 def workflow_items(listings: DataFrame, files_only: bool = True) -> DataFrame:
@@ -33,7 +31,8 @@ def collect_repos(candidates: DataFrame, listings: DataFrame, limit: int) -> Dat
         .limit(limit)
     )
     return items.join(
-        broadcast_if_small(chosen.select("full_name", "indexed_at")), "full_name"
+        # the limit of the caller bounds this side
+        bounded_by(chosen.select("full_name", "indexed_at"), limit), "full_name"
     ).select("full_name", "indexed_at", "item_ord", "path")
 
 
@@ -52,7 +51,7 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     Lines without ``": "`` and names without ``/`` are dropped; paths are not
     trimmed, and an empty list of paths gives one empty path.
     """
-    value = F.regexp_replace("value", "\r$", "")
+    value = F.regexp_replace("value", r"(?d)\r\z", "")
     parts = F.split(value, ": ", 2)
     split = lines.select(F.col("line_no").alias("repo_ord"), parts.alias("parts"))
     named = split.where(F.size("parts") == 2).select(
@@ -77,23 +76,48 @@ def manifest_paths(repos: DataFrame) -> DataFrame:
     )
 
 
-def format_manifest(items: DataFrame, per_line: int = PATHS_PER_LINE) -> DataFrame:
-    """``full_name, part, value``: list lines from one row per (repository, path).
+def join_parts(repos: DataFrame) -> DataFrame:
+    """Put lines of one name together: for lists that were written with ``per_line``.
 
-    ``items`` needs ``full_name, item_ord, path``. A repository with more than
-    ``per_line`` paths takes several lines, each a valid line of its own.
+    The paths follow the order of the lines and the entry takes the place of the first
+    one. Lists from elsewhere may name a repository twice on purpose; leave those as
+    they are.
     """
-    numbered = number_rows(
-        items.select("full_name", "item_ord", "path"), ["full_name"], ["item_ord"], "number"
-    ).withColumn("part", F.expr(f"(number - 1) div {per_line}"))
-    gathered = numbered.groupBy("full_name", "part").agg(
-        F.array_sort(F.collect_list(F.struct("number", "path"))).alias("paths")
+    return (
+        repos.groupBy("owner", "name", "full_name")
+        .agg(
+            F.min("repo_ord").alias("repo_ord"),
+            F.array_sort(F.collect_list(F.struct("repo_ord", "workflows"))).alias("parts"),
+        )
+        .select(
+            "repo_ord", "owner", "name", "full_name",
+            F.flatten(F.transform("parts", lambda p: p["workflows"])).alias("workflows"),
+        )
     )
-    return gathered.select(
-        "full_name",
-        F.col("part").cast("long").alias("part"),
-        F.concat(
+
+
+def format_manifest(items: DataFrame, per_line: int | None = None) -> DataFrame:
+    """``full_name, value``: one list line per repository from one row per path.
+
+    ``items`` needs ``full_name, item_ord, path``. With ``per_line`` a repository takes
+    several lines of at most so many paths (``full_name, part, value``), which
+    ``join_parts`` puts together again; without it a line holds all paths.
+    """
+
+    def line(paths: Column) -> Column:
+        return F.concat(
             F.col("full_name"), F.lit(": "),
-            F.array_join(F.transform("paths", lambda x: x["path"]), ","),
-        ).alias("value"),
+            F.array_join(F.transform(paths, lambda x: x["path"]), ","),
+        ).alias("value")
+
+    columns = items.select("full_name", "item_ord", "path")
+    if per_line is None:
+        paths = F.array_sort(F.collect_list(F.struct("item_ord", "path")))
+        return columns.groupBy("full_name").agg(paths.alias("paths")).select("full_name", line(F.col("paths")))
+    numbered = number_rows(columns, ["full_name"], ["item_ord"], "number").withColumn(
+        "part", F.expr(f"(number - 1) div {per_line}").cast("long")
+    )
+    paths = F.array_sort(F.collect_list(F.struct("number", "path")))
+    return numbered.groupBy("full_name", "part").agg(paths.alias("paths")).select(
+        "full_name", "part", line(F.col("paths"))
     )

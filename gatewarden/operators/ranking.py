@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from gatewarden.session import cut_lineage
 
-_CHUNK = 10_000
-_MANY_COPIES = 1_000_000
-
-
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
@@ -22,77 +18,55 @@ def number_rows(
 ) -> DataFrame:
     """``row_number`` inside ``group`` by ``order`` for groups of any size.
 
-    Equal rows are first folded into one row with a count. The rows are placed in
-    ranges by (group, order) and written to the shared folder, so that the
-    ranges stay as they are when executors are lost. Each range is numbered on
-    its own; the number of rows in the ranges before it is added. Columns of
-    ``group`` must not be null. Ties are broken by a hash of the other columns.
+    The rows are written once, placed in ranges by (group, order) and written again, so
+    that the ranges stay as they are when executors are lost. The place of a row in its
+    range is the lower part of its id; the rows of the group in earlier ranges are
+    added. Columns of ``group`` must not be null. Rows that agree in all of them may
+    take any order; their place in the first table keeps them apart.
     """
     names = df.columns
-    rest = [c for c in names if c not in group and c not in order]
-    folded = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
-    tie = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
-    folded = folded.withColumn("_tie", tie)
+    unique = F.monotonically_increasing_id().alias("_id")
 
     def direction(name: str) -> Column:
         return F.desc(name) if name in descending else F.asc(name)
 
-    by = [F.asc(c) for c in group] + [direction(c) for c in order] + [F.asc("_tie")]
-    # Without a fixed number small inputs take few ranges; the order of ranges stays.
+    by = [F.asc(c) for c in group] + [direction(c) for c in order] + [F.asc("_id")]
+    # Finding the ranges reads the written rows, not what they are computed from.
+    written = cut_lineage(df.select("*", unique))
     # The lower 33 bits of the id are the place of a row in its sorted range.
     placed = cut_lineage(
-        folded.repartitionByRange(*by)
+        written.repartitionByRange(*by)
         .sortWithinPartitions(*by)
+        .drop("_id")
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
-
     # One row per range and group that meets it.
     earlier = (
         Window.partitionBy(*(group or [F.lit(0)]))
         .orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    zero = F.lit(0).cast("long")
     offsets = (
         placed.groupBy("_range", *group)
-        .agg(F.sum("_copies").alias("_rows"), F.min("_place").alias("_first"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
         .select(
-            "_range", *group, "_first",
-            F.coalesce(F.sum("_rows").over(earlier), zero).alias("_offset"),
+            "_range", *group,
+            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
         )
     )
-    most = placed.agg(F.max("_copies")).first()[0] or 1
-    if most == 1:
-        number = F.col("_offset") + F.col("_place") - F.col("_first") + 1
-        return placed.join(offsets, ["_range", *group]).select(*names, number.alias(out))
-
-    inside = (
-        Window.partitionBy("_range", *group)
-        .orderBy("_place")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    numbered = (
-        placed.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), zero))
-        .join(offsets, ["_range", *group])
-        .select(*names, "_copies", (F.col("_offset") + F.col("_before")).alias("_start"))
-    )
-    chunks = numbered.select(
-        *names, "_copies", "_start",
-        F.explode(F.sequence(zero, F.expr(f"(_copies - 1) div {_CHUNK}"))).alias("_chunk"),
-    )
-    if most > _MANY_COPIES:
-        chunks = chunks.repartition("_start", "_chunk")
-    first = F.col("_chunk") * _CHUNK + 1
-    last = F.least(F.col("_copies"), first + (_CHUNK - 1))
-    return chunks.select(*names, "_start", F.explode(F.sequence(first, last)).alias("_n")).select(
-        *names, (F.col("_start") + F.col("_n")).alias(out)
-    )
+    number = (F.col("_offset") + F.col("_place")).cast("long")
+    return placed.join(offsets, ["_range", *group]).select(*names, number.alias(out))
 
 
 MAX_BROADCAST_ROWS = 100_000
 
 
+def bounded_by(df: DataFrame, rows: int) -> DataFrame:
+    """Mark ``df``, which a limit of ``rows`` bounds, for broadcast if that is small."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; looks at one row more at most."""
     return df.limit(max_rows + 1).count() <= max_rows
