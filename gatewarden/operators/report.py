@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import unicode_trim
-from gatewarden.operators.ranking import broadcast_if_small, number_rows, write_ordered_text
-from gatewarden.operators.rules import SEVERITIES
+from gatewarden.operators.ranking import number_rows, write_ordered_text
+from gatewarden.operators.rules import SEVERITIES, LineRule
 from gatewarden.operators.scan import FINDING_ORDER, with_catalog
 from gatewarden.session import cut_lineage
 
@@ -57,13 +57,12 @@ def by_type(findings: DataFrame) -> DataFrame:
 
 def per_repo(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """Count per repository; ``repos`` names those that appear with zero too."""
-    counted = findings.groupBy("full_name").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        repos.select("full_name")
-        .distinct()
-        .join(counted, "full_name", "left")
-        .select("full_name", F.coalesce("n", F.lit(0).cast("long")).alias("findings"))
-    )
+    # One aggregate, combined before the shuffle, in place of distinct, count and join.
+    named = repos.select("full_name", F.lit(0).cast("long").alias("n"))
+    hits = findings.select("full_name", F.lit(1).cast("long").alias("n"))
+    known = F.max(F.col("n") == 0)
+    counted = named.unionByName(hits).groupBy("full_name").agg(F.sum("n").alias("findings"), known.alias("known"))
+    return counted.where("known").drop("known")
 
 
 def occurrences(findings: DataFrame) -> DataFrame:
@@ -93,7 +92,9 @@ def _block(section: int, type_rank: Column, occurrence: Column, text: Column) ->
     ]
 
 
-def report(findings: DataFrame, run_time: str) -> DataFrame:
+def report(
+    findings: DataFrame, run_time: str, extra_rules: tuple[LineRule, ...] = ()
+) -> DataFrame:
     """Blocks ``section, type_rank, occurrence, text`` of the Markdown report.
 
     The findings are written once to the shared folder; all parts read them there.
@@ -133,7 +134,7 @@ def report(findings: DataFrame, run_time: str) -> DataFrame:
             ),
         )
     )
-    details = with_catalog(ranked).select(
+    details = with_catalog(ranked, extra_rules).select(
         *_block(
             3, F.col("type_rank"), zero,
             F.concat(
@@ -148,7 +149,8 @@ def report(findings: DataFrame, run_time: str) -> DataFrame:
         )
     )
     numbered = occurrences(findings).join(
-        broadcast_if_small(ranked.select("type", "type_rank"), 10_000), "type"
+        # one row per type of the catalogue
+        F.broadcast(ranked.select("type", "type_rank")), "type"
     )
     listed = numbered.select(
         *_block(
@@ -164,5 +166,8 @@ def report(findings: DataFrame, run_time: str) -> DataFrame:
     return head.unionByName(bars).unionByName(types).unionByName(details).unionByName(listed)
 
 
-def write_report(findings: DataFrame, run_time: str, path: str) -> None:
-    write_ordered_text(report(findings, run_time), ["section", "type_rank", "occurrence"], path)
+def write_report(
+    findings: DataFrame, run_time: str, path: str, extra_rules: tuple[LineRule, ...] = ()
+) -> None:
+    blocks = report(findings, run_time, extra_rules)
+    write_ordered_text(blocks, ["section", "type_rank", "occurrence"], path)

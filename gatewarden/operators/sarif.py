@@ -36,9 +36,9 @@ def _message(description: Column, details: Column) -> Column:
     return F.concat(description, F.lit(" - "), F.substring_index(details, "\n", 1))
 
 
-def rules(findings: DataFrame) -> DataFrame:
+def rules(findings: DataFrame, extra_rules: tuple[LineRule, ...] = ()) -> DataFrame:
     """One row per type with the texts and score of its first finding."""
-    return with_catalog(first_of_type(findings)).select(
+    return with_catalog(first_of_type(findings), extra_rules).select(
         rule_name(F.col("type")).alias("id"),
         F.col("type").alias("name"),
         F.col("description").alias("short_description"),
@@ -49,9 +49,9 @@ def rules(findings: DataFrame) -> DataFrame:
     )
 
 
-def results(findings: DataFrame) -> DataFrame:
+def results(findings: DataFrame, extra_rules: tuple[LineRule, ...] = ()) -> DataFrame:
     """One row per finding."""
-    return with_catalog(findings).select(
+    return with_catalog(findings, extra_rules).select(
         "full_name",
         rule_name(F.col("type")).alias("rule_id"),
         _lookup(F.col("severity"), LEVEL, OTHER_LEVEL).alias("level"),
@@ -62,10 +62,15 @@ def results(findings: DataFrame) -> DataFrame:
     )
 
 
-def _document(rule_list: Column, result_list: Column, start: str, end: str) -> Column:
+def _document(
+    rule_list: Column, result_list: Column, start: str, end: str,
+    repository: Column | None = None, information_uri: str | None = None,
+) -> Column:
+    more = [] if information_uri is None else [F.lit(information_uri).alias("informationUri")]
     driver = F.struct(
         F.lit(TOOL_NAME).alias("name"),
         F.lit(TOOL_VERSION).alias("version"),
+        *more,
         rule_list.alias("rules"),
     )
     invocation = F.struct(
@@ -73,8 +78,11 @@ def _document(rule_list: Column, result_list: Column, start: str, end: str) -> C
         F.lit(start).alias("startTimeUtc"),
         F.lit(end).alias("endTimeUtc"),
     )
+    # Paths are inside a repository; the run names it.
+    details = [] if repository is None else [F.struct(repository.alias("id")).alias("automationDetails")]
     run = F.struct(
         F.struct(driver.alias("driver")).alias("tool"),
+        *details,
         result_list.alias("results"),
         F.array(invocation).alias("invocations"),
     )
@@ -90,13 +98,16 @@ def _document(rule_list: Column, result_list: Column, start: str, end: str) -> C
 
 def documents(
     findings: DataFrame, start: str, end: str, per_document: int = RESULTS_PER_DOCUMENT,
-    extra_rules: tuple[LineRule, ...] = (),
+    extra_rules: tuple[LineRule, ...] = (), information_uri: str | None = None,
 ) -> DataFrame:
     """``full_name, shard, results, document``: JSON texts of bounded size.
 
     The results of a repository are numbered and cut into documents of at most
-    ``per_document`` results, so no repository is gathered as a whole.
+    ``per_document`` results, so no repository is gathered as a whole. Every document
+    names its repository, and a rule has the texts of its first finding of the run in
+    all of them: how the results are cut changes nothing else.
     """
+    findings = cut_lineage(findings)
     numbered = number_rows(findings, ["full_name"], FINDING_ORDER, "number").withColumn(
         "shard", F.expr(f"(number - 1) div {per_document}")
     )
@@ -106,26 +117,36 @@ def documents(
         F.array_sort(F.collect_list(entry)).alias("entries")
     )
     catalog = F.expr(catalog_map(extra_rules))
+    # One row per type of the catalogue.
+    firsts = first_of_type(findings).select("type", "rule_id", "severity").collect()
 
     def text(value: Column) -> Column:
         return F.struct(value.alias("text"))
 
-    def rule(first: Column) -> Column:
-        texts = F.try_element_at(catalog, first["rule_id"])
+    def texts_of(rule_id: Column) -> Column:
+        unknown = F.raise_error(F.concat(F.lit("no texts for rule "), rule_id))
+        return F.coalesce(F.try_element_at(catalog, rule_id), unknown)
+
+    def rule(type_: Column) -> Column:
+        def of_first(field: str) -> Column:
+            pairs = [F.lit(x) for r in firsts for x in (r["type"], r[field])]
+            return F.try_element_at(F.create_map(*pairs), type_) if pairs else F.lit("")
+
+        texts = texts_of(of_first("rule_id"))
         return F.struct(
-            rule_name(first["type"]).alias("id"),
-            first["type"].alias("name"),
+            rule_name(type_).alias("id"),
+            type_.alias("name"),
             text(texts["description"]).alias("shortDescription"),
             text(texts["impact"]).alias("fullDescription"),
             text(texts["mitigation"]).alias("help"),
             F.struct(
-                _lookup(first["severity"], SCORE, OTHER_SCORE).alias("security-severity"),
+                _lookup(of_first("severity"), SCORE, OTHER_SCORE).alias("security-severity"),
                 F.array(*[F.lit(t) for t in TAGS]).alias("tags"),
             ).alias("properties"),
         )
 
     def result(x: Column) -> Column:
-        description = F.try_element_at(catalog, x["rule_id"])["description"]
+        description = texts_of(x["rule_id"])["description"]
         region = F.struct(x["line"].alias("startLine"), text(x["details"]).alias("snippet"))
         location = F.struct(
             F.struct(
@@ -141,15 +162,13 @@ def documents(
 
     entries = F.col("entries")
     types = F.array_distinct(F.transform(entries, lambda x: x["type"]))
-    firsts = F.transform(types, lambda t: F.get(F.filter(entries, lambda x: x["type"] == t), F.lit(0)))
-    return gathered.select(
-        "full_name", "shard", entries, firsts.alias("firsts")
-    ).select(
+    return gathered.select("full_name", "shard", entries, types.alias("types")).select(
         "full_name",
         F.col("shard").cast("long").alias("shard"),
         F.size(entries).cast("long").alias("results"),
         _document(
-            F.transform("firsts", rule), F.transform(entries, result), start, end
+            F.transform("types", rule), F.transform(entries, result), start, end,
+            F.col("full_name"), information_uri,
         ).alias("document"),
     )
 
@@ -160,12 +179,18 @@ def empty_document(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(_document(null, null, start, end).alias("document"))
 
 
-def write_sarif(findings: DataFrame, start: str, end: str, path: str) -> None:
-    """One JSON text per line; the findings are computed once."""
+def write_sarif(
+    findings: DataFrame, start: str, end: str, path: str,
+    extra_rules: tuple[LineRule, ...] = (), information_uri: str | None = None,
+) -> None:
+    """One JSON text per line, in folders by repository owner; the findings are computed once."""
     spark = findings.sparkSession
     findings = cut_lineage(findings)
     if findings.isEmpty():
-        found = empty_document(spark, start, end)
-    else:
-        found = documents(findings, start, end).select("document")
-    found.write.mode("overwrite").text(path)
+        empty_document(spark, start, end).write.mode("overwrite").text(path)
+        return
+    found = documents(
+        findings, start, end, extra_rules=extra_rules, information_uri=information_uri
+    )
+    owner = F.substring_index("full_name", "/", 1).alias("owner")
+    found.select(owner, "document").write.mode("overwrite").partitionBy("owner").text(path)

@@ -250,8 +250,15 @@ def _test_lines(lines: DataFrame, line_rules: list[R.LineRule]) -> DataFrame:
 
 
 def with_catalog(findings: DataFrame, extra_rules: tuple[R.LineRule, ...] = ()) -> DataFrame:
-    """Add the texts of the rule; the catalogue has a fixed number of rows."""
+    """Add the texts of the rule; the catalogue has a fixed number of rows.
+
+    Own rules have to be named here too. A finding of an unknown rule is an error,
+    because an output without it would look complete.
+    """
     texts = R.catalog_frame(findings.sparkSession, extra_rules).select(
-        "rule_id", "description", "impact", "exploit", "mitigation", "refs"
+        "rule_id", "description", "impact", "exploit", "mitigation", "refs", F.lit(True).alias("_known")
     )
-    return findings.join(F.broadcast(texts), "rule_id")
+    joined = findings.join(F.broadcast(texts), "rule_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("no texts for rule "), "rule_id"))
+    description = F.when(F.col("_known"), F.col("description")).otherwise(unknown)
+    return joined.withColumn("description", description).drop("_known")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewarden.operators import collect, languages, registry, render, report, sarif
-from gatewarden.operators.ranking import broadcast_if_small, is_small
+from gatewarden.operators.ranking import bounded_by
 from gatewarden.operators.rules import LineRule
 from gatewarden.operators.scan import scan
-from gatewarden.sources import contents as content_source
 from gatewarden.sources.text_lists import write_manifest
 
 DEFAULT_ANALYZED = 50
@@ -25,62 +24,81 @@ def collect_flow(candidates: DataFrame, listings: DataFrame, path: str,
 
 
 def scan_listed(repos: DataFrame, contents: DataFrame, limit: int | None = DEFAULT_ANALYZED,
-                extra_rules: tuple[LineRule, ...] = ()) -> DataFrame:
+                extra_rules: tuple[LineRule, ...] = (), only: str | None = None) -> DataFrame:
     """Findings of the first ``limit`` listed repositories, in list order.
 
-    A short list is sent to the files, so that only listed files are scanned. With
-    a long one all files are scanned where they are and the findings, which are
-    much smaller than the contents, are joined to the list.
+    The distinct listed paths go to the files first, so that only listed files are
+    scanned however long the list is; the findings, which are smaller than the
+    contents, then meet the list. ``only`` names one repository in place of the limit.
     """
-    if limit is not None:
+    if only is not None:
+        repos = collect.select_repo(repos, only)
+    elif limit is not None:
         repos = repos.orderBy("repo_ord").limit(limit)
     paths = collect.manifest_paths(repos)
-    if limit is not None and is_small(paths):
-        listed = content_source.files_of_repos(F.broadcast(paths), contents)
-        return scan(listed, extra_rules=extra_rules)
-    everything = contents.selectExpr(
-        "full_name", "0L as repo_ord", "0 as wf_ord", "path", "content"
+    listed = contents.join(paths.select("full_name", "path").distinct(), ["full_name", "path"], "left_semi")
+    found = scan(
+        listed.selectExpr("full_name", "0L as repo_ord", "0 as wf_ord", "path", "content"),
+        extra_rules=extra_rules,
     )
-    found = scan(everything, extra_rules=extra_rules)
     columns = found.columns
     return found.drop("repo_ord", "wf_ord").join(paths, ["full_name", "path"]).select(*columns)
 
 
 def analyze_flow(repos: DataFrame, contents: DataFrame, path: str, run_time: str,
                  run_start: str, run_end: str, form: str = "md",
-                 limit: int | None = DEFAULT_ANALYZED) -> None:
+                 limit: int | None = DEFAULT_ANALYZED, extra_rules: tuple[LineRule, ...] = (),
+                 only: str | None = None, information_uri: str | None = None) -> None:
     """Scan and report; ``sarif`` gives exchange documents, anything else Markdown."""
-    findings = scan_listed(repos, contents, limit)
+    findings = scan_listed(repos, contents, limit, extra_rules, only)
     if form == "sarif":
-        sarif.write_sarif(findings, run_start, run_end, path)
+        sarif.write_sarif(findings, run_start, run_end, path, extra_rules, information_uri)
     else:
-        report.write_report(findings, run_time, path)
+        report.write_report(findings, run_time, path, extra_rules)
 
 
 @dataclass(frozen=True)
 class Rollout:
     """Tables that a roll-out produces."""
 
+    batch: DataFrame
     configurations: DataFrame
     registry: DataFrame
     counters: DataFrame
 
 
 def rollout_flow(repos: DataFrame, known: DataFrame, meta: DataFrame, tree: DataFrame,
-                 run_time: str, limit: int, enabled: tuple[str, ...] = ()) -> Rollout:
-    """Configurations for the next pending repositories and the updated registry."""
-    batch = registry.batch(repos, known, limit)
-    names = broadcast_if_small(batch.select("full_name"))
+                 run_time: str, limit: int, enabled: tuple[str, ...] = (),
+                 only: str | None = None) -> Rollout:
+    """Configurations for the next pending repositories and the updated registry.
+
+    Every repository of the batch gets configurations: its language comes from its
+    tree, else from its metadata, else it is the default. Outcomes follow from what was
+    rendered. ``batch`` numbers the repositories (``position`` of ``total``).
+    """
+    if only is not None:
+        repos = collect.select_repo(repos, only)
+    # At most ``limit`` rows: the positions need no distributed numbering.
+    every = Window.partitionBy(F.lit(0))
+    batch = registry.batch(repos, known, limit).select(
+        "full_name", "repo_ord",
+        F.row_number().over(every.orderBy("repo_ord")).alias("position"),
+        F.count(F.lit(1)).over(every).cast("int").alias("total"),
+    )
+    names = bounded_by(batch.select("full_name"), limit)
     detected = languages.detect_languages(tree.join(names, "full_name", "left_semi"))
-    chosen = render.repo_languages(meta.join(names, "full_name", "left_semi"), detected)
-    outcomes = batch.select(
+    described = meta.join(names, "full_name", "left_semi").groupBy("full_name").agg(F.first("language").alias("language"))
+    chosen = render.repo_languages(batch.select("full_name").join(described, "full_name", "left"), detected)
+    configurations = render.render(chosen, enabled=enabled)
+    outcomes = configurations.groupBy("full_name").agg(F.count(F.lit(1)).alias("n")).select(
         "full_name",
         F.lit(run_time).cast("timestamp").alias("processed_at"),
-        F.lit(True).alias("success"),
+        (F.col("n") > 0).alias("success"),
         F.lit("processed").alias("message"),
     )
     return Rollout(
-        render.render(chosen, enabled=enabled),
+        batch,
+        configurations,
         registry.upsert(known, outcomes),
         registry.counters(repos, known, limit),
     )

@@ -13,8 +13,9 @@ from gatewarden.functions.sql import keep_where
 from gatewarden.functions.text import path_extension
 from gatewarden.operators import collect, languages, registry, render, report, sarif
 from gatewarden.operators.ranking import number_rows
+from gatewarden.operators.rules import LOW, CatalogEntry, LineRule
 from gatewarden.operators.scan import scan, with_catalog, workflow_lines
-from gatewarden.plans.audit import scan_listed
+from gatewarden.plans.audit import analyze_flow, rollout_flow, scan_listed
 from gatewarden.session import shared_folder
 from gatewarden.sources import contents as content_source
 from gatewarden.sources import registry_files
@@ -191,6 +192,53 @@ def findings_enriched(spark, sf_dir):
     )
 
 
+# An own rule as a user would add it: a step that opens a multi-line script.
+OWN_RULE = LineRule(
+    CatalogEntry(
+        "X01", 101, 7, "Multi-Line Script", LOW, "Step runs a multi-line script",
+        "Long scripts in workflows are hard to review.", "Hide a command among many.",
+        "Move the script into a file of the repository.", ("own rule book",),
+    ),
+    pattern=r"(?d)run: \|[ \t\r]*$",
+    needles=("run: |",),
+)
+
+
+@query
+def scan_own_rules(spark, sf_dir):
+    """Results, rules and report sections when an own rule is added."""
+    own = (OWN_RULE,)
+    found = scan(_files(spark, sf_dir), extra_rules=own)
+    blank = F.lit("").alias
+    results = sarif.results(found, own).where("rule_id = 'Multi-LineScript'").select(
+        F.lit("result").alias("part"), F.col("full_name").alias("at"), F.col("uri").alias("name"),
+        F.concat_ws("|", "rule_id", "level", "start_line", "message").alias("text"))
+    rules_ = sarif.rules(found, own).select(
+        F.lit("rule").alias("part"), blank("at"), F.col("id").alias("name"),
+        F.concat_ws("|", "short_description", "full_description", "help", "security_severity").alias("text"))
+    heads = with_catalog(report.first_of_type(found), own).select(
+        F.lit("section").alias("part"), blank("at"), F.col("type").alias("name"),
+        F.concat_ws("|", "findings", "severity", "description", "exploit", F.array_join("refs", "; ")).alias("text"))
+    return results.unionByName(rules_).unionByName(heads)
+
+
+@query
+def analyze_written(spark, sf_dir):
+    """What the scan of the first listed repositories writes as SARIF, read back."""
+    folder = shared_folder(spark, "sarif")
+    repos, files = _repos(spark, sf_dir), _files(spark, sf_dir)
+    analyze_flow(repos, files, folder, RUN_TIME, RUN_START, RUN_END, "sarif", ANALYZED)
+    place = "struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>"
+    result = f"struct<ruleId:string,level:string,locations:array<struct<physicalLocation:{place}>>>"
+    run = f"struct<automationDetails:struct<id:string>,results:array<{result}>>"
+    runs = spark.read.text(folder).select(F.explode(F.from_json("value", f"runs array<{run}>")["runs"]).alias("run"))
+    found = runs.select(F.col("run.automationDetails.id").alias("full_name"), F.explode("run.results").alias("r"))
+    at = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return found.select(
+        "full_name", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
+        at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"))
+
+
 # Roll-ups and reports.
 
 
@@ -353,3 +401,29 @@ def language_ecosystem(spark, sf_dir):
 def scan_config_render(spark, sf_dir):
     detected = languages.detect_languages(corpus.repo_tree(spark, sf_dir))
     return render.render(render.repo_languages(corpus.repo_meta(spark, sf_dir), detected))
+
+
+# The roll-out.
+
+
+def _rollout(spark, sf_dir):
+    return rollout_flow(
+        _repos(spark, sf_dir), _registry(spark, sf_dir), corpus.repo_meta(spark, sf_dir),
+        corpus.repo_tree(spark, sf_dir), RUN_TIME, ROLLED_OUT, ("gitleaks", "container-scan"),
+    )
+
+
+@query
+def rollout_configs(spark, sf_dir):
+    """Configurations of the batch with the position of each repository."""
+    done = _rollout(spark, sf_dir)
+    return done.batch.join(done.configurations, "full_name").select(
+        "position", "total", "full_name", "tool", "path", "content"
+    )
+
+
+@query
+def rollout_registry(spark, sf_dir):
+    return _rollout(spark, sf_dir).registry.select(
+        "full_name", _time("processed_at"), "success", "message"
+    )

@@ -93,10 +93,11 @@ _SQL: dict[str, str] = {
             'runs': [{{
               'tool': {{'driver': {{'name': '{sarif.TOOL_NAME}', 'version': '{sarif.TOOL_VERSION}',
                  'rules': list({{'id': replace(type, ' ', ''), 'name': type,
-                    'shortDescription': {{'text': description}}, 'fullDescription': {{'text': impact}},
-                    'help': {{'text': mitigation}},
-                    'properties': {{'security-severity': {_SCORE}, 'tags': ['security', 'github-actions', 'ci-cd']}}}}
+                    'shortDescription': {{'text': type_description}}, 'fullDescription': {{'text': type_impact}},
+                    'help': {{'text': type_mitigation}},
+                    'properties': {{'security-severity': type_score, 'tags': ['security', 'github-actions', 'ci-cd']}}}}
                     ORDER BY number) FILTER (type_number = 1)}}}},
+              'automationDetails': {{'id': full_name}},
               'results': list({{'ruleId': replace(type, ' ', ''), 'level': {_LEVEL.replace('f.', '')},
                  'message': {{'text': description || ' - ' || string_split(details, chr(10))[1]}},
                  'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': path}},
@@ -106,14 +107,16 @@ _SQL: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY full_name, shard, type ORDER BY number) AS type_number
               FROM (SELECT *, (number - 1) // {sarif.RESULTS_PER_DOCUMENT} AS shard
                     FROM (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY {_ORDER}) AS number FROM findings))
-              JOIN texts USING (rule_id))
+              JOIN texts USING (rule_id)
+              JOIN (SELECT type, description AS type_description, impact AS type_impact, mitigation AS type_mitigation,
+                           {_SCORE} AS type_score FROM ({_FIRST}) JOIN texts USING (rule_id)) USING (type))
         GROUP BY full_name, shard""",
     "collect_repos": f"""SELECT full_name, {_STAMP.format('indexed_at')}, item_ord, path
         FROM workflow_items JOIN (
           SELECT full_name, max(indexed_at) AS indexed_at FROM meta
           WHERE full_name IN (SELECT full_name FROM workflow_items) GROUP BY full_name
           ORDER BY indexed_at DESC, full_name LIMIT {catalog.COLLECTED}) USING (full_name)""",
-    "manifest_format": """SELECT full_name, CAST(0 AS BIGINT) AS part,
+    "manifest_format": """SELECT full_name,
         full_name || ': ' || string_agg(path, ',' ORDER BY item_ord) AS value FROM workflow_items GROUP BY full_name""",
     "fork_listing": f"""SELECT row_number() OVER (ORDER BY updated_at DESC, full_name) AS number, full_name,
         {_STAMP.format('created_at')} FROM meta WHERE is_fork""",
@@ -142,6 +145,36 @@ _SQL: dict[str, str] = {
         ELSE replace(body, '''language''', '''' || language || '''') END AS content
         FROM ({_LANGUAGE}) l JOIN {_TEMPLATES} ON true""",
 }
+_BATCH = f"""SELECT full_name, repo_ord, CAST(row_number() OVER (ORDER BY repo_ord) AS INTEGER) AS position,
+  CAST(count(*) OVER () AS INTEGER) AS total
+  FROM (SELECT * FROM ({_FIRST_PENDING}) ORDER BY repo_ord LIMIT {catalog.ROLLED_OUT})"""
+_SQL["rollout_configs"] = f"""SELECT position, total, full_name, tool, path, CASE WHEN contains(language, ',')
+    THEN replace(body, '[ ''language'' ]', array_to_string(list_transform(string_split(language, ','), lambda x: {_ITEMS}), ''))
+    ELSE replace(body, '''language''', '''' || language || '''') END AS content
+    FROM (SELECT b.full_name, position, total, CASE WHEN coalesce(d.detected, '') <> '' THEN d.language
+            ELSE coalesce(m.scanner_language, 'javascript') END AS language
+          FROM ({_BATCH}) b
+          LEFT JOIN (SELECT full_name, min(scanner_language) AS scanner_language FROM meta_language GROUP BY full_name) m USING (full_name)
+          LEFT JOIN detected d USING (full_name)) JOIN {_TEMPLATES} ON true"""
+_SQL["rollout_registry"] = f"""SELECT full_name, {_STAMP.format('processed_at')}, success, message FROM registry
+    UNION ALL SELECT full_name, '{catalog.RUN_TIME}.000000', true, 'processed' FROM ({_BATCH})"""
+_SQL["analyze_written"] = f"""SELECT f.full_name, replace(f.type, ' ', '') AS rule_id, {_LEVEL} AS level, f.path AS uri, line AS start_line
+    FROM (SELECT * FROM repo_paths WHERE repo_ord IN
+          (SELECT repo_ord FROM repos ORDER BY repo_ord LIMIT {catalog.ANALYZED})) p
+    JOIN findings f ON f.full_name = p.full_name AND f.path = p.path"""
+_OWN = catalog.OWN_RULE.entry
+_OWN_ID = _OWN.type.replace(" ", "")
+_OWN_FOUND = r"SELECT full_name, path, line_no AS line, line AS details FROM good WHERE regexp_matches(line, 'run: \|[ \t\r]*$')"
+_SQL["scan_own_rules"] = f"""
+    SELECT 'result' AS part, full_name AS at, path AS name,
+           concat_ws('|', '{_OWN_ID}', 'note', line, '{_OWN.description} - ' || details) AS text FROM ({_OWN_FOUND})
+    UNION ALL SELECT 'rule', '', replace(type, ' ', ''), concat_ws('|', description, impact, mitigation, {_SCORE})
+           FROM ({_FIRST}) JOIN texts USING (rule_id)
+    UNION ALL SELECT 'rule', '', '{_OWN_ID}', '{_OWN.description}|{_OWN.impact}|{_OWN.mitigation}|3.0'
+    UNION ALL SELECT 'section', '', type, concat_ws('|', findings, severity, description, exploit, refs)
+           FROM ({_FIRST}) JOIN texts USING (rule_id)
+    UNION ALL SELECT 'section', '', '{_OWN.type}', concat_ws('|', count(*), 'LOW', '{_OWN.description}', '{_OWN.exploit}', '{_OWN.refs[0]}')
+           FROM ({_OWN_FOUND})"""
 for _name, _id in {
     "rule_command_injection": "r01", "rule_action_unversioned": "r02", "rule_action_branch": "r03",
     "rule_secret_print": "r04", "rule_secret_env": "r05", "rule_perm_write": "r06",

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gatewarden.operators import report, sarif
@@ -83,6 +84,26 @@ def test_documents_are_sharded_and_complete(spark):
     assert odd["tool"]["driver"]["rules"][0]["properties"]["security-severity"] == "1.0"
 
 
+def test_rules_are_the_same_in_all_documents(spark):
+    rows = [finding(i, "R02" if i < 10 else "R03", "o/hot") for i in range(25)] + [finding(30, "R03", "o/x")]
+    found = spark.createDataFrame(rows, SCHEMA)
+    docs = [json.loads(d.document)["runs"][0] for d in sarif.documents(found, "s", "e", per_document=10).collect()]
+    texts = {json.dumps(r["tool"]["driver"]["rules"], sort_keys=True) for r in docs}
+    assert len(docs) == 4 and len(texts) == 1
+    first = sarif.rules(found).first()
+    assert json.loads(texts.pop())[0]["properties"]["security-severity"] == first.security_severity == "5.5"
+    assert {r["automationDetails"]["id"] for r in docs} == {"o/hot", "o/x"}
+
+
+def test_a_finding_of_an_unknown_rule_is_an_error(spark):
+    row = list(finding(1, "R01"))
+    row[4] = "X99"
+    found = spark.createDataFrame([tuple(row)], SCHEMA)
+    for output in (sarif.results(found), sarif.rules(found), sarif.documents(found, "s", "e"), report.report(found, "t")):
+        with pytest.raises(Exception, match="no texts for rule X99"):
+            output.collect()
+
+
 def test_every_rule_has_texts(spark):
     found = spark.createDataFrame([finding(i, e.rule_id) for i, e in enumerate(CATALOG)], SCHEMA)
     assert sarif.results(found).where(F.col("message").isNotNull()).count() == len(CATALOG)
