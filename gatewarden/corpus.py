@@ -149,12 +149,12 @@ def _content(fid: str, body: str) -> str:
     )
 
 
-def workflow_files(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+def workflow_files(spark: SparkSession, sf_dir: str, stream: bool = False, files: int = 1000) -> DataFrame:
     """``full_name, repo_ord, wf_ord, path, content``: one file per order and document."""
 
     def source(name: str, *columns: str) -> DataFrame:
         if stream:
-            return stream_table(spark, sf_dir, name).select(*columns)
+            return stream_table(spark, sf_dir, name, files).select(*columns)
         return table(spark, sf_dir, name).select(*columns)
 
     number = "(o_custkey * 7 + o_orderkey * 5 + i * i * 2 + i * (o_custkey % 13 + 1)) % 27"

@@ -28,6 +28,8 @@ RUN_TIME = "2025-01-01 00:00:00"
 RUN_START, RUN_END = "2024-12-31T23:00:00Z", "2025-01-01T00:00:00Z"
 # Top-k parameters of the flows.
 COLLECTED, ANALYZED, ROLLED_OUT = 100, 50, 40
+# Files of each table that arrive one at a time.
+ARRIVALS = 3
 # Registry rows before this time are the old state, the others arrive later.
 REGISTRY_CUT = "2024-01-16 00:00:00"
 
@@ -179,8 +181,11 @@ def scan_limited(spark, sf_dir):
 
 @query
 def scan_incremental(spark, sf_dir):
-    folder = shared_folder(spark, "incremental")
-    incremental.scan_arrivals(corpus.workflow_files(spark, sf_dir, stream=True), folder)
+    """The files arrive in several micro-batches; all findings are those of one scan."""
+    folder, arrivals = shared_folder(spark, "incremental"), shared_folder(spark, "arrivals")
+    for name in ("orders", "documents"):
+        corpus.table(spark, sf_dir, name).repartition(ARRIVALS).write.parquet(f"{arrivals}/{name}.parquet")
+    incremental.scan_arrivals(corpus.workflow_files(spark, arrivals, stream=True, files=1), folder)
     return incremental.read_findings(spark, folder)
 
 
