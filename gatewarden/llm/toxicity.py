@@ -21,7 +21,6 @@ scores replace columns named ``score`` and ``predicted``.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -35,8 +34,8 @@ from gatewarden.session import cut_lineage
 
 #: Bounds of the training sample, and labelled rows without which nothing is fitted.
 MOST_POSITIVE, MOST_NEGATIVE, LEAST = 3_000, 9_000, 20
-#: A learned entry is in so large a share of toxic texts, and so many times commoner than in others.
-LEAST_SHARE, LOOSE_ODDS, STRICT_ODDS, MOST_ENTRIES = 0.01, 4.0, 16.0, 40
+#: A learned entry is often in so large a share of toxic texts, and so many times commoner than in others.
+LEAST_SHARE, LEAST_DENSITY, LOOSE_ODDS, STRICT_ODDS, MOST_ENTRIES = 0.02, 0.005, 4.0, 16.0, 40
 STEMS = (4, 5, 6, 7)
 TREES, DEPTH = 30, 4
 REJECT_FROM = 0.7
@@ -79,19 +78,22 @@ def features(text: Column, loose: tuple[str, ...], strict: tuple[str, ...]) -> l
 
 
 def learn_entries(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Words and word beginnings by how much commoner they are in toxic texts (loose, strict)."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    """Words and word beginnings by how much commoner they are in toxic texts (loose, strict).
 
-    def stems_of(n: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
-
-    entries = reduce(F.array_union, map(stems_of, STEMS), F.filter(words, lambda w: F.length(w) > 3))
-    totals = sample.groupBy("label").count().collect()
-    of = {int(r["label"]): r["count"] for r in totals}
+    A text counts for an entry if it holds it often: at least twice and in at least
+    ``LEAST_DENSITY`` of its words. Single chance hits thus say nothing.
+    """
+    of = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, other = of.get(1, 0), of.get(0, 0)
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
+    per_word = sample.select("doc_id", "label", F.size(words).alias("all"), F.explode(words).alias("word")).groupBy(
+        "doc_id", "label", "all", "word").count()
+    stems = F.array_distinct(F.array("word", *(F.substring("word", 1, n) for n in STEMS)))
+    often = per_word.select("doc_id", "label", "all", "count", F.explode(stems).alias("entry")).groupBy(
+        "doc_id", "label", "all", "entry").agg(F.sum("count").alias("n")).where(
+        (F.col("n") >= 2) & (F.col("n") >= LEAST_DENSITY * F.col("all")))
     found = (
-        sample.select("label", F.explode(entries).alias("entry")).groupBy("entry")
-        .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+        often.groupBy("entry").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
         .where(F.col("p") >= max(3, LEAST_SHARE * toxic))
         .withColumn("odds", (F.col("p") / toxic) / ((F.col("n") + 1) / max(other, 1)))
         .where(F.col("odds") >= LOOSE_ODDS)
