@@ -10,10 +10,10 @@ probability sum(min) / sum(max) of their weights. Bands of registers name candid
 
 Texts with equal multisets are one node. In each band bucket all nodes are compared
 with one leader; accepted links (weighted Jaccard of 0.8 or more, counted exactly) give
-components. Where a bucket still has several components, more leaders, twice as many
-each round, are compared with the nodes of other components until all were: no pair
-of a bucket stays untested unless it is already connected. Leaders follow from a hash
-and the bucket's size, so no bucket is ever gathered or sorted in one task.
+components. Where a bucket still has several components, the nodes outside its largest
+one lead too and are compared with all nodes of other components: no pair of a bucket
+stays untested unless it is already connected. If they are many, a hash picks how many
+lead in a round. No bucket is ever gathered or sorted in one task.
 
 Defined results: a null or empty text is a class of its own; the smallest id of a
 class is its ``class_id`` and stays; a null id is replaced by its class only if others
@@ -34,17 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.llm.common import broadcast_if_bounded, read, text_slices, whole_text
-from gatewarden.llm.components import components
+from gatewarden.llm.components import components, merged
 from gatewarden.session import cut_lineage
 
 RUN_WORDS = 5
 #: Similarity as a fraction: 4 / 5.
 LEAST_SHARED, LEAST_ALL = 4, 5
-#: A pair at the least similarity is missed with probability (1 - 0.8**4)**32 < 1e-7.
-BANDS, ROWS = 32, 4
+#: A pair at the least similarity is missed with probability (1 - 0.8**7)**48 < 2e-5, one at
+#: 0.85 with less than 1e-8; one at 0.5, as common passages make it, meets in 0.4 buckets.
+BANDS, ROWS = 48, 7
 REGISTERS = BANDS * ROWS
 SLICE_BYTES = 1_000_000
-FIRST_LEADERS = 8
+#: Leaders of a bucket in the first round after the first leader; four times as many in each later one.
+FIRST_LEADERS = 64
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -81,8 +83,8 @@ def bag_min_hash(doc: np.ndarray, run: np.ndarray, weight: np.ndarray, docs: int
         gaps = -np.log(((draw >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)) / width[:, None]
         value = at[:, None] + np.cumsum(gaps, axis=1)
         other = _mix(draw + _U(0x8CB92BA72F3D8DD7))
-        register = (other & _U(REGISTERS - 1)).astype(np.int64)
-        level = low[:, None] + ((other >> _U(40)).astype(np.int64) * width[:, None] >> 24)
+        register = ((other & _U(0xFFFFFFFF)) * _U(REGISTERS) >> _U(32)).astype(np.int64)
+        level = low[:, None] + ((other >> _U(40)).astype(np.int64) * width[:, None] >> 24)  # upper bits
         good = (level < limit[:, None]) & (value < signature.max(axis=1)[of][:, None])
         np.minimum.at(signature, (np.broadcast_to(of[:, None], good.shape)[good], register[good]), value[good])
         at, step = value[:, -1], step + points
@@ -211,36 +213,39 @@ def classes(docs: DataFrame) -> DataFrame:
         "node", "rep", "bands", F.col("id_rows").alias("rep_rows")))
 
     # buckets with one node name no candidates and go at once
-    place = F.col("place")
     member = nodes.select("node", F.explode("bands").alias("bucket")).withColumn("place", F.xxhash64("node", "bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("place", "node")).alias("first")).where("n > 1")
     member = cut_lineage(member.join(sizes, "bucket"))
-    pairs = cut_lineage(member.where(F.col("node") != F.col("first.node")).select(
-        F.col("node").alias("a"), F.col("first.node").alias("b")).distinct())
+    ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    tested = cut_lineage(member.where(F.col("node") != F.col("first.node")).select(*ends("node", "first.node")).distinct())
     texts = _node_texts(docs, nodes.join(member.select("node").distinct(), "node", "left_semi"))
-    links = verified(pairs, texts)
+    links = verified(tested, texts)
     labels = components(links)
 
-    leaders, before = FIRST_LEADERS, 0
+    leaders, led = FIRST_LEADERS, None
     while True:
-        known = member.select("bucket", "node", "place", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("bucket")
-        # a node leads in this round if its place, as a share of the range of hashes, is below leaders / n
-        rank = (place.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("n")
-        # up to so many nodes all lead at once
-        rank = F.when(F.col("n") <= FIRST_LEADERS, F.lit(0.0)).otherwise(rank)
-        open_ = cut_lineage(known.join(mixed, "bucket", "left_semi").withColumn("rank", rank))
-        if open_.where(F.col("rank") >= before).isEmpty():
+        known = member.select("bucket", "node", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        counts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+        open_ = cut_lineage(known.join(largest.where("labels > 1"), "bucket").select("bucket", "node", "place", "label", F.col("top.label").alias("top")))
+        minor = open_.where("label != top").select("bucket", "node", "place", "label")
+        minor = minor if led is None else minor.join(led, ["bucket", "node"], "left_anti")
+        minor = cut_lineage(minor.join(minor.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"))
+        if minor.isEmpty():
             break
-        led = open_.where((F.col("rank") >= before) & (F.col("rank") < leaders)).select(
-            "bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("place").alias("place_b"))
-        crossed = open_.join(led, "bucket").where((F.col("label") != F.col("label_b")) & (F.struct("place", "node") > F.struct("place_b", "b")))
-        pairs = cut_lineage(crossed.select(F.col("node").alias("a"), "b").distinct())
+        # a node leads if its place, as a share of the range of hashes, is below leaders / n
+        share = (F.col("place").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+        now = cut_lineage(minor.where((F.col("n") <= leaders) | (share * F.col("n") < leaders)).select(
+            "bucket", F.col("node").alias("leader"), F.col("label").alias("of")))
+        crossed = open_.join(now, "bucket").where("label != of").select(*ends("node", "leader")).distinct()
+        pairs = cut_lineage(crossed.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
         more = verified(pairs, texts)
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = components(links)
-        leaders, before = 2 * leaders, leaders
+            labels = merged(labels, more)
+        now = now.select("bucket", F.col("leader").alias("node"))
+        led, leaders = now if led is None else led.unionByName(now), 4 * leaders
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     of_node = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("rep").alias("class_id"))
