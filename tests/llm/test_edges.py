@@ -97,7 +97,9 @@ def test_bpe(docs, empty):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
     got = bpe.decode(bpe.encode(docs)).collect()
     assert sorted((r.ids, bytes(r.decoded)) for r in got) == sorted((library.encode_ordinary(t), t.encode()) for _, t in texts())
-    assert bpe.encode(empty).count() == 0
+    both = bpe.encode(docs, decoded=True)
+    assert sorted((r.ids, bytes(r.decoded)) for r in both.collect()) == sorted((r.ids, bytes(r.decoded)) for r in got)
+    assert bpe.encode(empty).count() == 0 and bpe.encode(empty, decoded=True).columns == both.columns
     awkward = ["a" * 5_000, "ab" * 3_000, " \n\t " * 50, "'s't'll '", "é" * 700, "".join(map(chr, range(32, 900)))]
     assert [np.frombuffer(x, np.int32).tolist() for x in vocab.encode(awkward)] == [library.encode_ordinary(t) for t in awkward]
     alone = [vocab.merge(w.encode()) for w in ("indivisible", "zzzzyx", "日本")]
