@@ -86,7 +86,9 @@ def learn_entries(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     of = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, other = of.get(1, 0), of.get(0, 0)
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
-    per_word = sample.select("doc_id", "label", F.size(words).alias("all"), F.explode(words).alias("word")).groupBy(
+    # written, as the optimizer would otherwise count the words of a text again for each of them
+    split = cut_lineage(sample.select("doc_id", "label", words.alias("words"), F.size(words).alias("all")))
+    per_word = split.select("doc_id", "label", "all", F.explode("words").alias("word")).groupBy(
         "doc_id", "label", "all", "word").count()
     stems = F.array_distinct(F.array("word", *(F.substring("word", 1, n) for n in STEMS)))
     often = per_word.select("doc_id", "label", "all", "count", F.explode(stems).alias("entry")).groupBy(
