@@ -81,7 +81,8 @@ def bag_min_hash(doc: np.ndarray, run: np.ndarray, weight: np.ndarray, docs: int
         count = np.arange(step + 1, step + points + 1, dtype=np.uint64)
         draw = _mix(seed[:, None] + count * _U(0xD1B54A32D192ED03))
         gaps = -np.log(((draw >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)) / width[:, None]
-        value = at[:, None] + np.cumsum(gaps, axis=1)
+        # added strictly in order, so that the bits of a value do not depend on the other texts of the slice
+        value = np.cumsum(np.concatenate([at[:, None], gaps], axis=1), axis=1)[:, 1:]
         other = _mix(draw + _U(0x8CB92BA72F3D8DD7))
         register = ((other & _U(0xFFFFFFFF)) * _U(REGISTERS) >> _U(32)).astype(np.int64)
         level = low[:, None] + ((other >> _U(40)).astype(np.int64) * width[:, None] >> 24)  # upper bits

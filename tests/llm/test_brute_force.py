@@ -216,6 +216,20 @@ def test_signature_is_unbiased():
     assert abs(np.mean(agree)) < 0.02
 
 
+@pytest.mark.parametrize("runs", [1, 20, 40, 80, 150])
+def test_bands_do_not_depend_on_the_slice(runs):
+    """One text has the same bands alone, among 100 texts and in a full slice."""
+    rng = np.random.default_rng(runs)
+    words = [f"w{i}" for i in range(3_000)]
+    some = lambda n: " ".join(rng.choice(words, n + 4))
+    text, full = some(runs), []
+    while sum(map(len, full)) < near_dedup.SLICE_BYTES:
+        full.append(some(int(rng.integers(20, 400))))
+    alone = near_dedup.sketch([text])[0]
+    for others in (full[:99], full):
+        assert near_dedup.sketch([text, *others])[0] == alone == near_dedup.sketch([*others, text])[-1]
+
+
 def test_op9(spark):
     pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     first = {}
