@@ -17,8 +17,9 @@ lead in a round. No bucket is ever gathered or sorted in one task.
 
 Defined results: a null or empty text is a class of its own; the smallest id of a
 class is its ``class_id`` and stays; a null id is replaced by its class only if others
-have ids; rows that repeat an id share its fate and one of them stays. Further columns
-are carried and never read.
+have ids. Where copies are dropped, rows are told apart by a row id: texts that differ
+are kept though their ids repeat, and of near copies without ids one stays. Further
+columns are carried and never read.
 """
 
 from __future__ import annotations
@@ -258,13 +259,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each class, in the columns of ``docs``; rows that repeat an id count once."""
-    verdict = classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    special = broadcast_if_bounded(verdict.where("NOT kept OR (n > 1 AND doc_id IS NOT NULL)").select(F.col("doc_id").alias("of"), "kept"))
-    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(special, F.col("id") == F.col("of"), "left")
-    once = marked.where("of IS NULL")
-    repeated = marked.where("of IS NOT NULL AND kept").dropDuplicates(["id"])
-    return once.select("row.*").unionByName(repeated.select("row.*"))
+    """One row of each class, in the columns of ``docs``: that of the least id, null ids last, then the first one.
+
+    Rows are told apart by a row id, so a repeated or null ``doc_id`` decides nothing but the order.
+    """
+    whole = cut_lineage(docs.select(
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row")))
+    of = classes(whole.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text"))).select(
+        F.col("doc_id").alias("rid"), "class_id", "runs")
+    # texts without words are no copies of each other, but a row that repeats both id and such a text is
+    wordless = (F.col("runs") == 0) & F.col("id").isNotNull()
+    first = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "rid")).alias("first")
+    staying = whole.select("rid", "id").join(of, "rid").groupBy(
+        F.when(~wordless, F.col("class_id")), F.when(wordless, F.col("id"))).agg(first).select("first.rid")
+    return whole.select("rid", "row").join(staying, "rid", "left_semi").select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,16 @@ def test_near_dedup(docs, empty):
     assert near_dedup.drop_near_copies(empty).count() == 0 and near_dedup.classes(empty).count() == 0
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    """Different texts of one id stay, near copies without ids go."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(100)) for w in "abc")
+    rows = [(1, one), (1, two), (1, one), (2, two + " end"), (None, three), (None, three + " end"), (None, one + " end"),
+            (5, ""), (5, ""), (None, ""), (None, None)]
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = sorted(((r.doc_id, (r.text or "")[:2]) for r in left), key=str)
+    assert found == sorted([(1, "a0"), (1, "b0"), (None, "c0"), (5, ""), (None, ""), (None, "")], key=str)
+
+
 def test_suffix_dedup(docs, empty):
     got = suffix_dedup.remove_repeats(docs).collect()
     assert len(got) == len(ROWS)
