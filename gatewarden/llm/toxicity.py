@@ -13,9 +13,9 @@ label, lang, source and id are no inputs of a score.
 
 Defined results: null text is empty; an empty text gets the score of its (all zero)
 features; a null id is not held out and never used for training; repeated rows get
-equal scores; with fewer than ``LEAST`` rows of a label the score is the share of
-toxic rows among the training rows (0 without any). Further columns are carried, and
-scores replace columns named ``score`` and ``predicted``.
+equal scores; with fewer than ``LEAST`` rows of a label nothing is fitted and the score
+is d / (d + ``HALF_DENSITY``) of the density d of the fixed lexicon, 0 without any of
+its words. Further columns are carried, and scores replace columns named ``score`` and ``predicted``.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ LEAST_SHARE, LEAST_DENSITY, LOOSE_ODDS, STRICT_ODDS, MOST_ENTRIES = 0.02, 0.005,
 STEMS = (4, 5, 6, 7)
 TREES, DEPTH = 30, 4
 REJECT_FROM = 0.7
+#: Share of insults among the words that scores 0.5 without a fit; from about one in a hundred a text is rejected.
+HALF_DENSITY = 0.004
 
 #: Fixed lexicon: common insults.
 INSULTS = (
@@ -112,17 +114,18 @@ def learn_entries(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
 class Model:
     """A fitted scorer; ``trees`` is none if there was too little to learn from."""
 
-    def __init__(self, prior: float, loose=(), strict=(), trees=None, isotonic=None) -> None:
-        self.prior, self.loose, self.strict, self.trees, self.isotonic = prior, loose, strict, trees, isotonic
+    def __init__(self, loose=(), strict=(), trees=None, isotonic=None) -> None:
+        self.loose, self.strict, self.trees, self.isotonic = loose, strict, trees, isotonic
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``score`` and ``predicted``."""
         kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
         row = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), whole_text().alias("text"))
+        row = row.select("row", *features(F.col("text"), self.loose, self.strict))
         if self.trees is None:
-            scored = row.withColumn("score", F.lit(self.prior))
+            scored = row.withColumn("score", F.col("f_insults") / (F.col("f_insults") + F.lit(HALF_DENSITY)))
         else:
-            scored = raw_scores(self.trees, row.select("row", *features(F.col("text"), self.loose, self.strict)))
+            scored = raw_scores(self.trees, row)
             scored = self.isotonic.transform(scored).withColumn("score", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)))
         return scored.select("row.*", "score", (F.col("score") >= REJECT_FROM).cast("int").alias("predicted"))
 
@@ -142,15 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    prior = totals.get(1, 0) / max(1, sum(totals.values()))
     if min(totals.get(0, 0), totals.get(1, 0)) < LEAST:
-        return Model(prior)
+        return Model()
     taken = _bounded(known, 1, MOST_POSITIVE).unionByName(_bounded(known, 0, MOST_NEGATIVE))
     # at most MOST_POSITIVE + MOST_NEGATIVE ids, so the broadcast is bounded
     sample = cut_lineage(docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(taken), "doc_id"))
     here = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if min(here.get(0, 0), here.get(1, 0)) < LEAST:
-        return Model(prior)
+        return Model()
     calibrating = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
     loose, strict = learn_entries(sample.where(~calibrating))
     weight = F.when(F.col("label") == 1, F.lit(totals[1] / here[1])).otherwise(F.lit(totals[0] / here[0]))
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     trees = gbt.fit(assembler.transform(table.where(~F.col("calibrating"))).coalesce(4))
     raw = raw_scores(trees, table.where("calibrating"))
     isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(raw)
-    return Model(prior, loose, strict, trees, isotonic)
+    return Model(loose, strict, trees, isotonic)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -238,6 +238,15 @@ def test_toxicity(docs, empty, labels):
     assert toxicity.drop_toxic(empty, labels).count() == 0 and toxicity.fit(docs, labels.limit(0)).score(docs).count() == len(ROWS)
 
 
+def test_toxicity_with_few_labels_goes_by_the_lexicon(spark):
+    """Whatever the share of toxic labels: insults are rejected, clean texts stay."""
+    rows = [(i, "you pathetic idiot shut up" if i % 2 else f"a quiet walk along river {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for toxic in (0, 1):
+        known = spark.createDataFrame([(i, toxic) for i in range(12)], "doc_id long, toxic int")
+        assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, known).collect()) == list(range(0, 30, 2))
+
+
 def test_warc(spark):
     rows = [(1, "http://a/\r\nX: y", "same"), (2, None, None), (3, "http://b/é", ""), (4, "u", "same"), (None, "u", "same"), (4, "u", "same"), (7, "u", LONG)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS of", "3 AS first_id")
