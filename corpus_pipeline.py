@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written before the next reads it.
 
 Toxic documents go, then exact copies, then near copies; the sources are mixed to
-their target weights and the texts are encoded. A stage works on all that its
+their target weights and the texts are encoded, decoded and compared. A stage works on all that its
 predecessor kept and sees nothing else of the corpus.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from gatewarden.llm.common import read
+from gatewarden.llm.common import read, whole_text
 from gatewarden.session import cut_lineage
 
 
@@ -32,8 +32,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return tokens.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True)
+    return tokens.select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == whole_text().cast("binary")).alias("same_text"))
 
 
 STAGES = [

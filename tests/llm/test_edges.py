@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from gatewarden.llm import bpe, chat, exact_dedup, mixing, near_dedup, neighbours, suffix_dedup, token_store, toxicity, warc
 
 LONG = " ".join(f"word{i % 977} runs" for i in range(12_000))
@@ -106,6 +107,12 @@ def test_bpe(docs, empty):
     assert alone == [library.encode_ordinary(w) for w in ("indivisible", "zzzzyx", "日本")]
 
 
+def test_pipeline_decodes_what_it_encodes(spark, docs):
+    rows = corpus_pipeline.encoded(spark, docs.withColumn("lang", bpe.F.lit("en")), "").collect()
+    assert sorted(r.decoded_sha256 for r in rows) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in texts())
+    assert all(r.same_text for r in rows)
+
+
 def test_bpe_merges_like_the_definition():
     """A lower rank that only a merge makes possible goes first, also within one bucket."""
     ranks = {bytes([b]): 1_000 + b for b in range(256)} | {b"ab": 7, b"abc": 3, b"cab": 1}
