@@ -67,16 +67,23 @@ PERMISSIONS = (
     "permissions: { issues: read, contents: write }",
     "permissions:",
 )
-# Frames around a document and a document in flow form, chosen by number.
+# Frames around a document and documents in flow form, chosen by number.
 BEFORE = (
-    "\ufeff", "", "%YAML 1.2\n---\n", "", "", '"quoted key": x\n', 'label: "two\nlines: here"\n', "",
+    "\ufeff", "# " + "a long remark " * 200 + "\n%YAML 1.2\n---\n", "%YAML 1.2\n---\n", "", "", '"quoted key": x\n', 'label: "two\nlines: here"\n', "",
 )
 AFTER = (
     "", "\n...\nstray text", "", "", "\n1.2 key: x\na.b: y\n42: z", "", "", "\n---\nname: again\nname: twice",
 )
-FLOW_DOCUMENT = (
+FLOW_DOCUMENTS = (
     "{name: flow, on: [push, pull_request_target], permissions: {contents: write},\n"
-    " jobs: {build: {steps: [{uses: actions/checkout@v4}, {run: make}]}}}"
+    " jobs: {build: {steps: [{uses: actions/checkout@v4}, {run: make}]}}}",
+    '{"on":"push","jobs":{"build":{"steps":[{"run":"echo ${{ secrets.X }}"},{"run":"a, {b"}]}}}',
+    '{"on":{"push":{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"k":1,"l":[1,[2,3]]}}}}}},"k":2},"z":{"a":{"k":3}}},\n'
+    '"pull_request_target":{}},"permissions":{"issues":"read","contents":"admin"},\n'
+    '"jobs":{"build":{"steps":[{"uses":"actions/checkout@v4"},{"env":"ref: ${{ github.event.pull_request.head.sha }}"}]}}}',
+    '{"on": "push", "jobs": {"a": {"b": {"c": {"d": {"k": 1}, "e": {"k": 2}}}}, "z": {"b": {"c": {"d": {"k": 1}}}}}}',
+    '{"on":"push","jobs":{"build":[{"run":"echo ${{ secrets.X }}"}}}',
+    '{"on":"push","jobs":{},"jobs":{"a":1}}',
 )
 JOBS = "jobs:\n  build:\n    steps:"
 SCRIPT_HEAD = "      - name: note\n        run: |\n          "
@@ -143,7 +150,7 @@ def _content(fid: str, body: str) -> str:
     text = f"concat(if({odd}, {pick(BEFORE, form)}, ''), {text}, if({odd}, {pick(AFTER, form)}, ''))"
     return (
         f"case when {fid} % 37 = 17 then '' when {fid} % 41 = 19 then '# nothing here' "
-        f"when {odd} and {form} = 3 then {literal(FLOW_DOCUMENT)} "
+        f"when {odd} and {form} = 3 then {pick(FLOW_DOCUMENTS, f'{fid} div 424 % {len(FLOW_DOCUMENTS)}')} "
         f"when {fid} % 43 = 23 then '- item\\n- other' "
         f"else replace({text}, '\\n', if({fid} % 11 = 3, '\\r\\n', '\\n')) end"
     )

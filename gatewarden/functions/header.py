@@ -3,15 +3,16 @@
 Everything is computed from the one row that holds the document, the first one of the
 file. Files that are certainly no mapping (stray text at column 0, a list, a tab before
 content, a repeated key) are dropped; where this reader is unsure, a file counts as
-valid. Limits: anchors, aliases, tags and explicit keys are not followed, flow
-collections only three deep, ``#`` after a blank always starts a comment (also in
-quotes), and nested syntax errors go unnoticed.
+valid. Flow collections are read by ``flow`` with a stack, to any depth. Limits: anchors,
+aliases, tags and explicit keys are not followed, ``#`` after a blank always starts a
+comment in a block (also in quotes), and nested syntax errors go unnoticed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from gatewarden.functions import flow
 from gatewarden.functions.sql import literal
 
 # A plain scalar as a key begins with none of the indicators and ends at its colon.
@@ -26,18 +27,18 @@ _KEY_START = r"[\"']?{}[\"']?[ \t]*:(?![^ \t\r\n])"
 # The line of a key and all lines up to the next one that may open a section. The
 # repetition is possessive: it does not recurse, however long the section is.
 _SECTION = r"(?dm)^" + _KEY_START + r"[^\n]*(?:\n(?![^ \t\r\n#\-\]}}])[^\n]*)*+"
+# A flow collection that this reader does not take apart: one of a fourth level, or separators in quotes.
+_QUOTED_SEPARATOR = r"""\"[^\"]*[,:\[\]{}][^\"]*\"|'[^']*[,:\[\]{}][^']*'"""
 # The frame of a document: mark, directives, opening mark, and what follows its end.
 _MARK = "\ufeff"
 _DIRECTIVES = r"(?d)\A(?:[ \t\r]*(?:#[^\n]*)?\n)*%[^\n]*\n(?:[%#][^\n]*\n|[ \t\r]*\n)*"
+_DIRECTIVE_FIRST = r"(?d)\A\ufeff?(?:[ \t\r]*+(?:#[^\n]*+)?\n)*+%"
 _OPENING = r"(?d)\A((?:[ \t\r]*(?:#[^\n]*)?\n)*+)---(?=[ \t\r\n]|\z)"
 _ENDING = r"(?ds)(?:\A|\n)(?:---|\.\.\.)(?=[ \t\r\n]|\z).*"
 # A quoted value of a key at column 0 that goes on over the next lines.
 _LONG_QUOTE = (
     r"""(?dm)^([^\s#][^\n"']*:[ \t]+)(?:"(?:[^"\\\n]|\\.)*+\n(?:[^"\\]|\\.)*+"|'(?:[^'\n]|'')*+\n(?:[^']|'')*+')"""
 )
-# Entries of a flow mapping, with collections in it up to three deep.
-_DEEP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*+\})*+\}"
-_FLOW_ENTRY = r"""(?:[^,\[\]{}"']|"(?:[^"\\]|\\.)*+"|'[^']*+'|\[(?:[^\[\]]|\[[^\[\]]*\])*+\]|""" + _DEEP + ")+"
 _COMMENT = r"(?dm)(^|[ \t])#.*$"
 _LINE_END = r"(?dm)[ \t\r]+$"
 _EMPTY_LINE = r"(?d)\n(?:---)?(?=\n|\z)"
@@ -73,10 +74,16 @@ def _item_name(item: str) -> str:
     return _unquote(f"substring_index({_replace(f'ltrim({item})', '^-[ ' + chr(9) + ']+')}, ':', 1)")
 
 
+def _flow_text(section: str) -> str:
+    return f"trim(concat_ws(' ', {section}.rest, array_join({section}.children, ' ')))"
+
+
+def _without_inner(section: str) -> str:
+    return _replace(_replace(_replace(_flow_text(section), r"^[\[{]|[\]}]$"), r"\[[^\[\]]*\]"), r"\{[^{}]*\}")
+
+
 def _flow_entries(section: str) -> str:
-    text = f"trim(concat_ws(' ', {section}.rest, array_join({section}.children, ' ')))"
-    inner = _replace(_replace(_replace(text, r"^[\[{]|[\]}]$"), r"\[[^\[\]]*\]"), r"\{[^{}]*\}")
-    return f"filter(split({inner}, ',', -1), x -> trim(x) <> '')"
+    return f"filter(split({_without_inner(section)}, ',', -1), x -> trim(x) <> '')"
 
 
 def _indent(line: str) -> str:
@@ -123,21 +130,29 @@ def _contents(section: str, form: str) -> str:
 def _document(content: str) -> str:
     """The first document of a file; each step only where it is needed."""
     text = f"if(startswith({content}, {literal(_MARK)}), substr({content}, 2), {content})"
-    text = f"if(contains(left({content}, 2000), '%'), {_replace(text, _DIRECTIVES)}, {text})"
+    text = f"if(contains({content}, '%') and {content} rlike {literal(_DIRECTIVE_FIRST)}, {_replace(text, _DIRECTIVES)}, {text})"
     framed = f"contains({content}, '---') or contains({content}, '\\n...')"
     bare = f"regexp_replace(regexp_replace({text}, {literal(_OPENING)}, '$1'), {literal(_ENDING)}, '')"
     return f"if({framed}, {bare}, {text})"
 
 
+def _is_flow(doc: str) -> str:
+    """The pattern is tried only where the first letter allows it."""
+    return f"(left(ltrim({literal(' ' + chr(9) + chr(13) + chr(10))}, {doc}), 1) in ('{{', '#') and {doc} rlike {literal(flow.START)})"
+
+
 def _as_block(doc: str) -> str:
-    """A top-level flow mapping as one line per entry; long quoted values on one line."""
-    space = literal(" \t\r\n")
-    inner = _replace(f"btrim({doc}, {space})", r"^\{|\}$")
-    entries = f"regexp_extract_all({inner}, {literal(_FLOW_ENTRY)}, 0)"
-    lines = f"array_join(transform({entries}, e -> btrim(regexp_replace(e, {literal('[ \t\r\n]+')}, ' '))), '\\n')"
+    """The document with long quoted values on one line; nothing of a flow mapping, which ``flow`` reads."""
     quoted = f"regexp_replace({doc}, {literal(_LONG_QUOTE)}, {literal('$1' + chr(34) * 2)})"
     open_quote = " or ".join(f"contains({doc}, {literal(': ' + q)})" for q in ('"', "'"))
-    return f"case when startswith(ltrim({space}, {doc}), '{{') then {lines} when {open_quote} then {quoted} else {doc} end"
+    return f"case when {_is_flow(doc)} then '' when {open_quote} then {quoted} else {doc} end"
+
+
+def _nested_flow(key: str, section: str, form: str) -> str:
+    """What ``flow`` finds in a flow section whose commas do not tell its entries apart; else null."""
+    text = _flow_text(section)
+    hard = f"({_without_inner(section)} rlike '[{{}}\\\\[\\\\]]' or {text} rlike {literal(_QUOTED_SEPARATOR)})"
+    return f"case when startswith({form}, 'flow') then if({hard}, {flow.read(f"concat('{{{key}: ', {text}, '}}')")}, null) end"
 
 
 def with_header(files: DataFrame, content: str = "content", out: str = "header") -> DataFrame:
@@ -154,15 +169,18 @@ def with_header(files: DataFrame, content: str = "content", out: str = "header")
     sections = {"_on": "on", "_perm": "permissions"}
     return (
         files.selectExpr(*keep, f"{_document(content)} as _raw")
-        .selectExpr(*keep, f"{_as_block('_raw')} as _doc")
-        .selectExpr(*keep, "_doc", f"regexp_extract_all(_doc, {literal(_TOP)}, 0) as _top")
         .selectExpr(
-            *keep, "_doc", f"{keys} as _keys",
+            *keep, f"{_as_block('_raw')} as _doc",
+            f"if({_is_flow('_raw')}, {flow.read('_raw')}, null) as _flow",
+        )
+        .selectExpr(*keep, "_doc", "_flow", f"regexp_extract_all(_doc, {literal(_TOP)}, 0) as _top")
+        .selectExpr(
+            *keep, "_doc", "_flow", f"{keys} as _keys",
             f"length({content}) > 0 and not exists(_top, x -> not {allowed}) and not "
             f"coalesce(get(_top, 0) rlike {literal('^-(?:[ \t\r]|$)')}, false) as _well_formed",
         )
         .selectExpr(
-            *keep,
+            *keep, "_flow",
             "_well_formed and size(_keys) = size(array_distinct(_keys)) as _ok",
             *[
                 f"if(array_contains(_keys, '{key}'), {_section('_doc', key)}, '') as {n}_text"
@@ -170,15 +188,24 @@ def with_header(files: DataFrame, content: str = "content", out: str = "header")
             ],
         )
         .selectExpr(
-            *keep, "_ok",
+            *keep, "_ok", "_flow",
             *[f"if({n}_text = '', null, split({n}_text, '\n', -1)) as {n}_lines" for n in sections],
         )
-        .selectExpr(*keep, "_ok", *[f"{_rest_and_children(f'{n}_lines')} as {n}" for n in sections])
-        .selectExpr(*keep, "_ok", *sections, *[f"{_form(n)} as {n}_form" for n in sections])
+        .selectExpr(*keep, "_ok", "_flow", *[f"{_rest_and_children(f'{n}_lines')} as {n}" for n in sections])
+        .selectExpr(*keep, "_ok", "_flow", *sections, *[f"{_form(n)} as {n}_form" for n in sections])
+        .selectExpr(
+            *keep, "_ok", "_flow", *sections, *[f"{n}_form" for n in sections],
+            *[f"{_nested_flow(key, n, f'{n}_form')} as {n}_flow" for n, key in sections.items()],
+        )
+        .selectExpr(
+            *keep,
+            "coalesce(_flow, named_struct('ok', _ok, 'permissions_form', _perm_form, "
+            f"'contents', coalesce(_perm_flow.contents, {_contents('_perm', '_perm_form')}), "
+            f"'triggers', coalesce(_on_flow.triggers, {_triggers('_on', '_on_form')}))) as _found",
+        )
         .selectExpr(
             *keep,
-            "named_struct('parse_ok', _ok, 'permissions_form', _perm_form, "
-            f"'contents', {_contents('_perm', '_perm_form')}, "
-            f"'triggers', {_triggers('_on', '_on_form')}) as {out}",
+            "named_struct('parse_ok', _found.ok, 'permissions_form', _found.permissions_form, "
+            f"'contents', _found.contents, 'triggers', _found.triggers) as {out}",
         )
     )

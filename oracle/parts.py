@@ -67,7 +67,7 @@ def content(fid: str, body: str) -> str:
     return (
         f"CASE WHEN {fid} % 37 = 17 THEN '' "
         f"WHEN {fid} % 41 = 19 THEN '# nothing here' "
-        f"WHEN {odd} AND {form} = 3 THEN {quote(corpus.FLOW_DOCUMENT)} "
+        f"WHEN {odd} AND {form} = 3 THEN {pick(corpus.FLOW_DOCUMENTS, f'({fid} // 424) % {len(corpus.FLOW_DOCUMENTS)}')} "
         f"WHEN {fid} % 43 = 23 THEN '- item' || chr(10) || '- other' "
         f"WHEN {fid} % 11 = 3 THEN replace({text}, chr(10), chr(13) || chr(10)) "
         f"ELSE {text} END"
@@ -126,6 +126,13 @@ def has(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, '{pattern}')"
 
 
+def _without_inner(text: str, levels: int = 12) -> str:
+    """The text of a collection without the collections in it, the innermost first."""
+    for _ in range(levels):
+        text = f"regexp_replace({text}, '\\[[^][{{}}]*\\]|\\{{[^][{{}}]*\\}}', '', 'g')"
+    return text
+
+
 def _finding(rule_id: str, severity: str, line: str, details: str, pos: str) -> str:
     e = rules.ENTRY[rule_id]
     return (
@@ -177,11 +184,27 @@ PARTS: dict[str, str] = {
           FROM framed)
         WHERE line_no >= opening AND line_no < coalesce(ending, line_no + 1)
           AND NOT coalesce(line_no > quoted AND line_no <= unquoted, false)""",
+    # A flow mapping letter by letter: quotes by parity, depth by a running sum, entries by commas at depth 1.
+    "letters": r"""
+        SELECT fk, k, c, quoted, sum(CASE WHEN quoted THEN 0 WHEN c IN ('{', '[') THEN 1 WHEN c IN ('}', ']') THEN -1 ELSE 0 END)
+                 OVER (PARTITION BY fk ORDER BY k) AS depth
+        FROM (SELECT *, sum(CASE WHEN c = '"' THEN 1 ELSE 0 END) OVER (PARTITION BY fk ORDER BY k) % 2 = 1 AS quoted
+              FROM (SELECT fk, unnest(range(1, length(doc) + 1)) AS k, unnest(string_split(doc, '')) AS c
+                    FROM (SELECT fk, string_agg(text, ' ' ORDER BY line_no) AS doc FROM block
+                          GROUP BY fk HAVING starts_with(first(text ORDER BY line_no), '{'))))""",
+    # Brackets of a depth that opens and closes have the same kind; all are closed at the end.
+    "closed": r"""
+        SELECT fk, bool_and(fits) AND last(depth ORDER BY k) = 0 AS ok FROM (
+          SELECT *, quoted OR c NOT IN ('}', ']') OR c = translate(
+                   last_value(CASE WHEN NOT quoted AND c IN ('{', '[') THEN c END IGNORE NULLS) OVER (
+                     PARTITION BY fk, depth + CASE WHEN NOT quoted AND c IN ('}', ']') THEN 1 ELSE 0 END ORDER BY k), '{[', '}]') AS fits
+          FROM letters) GROUP BY fk""",
     "flow": r"""
-        SELECT fk, unnest(range(1, len(parts) + 1)) AS line_no, trim(unnest(parts)) AS text FROM (
-          SELECT fk, regexp_extract_all(regexp_replace(string_agg(text, ' ' ORDER BY line_no), '^\{|\}$', '', 'g'),
-                 '(?:[^,\[\]{}"'']|"[^"]*"|''[^'']*''|\[[^\[\]]*\]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})+') AS parts
-          FROM block GROUP BY fk HAVING starts_with(first(text ORDER BY line_no), '{'))""",
+        SELECT fk, line_no, regexp_replace(trim(string_agg(c, '' ORDER BY k)), '^("[^"]*"):(\S)', '\1: \2') AS text FROM (
+          SELECT *, 1 + sum(CASE WHEN c = ',' AND depth = 1 AND NOT quoted THEN 1 ELSE 0 END) OVER (PARTITION BY fk ORDER BY k) AS line_no
+          FROM letters)
+        WHERE NOT (depth = 1 AND NOT quoted AND c IN (',', '{')) AND NOT (depth = 0 AND c = '}')
+        GROUP BY fk, line_no HAVING trim(string_agg(c, '' ORDER BY k)) <> ''""",
     "clean": """
         SELECT fk, line_no, text FROM block WHERE fk NOT IN (SELECT fk FROM flow)
         UNION ALL SELECT fk, line_no, text FROM flow""",
@@ -193,7 +216,8 @@ PARTS: dict[str, str] = {
           FROM clean)
         WINDOW w AS (PARTITION BY fk ORDER BY line_no)""",
     "valid": r"""
-        SELECT f.fk, coalesce(ok, true) AS parse_ok FROM (SELECT fk FROM files WHERE content <> '') f
+        SELECT f.fk, coalesce(v.ok, true) AND coalesce(closed.ok, true) AS parse_ok
+        FROM (SELECT fk FROM files WHERE content <> '') f LEFT JOIN closed USING (fk)
         LEFT JOIN (
           SELECT fk, bool_and(CASE
                    WHEN key IS NOT NULL THEN true
@@ -202,7 +226,7 @@ PARTS: dict[str, str] = {
                    WHEN text = '-' OR regexp_matches(text, '^-[ \t]') THEN owner IS NOT NULL
                    ELSE regexp_matches(text, '^[\]}&*!]') OR regexp_matches(text, '^\?([ \t]|$)') END)
                  AND count(key) = count(DISTINCT key) AS ok
-          FROM keyed GROUP BY fk) USING (fk)""",
+          FROM keyed GROUP BY fk) v USING (fk)""",
     "section": r"""
         SELECT fk, owner, max(rest) AS rest,
                list(text ORDER BY line_no) FILTER (key IS NULL) AS children,
@@ -221,9 +245,8 @@ PARTS: dict[str, str] = {
     "entries": r"""
         SELECT fk, owner, form, unnest(CASE
             WHEN form = 'scalar' THEN [rest]
-            WHEN form LIKE 'flow%' THEN string_split(regexp_replace(regexp_replace(
-                 regexp_replace(trim(concat_ws(' ', rest, array_to_string(children, ' '))), '^[\[{]|[\]}]$', '', 'g'),
-                 '\[[^\[\]]*\]', '', 'g'), '\{[^{}]*\}', '', 'g'), ',')
+            WHEN form LIKE 'flow%' THEN string_split(""" + _without_inner(
+                "regexp_replace(trim(concat_ws(' ', rest, array_to_string(children, ' '))), '^[\\[{]|[\\]}]$', '', 'g')") + r""", ',')
             WHEN form LIKE 'block%' THEN list_filter(children, lambda c: length(c) - length(ltrim(c, ' ')) = first_ind)
             END) AS entry
         FROM formed""",

@@ -55,6 +55,50 @@ CASES = [
     ("{a: 1, a: 2}", (False, "absent", "", [])),
     ("on: push\na : b\n\tc: d", (False, "absent", "", ["push"])),
 ]
+# Flow collections of any depth, compact JSON, long comments before directives, and what is certainly invalid.
+CASES += [
+    ('{"on":"push","jobs":{"a":{"steps":[{"run":"echo ${{ secrets.X }}"}]}}}',
+     (True, 'absent', '', ['push'])),
+    ('{"on":{"push":{"a":{"b":{"c":{"d":{"e":{"k":1,"l":[1,2]}}}}},"z":{"b":{"c":{"d":{"k":1}}}}},"pull_request_target":null},"permissions":{"contents":"write"},"jobs":{"a":{"steps":[{"run":"echo ${{ secrets.X }}"}]}}}',
+     (True, 'flow map', 'write', ['push', 'pull_request_target'])),
+    ('{"on": "push", "jobs": {"a": {"b": {"c": {"d": {"k": 1}, "e": {"k": 2}}}}, "z": {"b": {"c": {"d": {"k": 1}}}}}, "permissions":"read-all"}',
+     (True, 'scalar', '', ['push'])),
+    ("# c\n\n {on: [push, {x: 1}, 'a, b'], # c }\n permissions: } # end",
+     (True, 'empty', '', ['push', 'a, b'])),
+    ('{on: [push}',
+     (False, 'absent', '', ['push'])),
+    ('{on: push',
+     (False, 'absent', '', [])),
+    ('{on: "push}',
+     (False, 'absent', '', ['push'])),
+    ('{on: push} stray',
+     (False, 'absent', '', ['push'])),
+    ('{on: push}\n# c\n',
+     (True, 'absent', '', ['push'])),
+    ('{a, on, b: {c, d}}',
+     (True, 'absent', '', [])),
+    ('{"a":1,"a":2}',
+     (False, 'absent', '', [])),
+    ('{}',
+     (True, 'absent', '', [])),
+    ('{on: {push: {paths: {a: 1, b: {c: 2, d: [3, 4]}}}, "x":{}, y}, \'permissions\':{\'contents\':\'admin\',issues: read}}',
+     (True, 'flow map', 'admin', ['push', 'x', 'y'])),
+    ('on: {push: {paths: {a: 1, b: {c: 2, d: [3, 4]}}}, "x":{}, y}\npermissions: {issues: {a: b, contents: c}, "contents":"write"}',
+     (True, 'flow map', 'write', ['push', 'x', 'y'])),
+    ("on: ['a, b', c]",
+     (True, 'absent', '', ['a, b', 'c'])),
+    ('{url: http://x:80/y#z, on: a b c}',
+     (True, 'absent', '', ['a b c'])),
+    ('{on: &x push, j: !!str y, k: *x}',
+     (True, 'absent', '', ['push'])),
+    ('{a: \'it\'\'s\', on: "p\\"q"}',
+     (True, 'absent', '', ['p\\"q'])),
+    ('{a: [[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]]], on: push}',
+     (True, 'absent', '', ['push'])),
+    ('{on: push, permissions: {contents: write}} }',
+     (False, 'flow map', 'write', ['push'])),
+    ("# " + "x" * 3000 + "\n%YAML 1.2\n---\non: push", (True, "absent", "", ["push"])),
+]
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +123,13 @@ def test_very_long_documents(spark):
     assert got[0].parse_ok and got[0].contents == "write"
     assert len(got[0].triggers) == 100_001 and got[0].triggers[-1] == "last"
     assert not got[1].parse_ok
+
+
+def test_very_long_flow_documents(spark):
+    """Many entries, many tokens and deep nesting in one document, over the seams of chunks."""
+    docs = ["{on: push, " + ", ".join(f"k{i}: {{a: [1, 2], b: 'x'}}" for i in range(3_000)) + ", permissions: {contents: write}}",
+            "{on: push, a: " + "[" * 5_000 + "]" * 5_000 + "}", "{on: push, a: " + "[" * 5_000 + "]" * 4_999 + "}",
+            "{on: {" + ", ".join(f"e{i}: {{x: [y]}}" for i in range(2_500)) + "}}", "{a: 1, " + ", ".join(f"k{i}: 1" for i in range(2_500)) + ", a: 2}"]
+    got = {r.i: r.header for r in with_header(spark.createDataFrame(list(enumerate(docs)), "i int, content string")).collect()}
+    assert [got[i].parse_ok for i in range(5)] == [True, True, False, True, False]
+    assert got[0].contents == "write" and got[0].triggers == ["push"] and got[3].triggers == [f"e{i}" for i in range(2_500)]
