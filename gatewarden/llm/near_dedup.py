@@ -8,12 +8,17 @@ of the run (the process of a block is thinned to the part the weight covers). Th
 least value per register is the signature: two texts agree in a register with
 probability sum(min) / sum(max) of their weights. Bands of registers name candidates.
 
-Texts with equal multisets are one node. In each band bucket all nodes are compared
-with one leader; accepted links (weighted Jaccard of 0.8 or more, counted exactly) give
-components. Where a bucket still has several components, the nodes outside its largest
-one lead too and are compared with all nodes of other components: no pair of a bucket
-stays untested unless it is already connected. If they are many, a hash picks how many
-lead in a round. No bucket is ever gathered or sorted in one task.
+Texts with equal multisets are one node. In each band bucket all nodes are compared with
+one leader, the node that meets most others in its buckets, so that families of edits have
+few leaders near their centre; accepted links (weighted Jaccard of 0.8 or more, counted
+exactly) give components. Where a bucket still has several components, the nodes outside
+its largest one have to be compared with all nodes of other components, and those pairs
+are found without listing them (``candidates``): a run that few of these texts hold is
+an index to its holders, and what two texts can share beyond such runs is bounded by the number of frequent
+runs in each. A text of which more than a fifth is its own meets nobody. Bounds on sizes and
+on the distances to the bucket's leader (the distance is a metric) thin the pairs that are
+left; they are tested by rounds of leaders. No pair of a bucket that could reach 0.8 stays
+untested unless it is already connected, and no bucket is ever gathered in one task.
 
 Defined results: a null or empty text is a class of its own; the smallest id of a
 class is its ``class_id`` and stays; a null id is replaced by its class only if others
@@ -46,6 +51,8 @@ LEAST_SHARED, LEAST_ALL = 4, 5
 BANDS, ROWS = 48, 7
 REGISTERS = BANDS * ROWS
 SLICE_BYTES = 1_000_000
+#: Texts that hold a run at most for it to be an index to them: a run makes up to RARE (RARE - 1) / 2 pairs.
+RARE = 4
 #: Leaders of a bucket in the first round after the first leader; four times as many in each later one.
 FIRST_LEADERS = 64
 NO_ID = (1 << 63) - 1
@@ -95,8 +102,8 @@ def bag_min_hash(doc: np.ndarray, run: np.ndarray, weight: np.ndarray, docs: int
     return signature
 
 
-def sketch(texts: list[str]) -> list[tuple[bytes | None, list[int] | None, int]]:
-    """Digest of the multiset, band hashes and number of runs of each text."""
+def run_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs as (number of the text, 64-bit hash), sorted, and the number of runs of each text."""
     split = [words_of(t) for t in texts]
     table = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*split)}
     sizes = np.array([len(s) for s in split], np.int64)
@@ -108,10 +115,19 @@ def sketch(texts: list[str]) -> list[tuple[bytes | None, list[int] | None, int]]
     for k in range(RUN_WORDS):
         run = _mix(run + hashes[begin + k] + _U(k + 1))
     order = np.lexsort((run, doc))
-    doc, run = doc[order], run[order]
+    return doc[order], run[order], n_runs
+
+
+def _first_places(doc: np.ndarray, run: np.ndarray) -> np.ndarray:
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (run[1:] != run[:-1])
-    starts = np.flatnonzero(new)
+    return np.flatnonzero(new)
+
+
+def sketch(texts: list[str]) -> list[tuple[bytes | None, list[int] | None, int]]:
+    """Digest of the multiset, band hashes and number of runs of each text."""
+    doc, run, n_runs = run_hashes(texts)
+    starts = _first_places(doc, run)
     weight = np.diff(np.append(starts, len(doc)))
     doc_u, run_u = doc[starts], run[starts]
     signature = bag_min_hash(doc_u, run_u, weight, len(texts)).view(np.uint64)
@@ -150,35 +166,42 @@ def bag(text: str) -> Counter:
     return Counter(zip(*(words[k:] for k in range(RUN_WORDS))))
 
 
-def similar(a: Counter, b: Counter) -> bool:
-    """sum(min) / sum(max) >= 4 / 5, in whole numbers."""
-    total, small, large = a.total() + b.total(), *sorted((a.total(), b.total()))
-    if LEAST_ALL * small < LEAST_SHARED * large:
-        return False
+def shared_runs(a: Counter, b: Counter) -> int:
+    """sum(min) of two bags."""
     if len(a) > len(b):
         a, b = b, a
-    shared = sum(min(n, b[run]) for run, n in a.items() if run in b)
-    return (LEAST_SHARED + LEAST_ALL) * shared >= LEAST_SHARED * total
+    return sum(min(n, b[run]) for run, n in a.items() if run in b)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, held = None, Counter()
     for batch in batches:
-        a, b, text_a, text_b = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
-        good = []
-        for i in range(batch.num_rows):
-            if (leader := b[i].as_py()) != last:
-                last, held = leader, bag(text_b[i].as_py())
-            if similar(bag(text_a[i].as_py()), held):
-                good.append(i)
-        yield pa.RecordBatch.from_arrays([a.take(pa.array(good, pa.int64())), b.take(pa.array(good, pa.int64()))], names=["a", "b"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (``a, b``), counted on whole texts, written to the shared folder."""
+        columns = [batch.column(c) for c in ("a", "b")]
+        found = []
+        for i, (leader, text_a, text_b) in enumerate(zip(columns[1].to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True)):
+            if leader != last:
+                last, held = leader, bag(text_b.as_py())
+            other = bag(text_a.as_py())
+            found.append((shared_runs(other, held), other.total() + held.total()))
+        shared, total = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
+
+
+def counted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (``a, b``) with ``shared`` and ``total`` runs, counted on whole texts, written to the shared folder."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a binary, b binary"))
+    return cut_lineage(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_count, "a binary, b binary, shared long, total long"))
+
+
+def similar(shared, total):
+    """sum(min) / sum(max) >= 4 / 5, in whole numbers."""
+    return shared * (LEAST_SHARED + LEAST_ALL) >= total * LEAST_SHARED
+
+
+def sizes_allow(n, m):
+    """The smaller of two texts has at least 4 / 5 of the runs of the larger."""
+    return (n * LEAST_ALL >= m * LEAST_SHARED) & (m * LEAST_ALL >= n * LEAST_SHARED)
 
 
 def _node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,8 +217,7 @@ def _node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([node, pa.array(texts, pa.string()), pa.array(same)], names=["node", "text", "same"])
 
     joined = rows.join(wanted, "id").select("node", "text")
-    repeated = nodes.where("rep_rows > 1 or rep = " + str(NO_ID)).limit(1).isEmpty()
-    if not repeated:
+    if not nodes.where("rep_rows > 1 or rep = " + str(NO_ID)).limit(1).isEmpty():
         joined = joined.mapInArrow(matching, "node binary, text string, same boolean").where("same").select("node", "text").dropDuplicates(["node"])
     return cut_lineage(joined)
 
@@ -204,48 +226,122 @@ def _digest(text: str) -> tuple:
     return sketch([text])[0]
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in text_slices(batch, "text", SLICE_BYTES):
+            doc, run, _ = run_hashes(texts)
+            starts = _first_places(doc, run)
+            nth = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc))))
+            element = _mix(run + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+            nodes = batch.column("node").slice(start, len(texts))
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(doc)), pa.array(element.view(np.int64))], names=["node", "element"])
+
+
+def _rare(texts: DataFrame) -> DataFrame:
+    """``node, element, holders`` of the elements (a run and its how-manieth time) that at most RARE of the texts hold.
+
+    Written to the shared folder. Holders are counted before they meet, and frequent elements are not joined.
+    """
+    elements = texts.mapInArrow(_elements, "node binary, element long")
+    few = elements.groupBy("element").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
+    return cut_lineage(elements.join(few, "element"))
+
+
+def candidates(open_: DataFrame, texts: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` that share rare runs and may be near, and the rows of ``open_`` that may be near without them.
+
+    With r rare runs in common and f frequent ones in each, two texts share at most
+    r + min(f) runs. ``open_`` (``bucket, node, label, ...``) comes back with ``n`` runs and ``f``.
+    """
+    nodes = open_.select("node", "label").distinct()
+    rare = _rare(texts.join(nodes, "node", "left_semi"))
+    own = rare.groupBy("node").agg(F.count("*").alias("rare"))
+    of = cut_lineage(nodes.join(runs, "node").join(own, "node", "left").select("node", "label", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("f")))
+    held = rare.where("holders > 1").select("node", "element")
+    both = held.withColumnRenamed("node", "a").join(held.withColumnRenamed("node", "b"), "element").where("a < b").groupBy("a", "b").agg(F.count("*").alias("rare"))
+    end = lambda e: of.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("label", "n", "f")))
+    by_rare = both.join(end("a"), "a").join(end("b"), "b").where(F.col("label_a") != F.col("label_b")).where(
+        similar(F.col("rare") + F.least("f_a", "f_b"), F.col("n_a") + F.col("n_b")) & sizes_allow(F.col("n_a"), F.col("n_b")))
+    # a text that is not near to a part of itself, its frequent runs, is near to none without rare runs
+    able = of.where(sizes_allow(F.col("f"), F.col("n"))).drop("label")
+    return cut_lineage(by_rare.select("a", "b")), open_.join(able, "node")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, links, kept, runs`` of every row of ``docs`` (``links``: verified partners seen)."""
     rows = sketches(docs)
     some = rows.where("node IS NOT NULL").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    per_id = some.groupBy("node", "id").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
+    per_id = some.groupBy("node", "id").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("runs").alias("runs"))
     ids_elsewhere = some.groupBy("id").agg(F.count("*").alias("id_rows"))
-    nodes = per_id.groupBy("node").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    nodes = per_id.groupBy("node").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.max("runs").alias("runs"))
     nodes = cut_lineage(nodes.join(ids_elsewhere, nodes["rep"] == ids_elsewhere["id"]).select(
-        "node", "rep", "bands", F.col("id_rows").alias("rep_rows")))
+        "node", "rep", "bands", "runs", F.col("id_rows").alias("rep_rows")))
+    runs = nodes.select("node", F.col("runs").alias("n"))
 
     # buckets with one node name no candidates and go at once
-    member = nodes.select("node", F.explode("bands").alias("bucket")).withColumn("place", F.xxhash64("node", "bucket"))
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("place", "node")).alias("first")).where("n > 1")
+    member = nodes.select("node", F.col("runs").alias("n"), F.explode("bands").alias("bucket"))
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     member = cut_lineage(member.join(sizes, "bucket"))
+    meets = member.groupBy("node").agg(F.sum("size").alias("meets"))
+    heads = member.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("head")).select(
+        "bucket", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+    member = cut_lineage(member.join(heads, "bucket").withColumn("place", F.xxhash64("node", "bucket")))
     ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    tested = cut_lineage(member.where(F.col("node") != F.col("first.node")).select(*ends("node", "first.node")).distinct())
+    # the leader's text is read once for all that follow it
+    led_by = member.where((F.col("node") != F.col("head")) & sizes_allow(F.col("n"), F.col("head_n")))
     texts = _node_texts(docs, nodes.join(member.select("node").distinct(), "node", "left_semi"))
-    links = verified(tested, texts)
+    seen = counted(led_by.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), texts)
+    tested = cut_lineage(seen.select(*ends("a", "b")).distinct())
+    links = cut_lineage(seen.where(similar(F.col("shared"), F.col("total"))).select(*ends("a", "b")).distinct())
     labels = components(links)
+    # similarity to the leader; a leader to itself is 1
+    near = seen.select(F.col("a").alias("node"), F.col("b").alias("head"), (F.col("shared") / (F.col("total") - F.col("shared"))).alias("to_head"))
+    label_of = lambda: F.coalesce("label", "node").alias("label")
 
-    leaders, led = FIRST_LEADERS, None
-    while True:
-        known = member.select("bucket", "node", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def open_nodes() -> DataFrame:
+        """The nodes of buckets that have several components, with the label of the largest."""
+        known = member.select("bucket", "node", "place", "head").join(labels, "node", "left").withColumn("label", label_of())
         counts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-        open_ = cut_lineage(known.join(largest.where("labels > 1"), "bucket").select("bucket", "node", "place", "label", F.col("top.label").alias("top")))
-        minor = open_.where("label != top").select("bucket", "node", "place", "label")
-        minor = minor if led is None else minor.join(led, ["bucket", "node"], "left_anti")
-        minor = cut_lineage(minor.join(minor.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"))
-        if minor.isEmpty():
-            break
-        # a node leads if its place, as a share of the range of hashes, is below leaders / n
-        share = (F.col("place").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-        now = cut_lineage(minor.where((F.col("n") <= leaders) | (share * F.col("n") < leaders)).select(
-            "bucket", F.col("node").alias("leader"), F.col("label").alias("of")))
-        crossed = open_.join(now, "bucket").where("label != of").select(*ends("node", "leader")).distinct()
-        pairs = cut_lineage(crossed.join(tested, ["a", "b"], "left_anti"))
+        return known.join(largest.where("labels > 1").select("bucket", F.col("top.label").alias("top")), "bucket")
+
+    def learn(pairs: DataFrame) -> None:
+        nonlocal tested, links, labels
         tested = tested.unionByName(pairs)
-        more = verified(pairs, texts)
+        found = counted(pairs, texts)
+        more = cut_lineage(found.where(similar(F.col("shared"), F.col("total"))).select("a", "b"))
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = merged(labels, more)
+
+    first = cut_lineage(open_nodes())
+    by_rare, able = candidates(first, texts, runs)
+    able = cut_lineage(able.join(near, ["node", "head"], "left").select(
+        "bucket", "node", "n", "f", F.when(F.col("node") == F.col("head"), 1.0).otherwise(F.col("to_head")).alias("to_head")))
+    learn(cut_lineage(by_rare.join(tested, ["a", "b"], "left_anti")))
+
+    leaders, led = FIRST_LEADERS, None
+    while True:
+        open_ = cut_lineage(open_nodes().select("bucket", "node", "place", "label", "top").join(able, ["bucket", "node"]))
+        # frequent runs must reach the least size in the bucket, which is 4 / 5 of the own one at least
+        least = open_.groupBy("bucket").agg(F.min("n").alias("least"))
+        minor = open_.join(least, "bucket").where("label != top").where(
+            similar(F.col("f"), F.col("n") + F.greatest("least", F.floor(F.col("n") * LEAST_SHARED / LEAST_ALL)))).drop("least")
+        minor = minor if led is None else minor.join(led, ["bucket", "node"], "left_anti")
+        minor = cut_lineage(minor.join(minor.groupBy("bucket").agg(F.count("*").alias("waiting")), "bucket"))
+        if minor.isEmpty():
+            break
+        # a node leads if its place, as a share of the range of hashes, is below leaders / waiting
+        share = (F.col("place").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+        now = cut_lineage(minor.where((F.col("waiting") <= leaders) | (share * F.col("waiting") < leaders)).select(
+            "bucket", F.col("node").alias("leader"), F.col("label").alias("of"), F.col("n").alias("of_n"), F.col("f").alias("of_f"),
+            F.col("to_head").alias("of_head")))
+        # distances to the head of the bucket differ by at most the distance of the pair
+        apart = F.coalesce(F.abs(F.col("to_head") - F.col("of_head")) <= 1 - LEAST_SHARED / LEAST_ALL + 1e-9, F.lit(True))
+        crossed = open_.join(now, "bucket").where(
+            (F.col("label") != F.col("of")) & sizes_allow(F.col("n"), F.col("of_n")) & apart
+            & similar(F.least("f", "of_f"), F.col("n") + F.col("of_n"))).select(*ends("node", "leader")).distinct()
+        learn(cut_lineage(crossed.join(tested, ["a", "b"], "left_anti")))
         now = now.select("bucket", F.col("leader").alias("node"))
         led, leaders = now if led is None else led.unionByName(now), 4 * leaders
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

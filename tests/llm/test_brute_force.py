@@ -204,6 +204,24 @@ def test_op8_in_families_of_edits(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == near_classes(rows)
 
 
+def test_op8_with_a_third_in_one_family(spark):
+    """A third of all rows are edits of one text, from almost none to most of it; two more families meet it half way."""
+    rng = np.random.default_rng(16)
+    words = [f"w{i}" for i in range(60)]  # few words, so that the same edits happen twice
+    base = list(rng.choice(words, 120))
+    half = base[:60] + list(rng.choice(words, 60))
+    rows = []
+    for k in range(360):
+        text = list(base if k % 3 else half)
+        for _ in range(int(rng.integers(0, 30)) if k % 4 else int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(text)))
+            text[at : at + int(rng.integers(0, 3))] = [str(rng.choice(words))]
+        rows.append((k, " ".join(text)))
+    rows += [(1_000 + i, " ".join(rng.choice(words, int(rng.integers(1, 200))))) for i in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == near_classes(rows)
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(5)
     agree = []
