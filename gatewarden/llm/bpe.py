@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from gatewarden.llm.common import read, text_slices, whole_text
+from gatewarden.llm.token_counts import BEYOND_LATIN, LATIN_WORD
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pre-tokens that a worker remembers, and the longest of them.
@@ -50,6 +51,11 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.tokens[-1] = b""  # what a null id decodes to
         self.pattern = regex.compile(pattern)
+        # an equal pattern of plain classes for texts up to Latin-1, if it is the one that is known
+        self.latin = LATIN_WORD if pattern == public_tokenizers.PATTERN else None
+        tokens = [self.tokens.get(rank, b"") for rank in range(max(self.tokens) + 1)] + [b""]  # the last one for id -1
+        self.table, self.widths = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        self.places = np.cumsum(self.widths) - self.widths
         self.buckets: list[list[int] | None] = [None] * (max(self.tokens) + 1)
         self.word_of = [rank >> 8 for rank in range(len(self.buckets))]
         self.bit_of = [1 << (rank & 255) for rank in range(len(self.buckets))]
@@ -153,7 +159,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        split = [self.pattern.findall(text) for text in texts]
+        split = [self.split(text) for text in texts]
         words = set().union(*split)
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
@@ -164,8 +170,18 @@ class Vocabulary:
         find = self.known.get
         return [b"".join([find(w) or longer[w] for w in words]) for words in split]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def split(self, text: str) -> list[str]:
+        if self.latin and (text.isascii() or not BEYOND_LATIN.search(text)):
+            return self.latin.findall(text)
+        return self.pattern.findall(text)
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids behind each other, gathered from a flat table, and where the texts of ``ends`` end."""
+        widths = self.widths[ids]
+        stops = np.cumsum(widths)
+        places = np.repeat(self.places[ids] - (stops - widths), widths)
+        places += np.arange(len(places))
+        return self.table[places], np.concatenate(([0], stops))[ends]
 
 
 @functools.lru_cache(maxsize=2)
@@ -203,8 +219,9 @@ def encode(
 
 def _decoded(vocab: Vocabulary, ids: pa.ListArray) -> pa.Array:
     ids = ids.fill_null([])
-    flat, ends = ids.flatten().fill_null(-1).to_numpy().tolist(), ids.value_lengths().to_numpy().cumsum().tolist()
-    return pa.array([vocab.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
+    ends = np.concatenate(([0], ids.value_lengths().to_numpy().cumsum()))
+    data, ends = vocab.decode_all(ids.flatten().fill_null(-1).to_numpy(), ends)
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

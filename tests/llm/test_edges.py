@@ -140,7 +140,6 @@ def test_bpe_merges_like_the_definition():
 
 def test_token_store(docs, empty):
     library = Tokenizer.from_file(token_store.TOKENIZER)
-    library.encode_special_tokens = True
     got = token_store.read_documents(token_store.write_shards(docs)).collect()
     want = {}
     for i, t in texts():
@@ -159,20 +158,29 @@ def test_token_store(docs, empty):
 
 def test_word_encoder_equals_the_library():
     library = Tokenizer.from_file(token_store.TOKENIZER)
-    library.encode_special_tokens = True
     rng = np.random.default_rng(1)
-    letters = list("abcXYZ'stredlvm  \n\t0123.,!?é²ßªµÀ\x0b\x1c\x85\xa0") + ["日本", "\u0130", "e\u0301", "🙂", "<|endoftext|>"]
+    letters = list("abcXYZ'stredlvm  \n\t0123.,!?é²ßªµÀ\x0b\x1c\x85\xa0") + ["日本", "\u0130", "e\u0301", "🙂", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]
     some = ["".join(rng.choice(letters, size=rng.integers(0, 60))) for _ in range(400)] + [unicodedata.normalize("NFD", "é à ü"), "q" * 900]
     got = token_store.WordEncoder(token_store.TOKENIZER).encode(some)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in some]
 
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5_000])
+def test_added_tokens_are_what_the_library_makes_of_them(spark):
+    rows = [(1, "a <|startoftext|>b<|endoftext|> c"), (2, "<|EndOfText|>"), (3, "<|endoftext"), (4, "plain"), (5, "x" * 70 + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    library, got = Tokenizer.from_file(token_store.TOKENIZER), token_store.read_documents(token_store.write_shards(docs)).collect()
+    assert {49406, 49407} <= set(library.encode(rows[0][1], add_special_tokens=False).ids)
+    for r in got:
+        ids = np.array([*library.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5_000, token_store.SEGMENT_BITS, 2 * token_store.SEGMENT_BITS + 9])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 60, n).astype("<u4")
     _, ends, matrix = token_store.read_shard(token_store.write_shard([1, 2], [ids[: n // 2].tobytes(), ids[n // 2 :].tobytes()]))
     assert (matrix.decode() == ids).all() and ends.tolist() == [n // 2, n]
-    for i in range(0, n, 97):
+    for i in range(0, n, max(97, n // 50)):
         assert matrix.access(i) == ids[i]
     for token in (0, 7, 59, 1_000):
         assert matrix.occurrences(token) == np.flatnonzero(ids == token).tolist()
