@@ -487,8 +487,10 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_suffix
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    # a cut may part the bytes of a character: the shown text has a replacement there, the digest is of the bytes
     return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                          F.sha2("kept", 256).alias("kept_sha256"))
+                          F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"),
+                          F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
