@@ -44,9 +44,9 @@ TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 #: Ids in a shard (documents are kept whole), and bytes of text for a task that writes shards.
 SHARD_IDS, TASK_BYTES = 1 << 20, 16_000_000
 #: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 1_200_000, 64
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 MAGIC = b"WMATRIX2"
 #: Bits of a plane that are compressed together, and unpacked segments that a reader holds.
 SEGMENT_BITS, HELD_SEGMENTS = 1 << 15, 64
