@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from gatewarden.session import cut_lineage
 
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     out: str,
     descending: Sequence[str] = (),
+    written: bool = False,
 ) -> DataFrame:
     """``row_number`` inside ``group`` by ``order`` for groups of any size.
 
@@ -22,7 +24,8 @@ def number_rows(
     that the ranges stay as they are when executors are lost. The place of a row in its
     range is the lower part of its id; the rows of the group in earlier ranges are
     added. Columns of ``group`` must not be null. Rows that agree in all of them may
-    take any order; their place in the first table keeps them apart.
+    take any order; their place in the first table keeps them apart. A caller that has
+    written ``df`` already says so (``written``) and saves the first copy.
     """
     names = df.columns
     unique = F.monotonically_increasing_id().alias("_id")
@@ -32,10 +35,10 @@ def number_rows(
 
     by = [F.asc(c) for c in group] + [direction(c) for c in order] + [F.asc("_id")]
     # Finding the ranges reads the written rows, not what they are computed from.
-    written = cut_lineage(df.select("*", unique))
+    rows = df.select("*", unique) if written else cut_lineage(df.select("*", unique))
     # The lower 33 bits of the id are the place of a row in its sorted range.
     placed = cut_lineage(
-        written.repartitionByRange(*by)
+        rows.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .drop("_id")
         .withColumn("_range", F.spark_partition_id())

@@ -65,9 +65,9 @@ def per_repo(findings: DataFrame, repos: DataFrame) -> DataFrame:
     return counted.where("known").drop("known")
 
 
-def occurrences(findings: DataFrame) -> DataFrame:
-    """Number the findings of each type in reporting order."""
-    return number_rows(findings, ["type"], FINDING_ORDER, "occurrence")
+def occurrences(findings: DataFrame, written: bool = False) -> DataFrame:
+    """Number the findings of each type in reporting order (``written``: they are a written table already)."""
+    return number_rows(findings, ["type"], FINDING_ORDER, "occurrence", written=written)
 
 
 def first_of_type(findings: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def report(
             ),
         )
     )
-    numbered = occurrences(findings).join(
+    numbered = occurrences(findings, written=True).join(
         # one row per type of the catalogue
         F.broadcast(ranked.select("type", "type_rank")), "type"
     )

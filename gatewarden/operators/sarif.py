@@ -98,17 +98,18 @@ def _document(
 
 def documents(
     findings: DataFrame, start: str, end: str, per_document: int = RESULTS_PER_DOCUMENT,
-    extra_rules: tuple[LineRule, ...] = (), information_uri: str | None = None,
+    extra_rules: tuple[LineRule, ...] = (), information_uri: str | None = None, written: bool = False,
 ) -> DataFrame:
     """``full_name, shard, results, document``: JSON texts of bounded size.
 
     The results of a repository are numbered and cut into documents of at most
     ``per_document`` results, so no repository is gathered as a whole. Every document
     names its repository, and a rule has the texts of its first finding of the run in
-    all of them: how the results are cut changes nothing else.
+    all of them: how the results are cut changes nothing else. The findings are written
+    once, unless the caller has done so (``written``), and once more in the order of their numbers.
     """
-    findings = cut_lineage(findings)
-    numbered = number_rows(findings, ["full_name"], FINDING_ORDER, "number").withColumn(
+    findings = findings if written else cut_lineage(findings)
+    numbered = number_rows(findings, ["full_name"], FINDING_ORDER, "number", written=True).withColumn(
         "shard", F.expr(f"(number - 1) div {per_document}")
     )
     # Texts of rules are looked up after the shuffle.
@@ -190,7 +191,7 @@ def write_sarif(
         empty_document(spark, start, end).write.mode("overwrite").text(path)
         return
     found = documents(
-        findings, start, end, extra_rules=extra_rules, information_uri=information_uri
+        findings, start, end, extra_rules=extra_rules, information_uri=information_uri, written=True
     )
     owner = F.substring_index("full_name", "/", 1).alias("owner")
     found.select(owner, "document").write.mode("overwrite").partitionBy("owner").text(path)

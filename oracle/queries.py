@@ -159,9 +159,7 @@ _SQL["rollout_configs"] = f"""SELECT position, total, full_name, tool, path, CAS
 _SQL["rollout_registry"] = f"""SELECT full_name, {_STAMP.format('processed_at')}, success, message FROM registry
     UNION ALL SELECT full_name, '{catalog.RUN_TIME}.000000', true, 'processed' FROM ({_BATCH})"""
 _SQL["analyze_written"] = f"""SELECT f.full_name, replace(f.type, ' ', '') AS rule_id, {_LEVEL} AS level, f.path AS uri, line AS start_line
-    FROM (SELECT * FROM repo_paths WHERE repo_ord IN
-          (SELECT repo_ord FROM repos ORDER BY repo_ord LIMIT {catalog.ANALYZED})) p
-    JOIN findings f ON f.full_name = p.full_name AND f.path = p.path"""
+    FROM repo_paths p JOIN findings f ON f.full_name = p.full_name AND f.path = p.path"""
 _OWN = catalog.OWN_RULE.entry
 _OWN_ID = _OWN.type.replace(" ", "")
 _OWN_FOUND = r"SELECT full_name, path, line_no AS line, line AS details FROM good WHERE regexp_matches(line, 'run: \|[ \t\r]*$')"
