@@ -17,9 +17,10 @@ bytes before it) stands for all of them.
    those at the seams of ranges are counted by 128-bit hashes over the whole corpus.
 5. The windows found return to their chunk; covered bytes are removed.
 
-A passage in very many documents is one entry per chunk and place; the splitters are long
-enough to lie inside it. A chunk, a range and a bucket of hashes are bounded by bytes or
-entries; one document larger than a chunk is a chunk of its own.
+A passage in very many documents is an entry for each place of it, copies inside one chunk too.
+A chunk and a bucket of hashes are bounded by bytes or entries (one document larger than a
+chunk is a chunk of its own). A range is not: equal suffixes go to one range, all places of them, and
+splitters come from a sample of a fixed number of chunks, which bounds the number of ranges.
 
 Defined results: a null text has no bytes; texts below ``LENGTH`` bytes lose nothing;
 repeated rows are repeats of each other; ids may be null or equal. Further columns are
