@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,83 @@ def number_rows(
     return placed.join(offsets, ["_range", *group]).select(*names, number.alias(out))
 
 
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """The sum of ``value`` over the rows of ``group`` that come earlier by ``order``.
+
+    Sums are taken in two levels: inside ranges by (group, order), and over the ranges
+    before. A group of any size is spread over many ranges; ``group`` must not be null
+    and (group, order) must name a row. Meant for counts and sizes, not for wide rows.
+    """
+    by = [*group, *order]
+    placed = cut_lineage(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before = (Window.unboundedPreceding, -1)
+    # One row per range and group that meets it.
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(*before)
+    bases = placed.groupBy("_range", *group).agg(F.sum(value).alias("_sum")).select(
+        "_range", *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
+    )
+    inside = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(*before)
+    within = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    total = (F.col("_base") + F.col("_inside")).cast("long")
+    return within.join(bases, ["_range", *group]).select(*df.columns, total.alias(out))
+
+
+UNIT_ROWS = 1_000_000
+
+
+def number_in_units(
+    df: DataFrame,
+    group: Sequence[str],
+    unit: Sequence[str],
+    within: Sequence[str],
+    out: str,
+    written: bool = False,
+    max_rows: int = UNIT_ROWS,
+) -> DataFrame:
+    """``row_number`` inside ``group`` by (unit, within), from counts per unit.
+
+    A unit is a piece that a task can hold, such as the findings of a repository. The rows
+    move once, to their unit, and are numbered there; what is added are sums of counts
+    over the earlier units of the group, one row per unit and group. The groups of one
+    unit must be few, such as the types of findings. Where ``unit`` is the group itself
+    nothing is added. Units of more than ``max_rows`` rows are numbered by ranges, and so
+    is everything if a column of a unit is null. ``group`` must not be null. The result
+    is partitioned by ``unit`` if no unit is that large.
+    """
+    names = df.columns
+    df = df if written else cut_lineage(df)
+    unit, group, both = list(unit), list(group), list(dict.fromkeys([*unit, *group]))
+    counts = cut_lineage(df.groupBy(*both).agg(F.count(F.lit(1)).alias("_rows")))
+    sizes = counts.groupBy(*unit).agg(F.sum("_rows").alias("_rows"))
+    blank = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in unit])
+    most, nulls = sizes.agg(F.max("_rows"), F.max(blank)).first()
+    if nulls:
+        return number_rows(df, group, [*unit, *within], out)
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*both).orderBy(*within))
+        return rows.repartition(*unit).withColumn(out, place.cast("long"))
+
+    if (most or 0) <= max_rows:
+        local = numbered(df)
+    else:
+        # There is at most one such unit in ``max_rows`` rows.
+        heavy = broadcast_if_small(sizes.where(F.col("_rows") > max_rows).select(*unit))
+        local = numbered(df.join(heavy, unit, "left_anti")).unionByName(
+            number_rows(df.join(heavy, unit, "left_semi").select(*names), both, within, out)
+        )
+    if set(group) == set(unit):
+        return local.select(*names, out)
+    key = F.struct(*group)
+    offsets = (
+        running_total(counts, group, [c for c in unit if c not in group], "_rows", "_before")
+        .groupBy(*unit)
+        .agg(F.map_from_entries(F.collect_list(F.struct(key, "_before"))).alias("_offsets"))
+    )
+    number = F.col(out) + F.try_element_at("_offsets", key)
+    return local.join(offsets, unit).select(*names, number.alias(out))
+
+
 MAX_BROADCAST_ROWS = 100_000
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import unicode_trim
-from gatewarden.operators.ranking import number_rows, write_ordered_text
+from gatewarden.operators.ranking import number_in_units, write_ordered_text
 from gatewarden.operators.rules import SEVERITIES, LineRule
 from gatewarden.operators.scan import FINDING_ORDER, with_catalog
-from gatewarden.session import cut_lineage
+from gatewarden.session import cut_lineage, temporary_tables
 
 BAR_WIDTH = 20
 
@@ -66,8 +66,12 @@ def per_repo(findings: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def occurrences(findings: DataFrame, written: bool = False) -> DataFrame:
-    """Number the findings of each type in reporting order (``written``: they are a written table already)."""
-    return number_rows(findings, ["type"], FINDING_ORDER, "occurrence", written=written)
+    """Number the findings of each type in reporting order (``written``: they are a written table already).
+
+    Counts are kept per repository and type, so what is added up is far smaller than the findings.
+    """
+    repository, rest = FINDING_ORDER[:1], FINDING_ORDER[1:]
+    return number_in_units(findings, ["type"], repository, rest, "occurrence", written=written)
 
 
 def first_of_type(findings: DataFrame) -> DataFrame:
@@ -169,5 +173,6 @@ def report(
 def write_report(
     findings: DataFrame, run_time: str, path: str, extra_rules: tuple[LineRule, ...] = ()
 ) -> None:
-    blocks = report(findings, run_time, extra_rules)
-    write_ordered_text(blocks, ["section", "type_rank", "occurrence"], path)
+    with temporary_tables(findings.sparkSession):
+        blocks = report(findings, run_time, extra_rules)
+        write_ordered_text(blocks, ["section", "type_rank", "occurrence"], path)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatewarden.operators.ranking import number_rows
+from gatewarden.operators.ranking import number_in_units, running_total
 from gatewarden.operators.report import first_of_type
 from gatewarden.operators.rules import (
     LEVEL, OTHER_LEVEL, OTHER_SCORE, SCORE, LineRule, catalog_map,
 )
 from gatewarden.operators.scan import FINDING_ORDER, with_catalog
-from gatewarden.session import cut_lineage
+from gatewarden.session import cut_lineage, temporary_tables
 
 # Fixed values of the format.
 SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -103,15 +103,17 @@ def documents(
     """``full_name, shard, results, document``: JSON texts of bounded size.
 
     The results of a repository are numbered and cut into documents of at most
-    ``per_document`` results, so no repository is gathered as a whole. Every document
+    ``per_document`` results, so no row holds a repository as a whole. Every document
     names its repository, and a rule has the texts of its first finding of the run in
     all of them: how the results are cut changes nothing else. The findings are written
-    once, unless the caller has done so (``written``), and once more in the order of their numbers.
+    once, unless the caller has done so (``written``), and move once: those of a
+    repository are numbered and put together in one task, and a repository with more
+    than ``ranking.UNIT_ROWS`` findings is spread over ranges.
     """
     findings = findings if written else cut_lineage(findings)
-    numbered = number_rows(findings, ["full_name"], FINDING_ORDER, "number", written=True).withColumn(
-        "shard", F.expr(f"(number - 1) div {per_document}")
-    )
+    numbered = number_in_units(
+        findings, ["full_name"], ["full_name"], FINDING_ORDER, "number", written=True
+    ).withColumn("shard", F.expr(f"(number - 1) div {per_document}"))
     # Texts of rules are looked up after the shuffle.
     entry = F.struct("number", "rule_id", "type", "severity", "path", "line", "details")
     gathered = numbered.groupBy("full_name", "shard").agg(
@@ -180,18 +182,66 @@ def empty_document(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(_document(null, null, start, end).alias("document"))
 
 
+FILE_BYTES = 128 << 20
+INDEX = "_index"
+
+
 def write_sarif(
     findings: DataFrame, start: str, end: str, path: str,
     extra_rules: tuple[LineRule, ...] = (), information_uri: str | None = None,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
-    """One JSON text per line, in folders by repository owner; the findings are computed once."""
+    """One JSON text per line, in files of bounded size; the findings are computed once.
+
+    Documents are laid end to end by repository and shard and cut into files where
+    ``file_bytes`` are full, so a file holds less than that and one document more, and the
+    number of files follows from the bytes alone. File ``k`` is the folder ``file=k``.
+    ``read_index`` gives the place of every document. The index is written last: where it
+    is, the output is complete. A repeated run gives the same files and replaces the old.
+    """
     spark = findings.sparkSession
-    findings = cut_lineage(findings)
-    if findings.isEmpty():
-        empty_document(spark, start, end).write.mode("overwrite").text(path)
-        return
-    found = documents(
-        findings, start, end, extra_rules=extra_rules, information_uri=information_uri, written=True
-    )
-    owner = F.substring_index("full_name", "/", 1).alias("owner")
-    found.select(owner, "document").write.mode("overwrite").partitionBy("owner").text(path)
+    with temporary_tables(spark):
+        findings = cut_lineage(findings)
+        if findings.isEmpty():
+            nobody = F.lit(None).cast("string").alias("full_name")
+            found = empty_document(spark, start, end).select(nobody, F.lit(0).cast("long").alias("shard"), "document")
+        else:
+            found = documents(
+                findings, start, end, extra_rules=extra_rules, information_uri=information_uri, written=True
+            )
+        found = cut_lineage(
+            found.select("full_name", "shard", "document", F.monotonically_increasing_id().alias("id"))
+        )
+        # A line ends with one byte more.
+        size = (F.octet_length("document") + 1).cast("long").alias("bytes")
+        placed = running_total(
+            found.select("full_name", "shard", "id", size), [], ["full_name", "shard", "id"], "bytes", "start"
+        )
+        # The documents of a file are bounded by its bytes.
+        first = F.min("start").over(Window.partitionBy("file"))
+        index = cut_lineage(
+            placed.withColumn("file", F.expr(f"start div {file_bytes}")).withColumn("offset", F.col("start") - first)
+        )
+        (
+            found.select("id", "document")
+            .join(index.select("id", "file", "offset"), "id")
+            .repartition("file")
+            .sortWithinPartitions("file", "offset")
+            .select("file", "document")
+            .write.mode("overwrite").partitionBy("file").text(path)
+        )
+        index.select("full_name", "shard", "file", "offset", "bytes").write.mode("overwrite").parquet(f"{path}/{INDEX}")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """``full_name, shard, file, offset, bytes`` of every document below ``path``."""
+    return spark.read.parquet(f"{path}/{INDEX}")
+
+
+def read_documents(spark: SparkSession, path: str, full_name: str) -> DataFrame:
+    """The documents of one repository; only the files that hold them are read."""
+    files = read_index(spark, path).where(F.col("full_name") == full_name).select("file").distinct()
+    # The number of files is bounded by the bytes of one repository.
+    lines = spark.read.schema("value string, file long").text(path).join(F.broadcast(files), "file")
+    named = F.get_json_object("value", "$.runs[0].automationDetails.id") == full_name
+    return lines.where(named).select(F.col("value").alias("document"))

@@ -29,7 +29,7 @@ def test_collect_then_analyze(spark, tmp_path):
     audit.analyze_flow(repos, files, str(tmp_path / "sarif"), "t", "s", "e", "sarif", 20)
     results = 0
     names = set()
-    for part in (tmp_path / "sarif").glob("owner=*/part-*"):
+    for part in (tmp_path / "sarif").glob("file=*/part-*"):
         for line in part.read_text().splitlines():
             run = json.loads(line)["runs"][0]
             results += len(run["results"])
@@ -60,7 +60,7 @@ def test_one_repository_and_own_rules_reach_the_outputs(spark, tmp_path):
     hits = audit.scan_listed(repos, files, None, (OWN_RULE,)).where("rule_id = 'X01'")
     name = hits.orderBy("repo_ord").first().full_name
     audit.analyze_flow(repos, files, str(tmp_path / "s"), "t", "s", "e", "sarif", None, (OWN_RULE,), name, "https://example.org/rules")
-    runs = [json.loads(x)["runs"][0] for p in (tmp_path / "s").glob("owner=*/part-*") for x in p.read_text().splitlines()]
+    runs = [json.loads(x)["runs"][0] for p in (tmp_path / "s").glob("file=*/part-*") for x in p.read_text().splitlines()]
     assert {r["automationDetails"]["id"] for r in runs} == {name}
     assert all(r["tool"]["driver"]["informationUri"] == "https://example.org/rules" for r in runs)
     assert "Multi-LineScript" in {x["ruleId"] for r in runs for x in r["results"]}

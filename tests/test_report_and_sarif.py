@@ -107,3 +107,36 @@ def test_a_finding_of_an_unknown_rule_is_an_error(spark):
 def test_every_rule_has_texts(spark):
     found = spark.createDataFrame([finding(i, e.rule_id) for i, e in enumerate(CATALOG)], SCHEMA)
     assert sarif.results(found).where(F.col("message").isNotNull()).count() == len(CATALOG)
+
+
+def test_written_documents_are_cut_into_files_by_bytes(spark, tmp_path):
+    """A third of the results are of one repository; files are bounded and the index finds every document."""
+    rows = [finding(i, "R04", "o/hot" if i % 3 == 0 else f"o{i % 7}/r{i % 20}") for i in range(4500)]
+    path, bound = str(tmp_path / "s"), 200_000
+    for _ in range(2):
+        sarif.write_sarif(spark.createDataFrame(rows, SCHEMA), "s", "e", path, file_bytes=bound)
+        files = {int(f.parent.name.removeprefix("file=")): f.read_bytes() for f in (tmp_path / "s").glob("file=*/part-*")}
+        index = sarif.read_index(spark, path).collect()
+        total = sum(r.bytes for r in index)
+        assert total == sum(map(len, files.values())) and len(files) <= total // bound + 1
+        assert len(files) > 3 and all(len(b) < bound + max(r.bytes for r in index) for b in files.values())
+        shards = {}
+        for r in index:
+            text = files[r.file][r.offset:r.offset + r.bytes]
+            run = json.loads(text)["runs"][0]
+            assert text.endswith(b"\n") and run["automationDetails"]["id"] == r.full_name
+            shards.setdefault(r.full_name, []).append((r.shard, len(run["results"])))
+        assert sorted(shards["o/hot"]) == [(0, 1000), (1, 500)]
+        assert sum(n for s in shards.values() for _, n in s) == 4500
+    hot = sarif.read_documents(spark, path, "o/hot").collect()
+    assert sorted(len(json.loads(r.document)["runs"][0]["results"]) for r in hot) == [500, 1000]
+    assert sarif.read_documents(spark, path, "o/none").count() == 0
+
+
+def test_a_run_without_findings_writes_one_document(spark, tmp_path):
+    path = str(tmp_path / "none")
+    sarif.write_sarif(spark.createDataFrame([], SCHEMA), "s", "e", path)
+    (line,) = spark.read.text(path).collect()
+    assert json.loads(line.value)["runs"][0]["results"] is None
+    (place,) = sarif.read_index(spark, path).collect()
+    assert (place.full_name, place.file, place.offset, place.bytes) == (None, 0, 0, len(line.value) + 1)
