@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.operators.languages import ecosystem, scanner_language
+from gatewarden.operators.ranking import number_rows
+from gatewarden.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,7 @@ TEMPLATES = (
 def read_templates(spark: SparkSession, folder: str) -> tuple[Template, ...]:
     """Templates from text files; those of known tools keep their target path.
 
-    A folder of templates is configuration: more than 100 files are refused.
+    More than 100 files are refused here; ``template_files`` reads any number as a table.
     """
     rows = (
         spark.read.text(folder, wholetext=True, pathGlobFilter="*.yml")
@@ -92,6 +94,55 @@ def read_templates(spark: SparkSession, folder: str) -> tuple[Template, ...]:
     return tuple(found)
 
 
+def template_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``tool, path, body, optional`` of the text files of a folder, however many.
+
+    Templates of known tools keep their target path; others are optional.
+    """
+    known = {t.tool: t for t in TEMPLATES}
+    tool = F.col("tool")
+
+    def of_known(field: str, other: Column) -> Column:
+        pairs = [F.lit(x) for t in known.values() for x in (t.tool, getattr(t, field))]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), tool), other)
+
+    return (
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.yml")
+        .select(F.regexp_extract("_metadata.file_name", r"^(.*)\.yml$", 1).alias("tool"), "value")
+        .select(
+            "tool",
+            of_known("target_path", F.concat(F.lit(".github/workflows/"), tool, F.lit(".yml"))).alias("path"),
+            F.col("value").alias("body"),
+            of_known("optional", F.lit(True)).alias("optional"),
+        )
+    )
+
+
+BLOCK = 100
+MAX_TEMPLATE_BYTES = 32 << 20
+
+
+def _each_template(repos: DataFrame, templates: DataFrame) -> DataFrame:
+    """Every repository with every template of a table.
+
+    Templates are numbered and put together in blocks of ``BLOCK``; a repository meets
+    the blocks by their number. The blocks are broadcast if they are few.
+    """
+    numbered = number_rows(templates, [], ["tool"], "number")
+    blocks = cut_lineage(
+        numbered.groupBy(F.expr(f"(number - 1) div {BLOCK}").alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct("tool", "path", "body"))).alias("rows"))
+    )
+    count = blocks.count()
+    if not count:
+        nothing = [F.lit("").alias(name) for name in ("tool", "path", "body")]
+        return repos.limit(0).select("full_name", "language", *nothing)
+    size = blocks.select(F.sum(F.octet_length(F.to_json("rows")))).first()[0]
+    wanted = repos.select("full_name", "language", F.explode(F.expr(f"sequence(0L, {count - 1}L)")).alias("block"))
+    side = F.broadcast(blocks) if size <= MAX_TEMPLATE_BYTES else blocks
+    return wanted.join(side, "block").select("full_name", "language", F.inline("rows"))
+
+
 def _fill(body: Column, language: Column, as_list: bool) -> Column:
     """Put the language, or a block list of several, into the template."""
     items = F.transform(
@@ -119,15 +170,20 @@ def repo_languages(meta: DataFrame, detected: DataFrame) -> DataFrame:
 
 def render(
     repos: DataFrame,
-    templates: tuple[Template, ...] = TEMPLATES,
+    templates: tuple[Template, ...] | DataFrame = TEMPLATES,
     enabled: tuple[str, ...] = ("gitleaks", "container-scan"),
     as_list: bool = True,
 ) -> DataFrame:
     """``full_name, tool, path, content``: one row per repository and template.
 
     Optional templates are used when they are named in ``enabled``. Several
-    languages become a block list unless ``as_list`` is off.
+    languages become a block list unless ``as_list`` is off. ``templates`` may be a
+    table (``template_files``) of any size.
     """
+    filled = _fill(F.col("body"), F.col("language"), as_list).alias("content")
+    if isinstance(templates, DataFrame):
+        chosen = templates.where(~F.col("optional") | F.col("tool").isin(list(enabled)))
+        return _each_template(repos, chosen).select("full_name", "tool", "path", filled)
     used = [t for t in templates if not t.optional or t.tool in enabled]
     rows = F.array(
         *[
@@ -140,5 +196,5 @@ def render(
         ]
     )
     return repos.select("full_name", "language", F.inline(rows)).select(
-        "full_name", "tool", "path", _fill(F.col("body"), F.col("language"), as_list).alias("content")
+        "full_name", "tool", "path", filled
     )

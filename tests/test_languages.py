@@ -70,6 +70,21 @@ def test_templates_from_a_folder(spark, tmp_path):
     assert plain == {"codeql": "l: [ 'go, rust' ]\n", "own": "x: 'go, rust'\n"}
 
 
+def test_any_number_of_templates_as_a_table(spark, tmp_path):
+    (tmp_path / "codeql.yml").write_text("l: [ 'language' ]\n")
+    for i in range(249):
+        (tmp_path / f"own{i}.yml").write_text(f"x{i}: 'language'\n")
+    table = render.template_files(spark, str(tmp_path))
+    repos = spark.createDataFrame([("o/a", "go, rust"), ("o/b", "java")], "full_name string, language string")
+    enabled = tuple(f"own{i}" for i in range(249))
+    rows = {(r.full_name, r.tool): (r.path, r.content) for r in render.render(repos, table, enabled).collect()}
+    assert len(rows) == 500
+    assert rows["o/a", "codeql"] == (".github/workflows/codeql.yml", "l: \n        - 'go'\n        - 'rust'\n")
+    assert rows["o/b", "own200"] == (".github/workflows/own200.yml", "x200: 'java'\n")
+    assert [r.tool for r in render.render(repos.limit(1), table, ()).collect()] == ["codeql"]
+    assert render.render(repos, table.limit(0)).count() == 0
+
+
 def test_fixed_values_are_pinned():
     """The checks in SQL import these, so that an error in them would go unseen there."""
     from gatewarden.functions.text import UNICODE_SPACE
