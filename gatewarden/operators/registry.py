@@ -67,16 +67,14 @@ def counters(repos: DataFrame, registry: DataFrame, limit: int) -> DataFrame:
         F.least(F.count(F.lit(1)), F.lit(limit)).alias("processed"),
         F.when(F.count(F.lit(1)) > limit, F.max("repo_ord")).alias("stop"),
     )
-    # Aggregates: three plain values.
-    processed, stop = ahead.first()
-    known = registry.agg(F.count_distinct("full_name")).first()[0]
-    seen = strict_names(repos)
-    if stop is not None:
-        seen = seen.where(F.col("repo_ord") < stop)
-    return seen.agg(
-        F.lit(processed).cast("long").alias("processed"),
-        (F.count(F.lit(1)) - processed).alias("skipped"),
-        F.lit(known + processed).cast("long").alias("total"),
+    # Scalar subqueries: nothing runs while the plan is built.
+    taken = ahead.select(F.struct("processed", "stop")).scalar()
+    known = registry.agg(F.count_distinct("full_name")).scalar()
+    seen = strict_names(repos).where(taken["stop"].isNull() | (F.col("repo_ord") < taken["stop"]))
+    return seen.agg(F.count(F.lit(1)).alias("seen")).select(
+        taken["processed"].cast("long").alias("processed"),
+        (F.col("seen") - taken["processed"]).alias("skipped"),
+        (known + taken["processed"]).cast("long").alias("total"),
     )
 
 
