@@ -11,6 +11,7 @@ from gatewarden.operators import collect, languages, registry, render, report, s
 from gatewarden.operators.ranking import bounded_by
 from gatewarden.operators.rules import LineRule
 from gatewarden.operators.scan import scan
+from gatewarden.sources.contents import listed_contents
 from gatewarden.sources.text_lists import write_manifest
 
 DEFAULT_ANALYZED = 50
@@ -24,19 +25,23 @@ def collect_flow(candidates: DataFrame, listings: DataFrame, path: str,
 
 
 def scan_listed(repos: DataFrame, contents: DataFrame, limit: int | None = DEFAULT_ANALYZED,
-                extra_rules: tuple[LineRule, ...] = (), only: str | None = None) -> DataFrame:
+                extra_rules: tuple[LineRule, ...] = (), only: str | None = None,
+                stored: bool = False) -> DataFrame:
     """Findings of the first ``limit`` listed repositories, in list order.
 
     The distinct listed paths go to the files first, so that only listed files are
     scanned however long the list is; the findings, which are smaller than the
     contents, then meet the list. ``only`` names one repository in place of the limit.
+    ``stored`` says that ``contents`` is a store (``contents.write_store``): no content is
+    moved then, and of one repository only its row groups are read.
     """
     if only is not None:
         repos = collect.select_repo(repos, only)
+        contents = contents.where(F.col("full_name") == only)
     elif limit is not None:
         repos = repos.orderBy("repo_ord").limit(limit)
     paths = collect.manifest_paths(repos)
-    listed = contents.join(paths.select("full_name", "path").distinct(), ["full_name", "path"], "left_semi")
+    listed = listed_contents(paths, contents, stored)
     found = scan(
         listed.selectExpr("full_name", "0L as repo_ord", "0 as wf_ord", "path", "content"),
         extra_rules=extra_rules,
@@ -48,9 +53,10 @@ def scan_listed(repos: DataFrame, contents: DataFrame, limit: int | None = DEFAU
 def analyze_flow(repos: DataFrame, contents: DataFrame, path: str, run_time: str,
                  run_start: str, run_end: str, form: str = "md",
                  limit: int | None = DEFAULT_ANALYZED, extra_rules: tuple[LineRule, ...] = (),
-                 only: str | None = None, information_uri: str | None = None) -> None:
+                 only: str | None = None, information_uri: str | None = None,
+                 stored: bool = False) -> None:
     """Scan and report; ``sarif`` gives exchange documents, anything else Markdown."""
-    findings = scan_listed(repos, contents, limit, extra_rules, only)
+    findings = scan_listed(repos, contents, limit, extra_rules, only, stored)
     if form == "sarif":
         sarif.write_sarif(findings, run_start, run_end, path, extra_rules, information_uri)
     else:

@@ -39,3 +39,51 @@ def files_of_repos(repo_paths: DataFrame, contents: DataFrame) -> DataFrame:
     return repo_paths.join(
         contents.select("full_name", "path", "content"), ["full_name", "path"]
     ).select("full_name", "repo_ord", "wf_ord", "path", "content")
+
+
+#: A file is found by both, so the files of a hot repository are spread over all buckets.
+STORE_KEYS = ("full_name", "path")
+
+
+def write_store(files: DataFrame, folder: str, table: str, buckets: int) -> DataFrame:
+    """Write ``full_name, path, content`` in buckets by file, sorted, as ``table`` in ``folder``.
+
+    Lists of any length are joined to such a store without moving a content: only the
+    listed paths go to the buckets. Sorted names let Parquet skip the row groups that a
+    filter on ``full_name`` does not meet. Choose ``buckets`` so that one holds 0.5 to
+    1 GB; each is one file. An earlier store of that name is replaced.
+    """
+    kept = files.select(*STORE_KEYS, "content")
+    (
+        kept.repartition(buckets, *STORE_KEYS)
+        .write.mode("overwrite")
+        .bucketBy(buckets, *STORE_KEYS)
+        .sortBy(*STORE_KEYS)
+        .option("path", folder)
+        .saveAsTable(table)
+    )
+    return files.sparkSession.table(table)
+
+
+def open_store(spark: SparkSession, folder: str, table: str, buckets: int) -> DataFrame:
+    """The store in ``folder``, written with ``buckets`` by an earlier session."""
+    keys = ", ".join(STORE_KEYS)
+    quoted = folder.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"""CREATE TABLE IF NOT EXISTS {table} (full_name STRING, path STRING, content STRING) USING parquet
+        CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {int(buckets)} BUCKETS LOCATION '{quoted}'"""
+    )
+    return spark.table(table)
+
+
+def listed_contents(paths: DataFrame, contents: DataFrame, stored: bool = False) -> DataFrame:
+    """The rows of ``contents`` that are listed in ``paths``, each once.
+
+    With ``stored`` (``contents`` is a store) a task holds the listed paths of its bucket
+    in a hash table and streams the contents past it; otherwise sides and sorts are up
+    to the optimizer.
+    """
+    wanted = paths.select(*STORE_KEYS).distinct()
+    if stored:
+        wanted = wanted.hint("shuffle_hash")
+    return contents.join(wanted, list(STORE_KEYS), "left_semi")
