@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.operators.ranking import write_ordered_text
+from gatewarden.sources.json_entries import read_entries
 
 _ENTRY = "struct<full_name:string,processed_at:string,success:boolean,message:string>"
 _SCHEMA = "full_name string, processed_at timestamp, success boolean, message string"
@@ -28,15 +29,19 @@ def parse_registry(texts: DataFrame, column: str = "value") -> DataFrame:
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry file or folder; a missing path gives an empty registry.
 
-    An indented document is cut at the end of each entry, so a large file is
-    parsed by many tasks. A document on one line is also read.
+    A document is cut at the end of each entry, so a large file is parsed by many tasks:
+    at the indented brace if the first entry ends with one, else (one line, another indent) by matching
+    brackets (``json_entries``). Only the first entry is looked at to tell.
     """
     try:
-        pieces = spark.read.option("lineSep", "\n  }").text(path)
+        start = spark.read.option("lineSep", "}").text(path).where(F.col("value").contains('"')).first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _SCHEMA)
+    if start is not None and not start.value.endswith("\n  "):
+        return parse_registry(read_entries(spark, path))
+    pieces = spark.read.option("lineSep", "\n  }").text(path)
     whole = F.rtrim(F.col("value")).endswith("}")
     body = F.regexp_replace("value", r"^[\s{,]+", "")
     piece = F.when(whole, F.col("value")).otherwise(F.concat(F.lit("{"), body, F.lit("}}")))
