@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from gatewarden.plans.audit import analyze_flow, rollout_flow, scan_listed
 from gatewarden.session import shared_folder
 from gatewarden.sources import contents as content_source
 from gatewarden.sources import registry_files
+from gatewarden.sources.registry_store import RegistryStore
 from gatewarden.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,8 @@ RUN_TIME = "2025-01-01 00:00:00"
 RUN_START, RUN_END = "2024-12-31T23:00:00Z", "2025-01-01T00:00:00Z"
 # Top-k parameters of the flows.
 COLLECTED, ANALYZED, ROLLED_OUT = 100, 50, 40
+# Buckets of a store of contents and of one of outcomes.
+CONTENT_BUCKETS, REGISTRY_BUCKETS = 32, 8
 # Files of each table that arrive one at a time.
 ARRIVALS = 3
 # Registry rows before this time are the old state, the others arrive later.
@@ -179,6 +183,14 @@ def scan_limited(spark, sf_dir):
     return scan_listed(_repos(spark, sf_dir), _files(spark, sf_dir), ANALYZED)
 
 
+@query
+def scan_stored(spark, sf_dir):
+    """All listed repositories, from contents that were written in buckets by file."""
+    folder, table = shared_folder(spark, "contents"), f"contents_{uuid.uuid4().hex}"
+    store = content_source.write_store(_files(spark, sf_dir), folder, table, CONTENT_BUCKETS)
+    return scan_listed(_repos(spark, sf_dir), store, limit=None, stored=True)
+
+
 @query
 def scan_incremental(spark, sf_dir):
     """The files arrive in several micro-batches; all findings are those of one scan."""
@@ -346,6 +358,26 @@ def registry_upsert(spark, sf_dir):
     )
 
 
+@query
+def registry_one_line(spark, sf_dir):
+    """The registry written as one long line of JSON, cut by matching brackets and read back."""
+    folder = shared_folder(spark, "registry")
+    registry_files.export_lines(_registry(spark, sf_dir)).select("value").write.option("lineSep", " ").text(folder)
+    return registry_files.read_registry(spark, folder).select("full_name", _time("processed_at"), "success", "message")
+
+
+@query
+def registry_store(spark, sf_dir):
+    """All outcomes, applied as batches by time; one comes twice and runs are merged on the way."""
+    log = corpus.registry_log(spark, sf_dir)
+    cut = F.lit(REGISTRY_CUT).cast("timestamp")
+    store = RegistryStore(spark, shared_folder(spark, "registry"), REGISTRY_BUCKETS)
+    late = F.col("processed_at") >= cut
+    for batch_id, part in ((0, late), (1, ~late), (0, late)):
+        store.apply(log.where(part), "log", batch_id, max_runs=2)
+    return store.read().select("full_name", _time("processed_at"), "success", "message")
+
+
 @query
 def registry_export(spark, sf_dir):
     return registry_files.export_lines(_registry(spark, sf_dir))

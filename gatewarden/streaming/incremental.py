@@ -1,7 +1,8 @@
 """Scanning files as they arrive.
 
 The scan works on single rows, so the same function takes a streaming table. Each
-micro-batch overwrites its own folder, which makes a repeated batch harmless.
+micro-batch overwrites its own folder, and the registry takes its outcomes once, which makes a
+repeated batch harmless.
 """
 
 from __future__ import annotations
@@ -9,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.operators.registry import latest
 from gatewarden.operators.rules import LineRule
 from gatewarden.operators.scan import scan
+from gatewarden.sources.registry_store import RegistryStore
 
 
 def scan_arrivals(files: DataFrame, folder: str, extra_rules: tuple[LineRule, ...] = ()) -> None:
     """Scan all files available now from the stream ``files``.
 
     Findings go to ``folder/findings`` and one outcome per repository and batch
-    to ``folder/outcomes``. Calling it again with the same folder takes up only
+    to the registry in ``folder/registry``. Calling it again with the same folder takes up only
     what has arrived since.
     """
 
@@ -32,7 +33,8 @@ def scan_arrivals(files: DataFrame, folder: str, extra_rules: tuple[LineRule, ..
             F.lit(True).alias("success"),
             F.lit("scanned").alias("message"),
         )
-        outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={batch_id}")
+        # The findings are there when the outcome says so.
+        RegistryStore(batch.sparkSession, f"{folder}/registry").apply(outcomes, "scan", batch_id)
 
     query = (
         files.writeStream.foreachBatch(write)
@@ -49,4 +51,4 @@ def read_findings(spark, folder: str) -> DataFrame:
 
 def read_registry(spark, folder: str) -> DataFrame:
     """Last outcome of each repository over all batches."""
-    return latest(spark.read.parquet(f"{folder}/outcomes").drop("batch"))
+    return RegistryStore(spark, f"{folder}/registry").read()

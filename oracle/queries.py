@@ -51,6 +51,9 @@ _SQL: dict[str, str] = {
         FROM (SELECT * FROM repo_paths WHERE repo_ord IN
               (SELECT repo_ord FROM repos ORDER BY repo_ord LIMIT {catalog.ANALYZED})) p
         JOIN findings f ON f.full_name = p.full_name AND f.path = p.path""",
+    "scan_stored": """SELECT f.full_name, p.repo_ord, p.wf_ord, f.path, rule_id, detector_ord, rule_ord,
+        emit_pos, type, severity, line, details
+        FROM repo_paths p JOIN findings f ON f.full_name = p.full_name AND f.path = p.path""",
     "findings_enriched": """SELECT full_name, path, rule_id, type, severity, line, description, impact, exploit,
         mitigation, refs FROM findings JOIN texts USING (rule_id)""",
     "summary_total": "SELECT count(*) AS findings FROM findings",
@@ -122,6 +125,8 @@ _SQL: dict[str, str] = {
         {_STAMP.format('created_at')} FROM meta WHERE is_fork""",
     "repo_name_strict": "SELECT repo_ord, full_name FROM repos WHERE len(string_split(full_name, '/')) = 2",
     "registry_upsert": f"SELECT full_name, {_STAMP.format('processed_at')}, success, message FROM registry",
+    **{name: f"SELECT full_name, {_STAMP.format('processed_at')}, success, message FROM registry"
+       for name in ("registry_one_line", "registry_store")},
     "registry_export": """SELECT full_name, concat('{"', full_name, '":{"full_name":"', full_name, '","processed_at":"',
         strftime(processed_at, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","success":', CASE WHEN success THEN 'true' ELSE 'false' END,
         CASE WHEN message IS NULL THEN '' ELSE concat(',"message":"', message, '"') END, '}}') AS value FROM registry""",
