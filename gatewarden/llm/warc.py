@@ -12,7 +12,9 @@ record and the digest of a stored payload are validated; a damaged archive raise
 
 Defined results: a null page is an empty payload; a null url leaves out its header; a
 null id comes back as null and only stands for others if its group has no other id;
-repeated rows of the smallest id are all responses. Further columns are never read.
+repeated rows of the smallest id are all responses, of which revisits name one; every record
+has an id of its own. Rows are told apart by their place, which has to be the same each time
+``pages`` is read, as in a table. Further columns are never read.
 """
 
 from __future__ import annotations
@@ -55,23 +57,29 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _urn(page_id: int | None, digest: str, row: int | None = None) -> str:
+    """The id of a record; without ``row``, of the one that stands for its payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{row}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """The bytes of a record; a revisit keeps the HTTP head, which tells the length of the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE,
+           row: int | None = None) -> bytes:
+    """The bytes of a record; a revisit keeps the HTTP head, which tells the length of the payload.
+
+    ``row`` tells records of equal ids and payloads apart; the one that revisits name has none.
+    """
+    digest = base32_sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _urn(page_id)),
-            ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"),
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _urn(page_id, digest, row)),
+            ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"),
             ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if url is not None:
         head.append(("WARC-Target-URI", urllib.parse.quote(url, safe="".join(map(chr, range(33, 127))))))
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to)), ("X-Refers-To-Page-ID", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head).encode()
     return VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
 
@@ -160,8 +168,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[bytes]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = {k: batch.column(k)[i].as_py() for k in ("page_id", "url", "html", "refers_to")}
-                yield record(x["page_id"], x["url"], x["html"].encode(), x["refers_to"])
+                x = {k: batch.column(k)[i].as_py() for k in ("page_id", "url", "html", "refers_to", "row")}
+                yield record(x["page_id"], x["url"], x["html"].encode(), x["refers_to"], row=x["row"])
 
     todo, sample, size = records(), [], 0
     for data in todo:
@@ -198,14 +206,18 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """The archives of ``page_id, url, html``, written to the shared folder."""
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        whole_text("html").alias("html"))
+                        whole_text("html").alias("html"), F.monotonically_increasing_id().alias("row"))
     digest = F.sha2("html", 256)
     # only payloads that occur again are kept: one row each, however many copies there are
     again = page.where(F.octet_length("html") >= least_revisit).groupBy(digest.alias("of")).agg(
-        F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"),
+        F.count("*").alias("copies"),
+    ).where("copies > 1").select("of", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
     page = page.join(broadcast_if_bounded(again, ("of",)), digest == F.col("of"), "left")
     revisits = F.when((F.col("first_id") != F.col("page_id")) | F.col("page_id").isNull(), F.col("first_id"))
-    return cut_lineage(page.select("page_id", "url", "html", revisits.alias("refers_to")).mapInArrow(_pack, ARCHIVE))
+    row = F.when(F.col("first_row").isNull() | (F.col("first_row") != F.col("row")), F.col("row"))
+    columns = page.select("page_id", "url", "html", revisits.alias("refers_to"), row.alias("row"))
+    return cut_lineage(columns.mapInArrow(_pack, ARCHIVE))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

@@ -274,6 +274,22 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    rows = [(4, "same"), (4, "same"), (4, "other"), (9, "same"), (9, "same"), (None, "same"), (None, "lone"), (None, "lone"), (7, "x"), (7, "y")] * 3
+    spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'u' AS url", "5 AS row", "6 AS first_row").repartition(3).write.parquet(str(tmp_path / "p"))
+    for least in (0, 4, 1_000):
+        archives = warc.write_archives(spark.read.parquet(str(tmp_path / "p")), least).collect()
+        heads = [warc._fields(data.partition(b"\r\n\r\n")[0].partition(b"\r\n")[2]) for a in archives for data in warc.frames(a.content)]
+        kind = {h["WARC-Record-ID"]: h for h in heads}
+        assert len(kind) == len(heads) == len(rows)
+        revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+        assert bool(revisits) == (least < 1_000)
+        for h in revisits:
+            named = kind[h["WARC-Refers-To"]]
+            assert named["WARC-Type"] == "response" and named["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+            assert named["X-Page-ID"] == h["X-Refers-To-Page-ID"]
+
+
 def test_warc_dictionary_and_damage():
     records = [warc.record(i, f"http://x/{i}", f"<html><body>page {i} of a site</body></html>".encode() * 3, None) for i in range(500)]
     writer = warc.Writer(warc.train(records))
