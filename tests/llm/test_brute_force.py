@@ -78,6 +78,19 @@ def test_op1_on_overlapping_passages(spark):
     assert cleaned(docs.repartition(5), chunk_bytes=5_000, range_suffixes=10) == want
 
 
+def test_op1_with_a_third_of_equal_rows(spark):
+    """Every suffix of the copies occurs once for each of them."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("klmnopqrst "), n))
+    copy = word(900)
+    rows = [(i, copy) for i in range(60)] + [(100 + i, word(700)) for i in range(110)]
+    rows += [(300 + i, word(50 + i) + copy[i * 20 : i * 20 + 380 + 5 * i] + word(30)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = expected(rows)
+    for sizes in ({}, {"chunk_bytes": 6_000, "range_suffixes": 30}):
+        assert cleaned(docs, **sizes) == want
+
+
 def test_merge_of_runs():
     rng = np.random.default_rng(2)
     for k in (0, 1, 2, 5, 8):

@@ -317,3 +317,73 @@ def test_neighbours(spark):
     assert [got[1][k] for k in (1, 2, 3, 4, 5)] == [(6, 1.0), (8, root), (11, root), (7, 0.0), (10, -1.0)]
     assert got[8][1] == (11, 1.0) and 8 not in {v for v, _ in got[8].values()}
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
+
+
+INSULTING = "you are a pathetic idiot and everybody here knows that you are stupid trash {}"
+PLAIN = "the committee met on monday to read the report about harvests and rivers {}"
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """A model that was fitted, not the fixed lexicon."""
+    rows = [(i, (INSULTING if i % 3 == 0 else PLAIN).format(f"number {i} " * (i % 7)), int(i % 3 == 0)) for i in range(240)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(known.select("doc_id", "text"), known.select("doc_id", "toxic"))
+    assert model.trees is not None
+    return known, model
+
+
+def test_a_fitted_toxicity_model_on_edges(spark, fitted, docs, empty):
+    known, model = fitted
+    rows = model.score(docs).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
+    assert len({round(r.score, 9) for r in rows if not r.text}) == 1
+    assert all(r.predicted == int(r.score >= 0.7) for r in rows) and not any(r.predicted for r in rows)
+    assert model.score(empty).count() == 0
+    long = spark.createDataFrame([(1, PLAIN.format("") * 3_000), (2, INSULTING.format("") * 3_000)], "doc_id long, text string")
+    assert [r.predicted for r in model.score(long).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_a_fitted_model_parts_insults_from_plain_texts(spark, fitted):
+    known, _ = fitted
+    fresh = [(1000 + i, (INSULTING if i % 2 else PLAIN).format(f"item {i}")) for i in range(20)] + [(2000, None), (2001, "")]
+    table = known.select("doc_id", "text").unionByName(spark.createDataFrame(fresh, "doc_id long, text string"))
+    left = {r.doc_id for r in toxicity.drop_toxic(table, known.select("doc_id", "toxic")).collect()}
+    assert {i for i, _ in fresh if i in left} == {i for i, _ in fresh if i >= 2000 or i % 2 == 0}
+
+
+def test_features_counted_by_hand(spark):
+    text = "You idiot! SHUT up now, w0rd."
+    row = spark.createDataFrame([(text,)], "text string").select(*toxicity.features(toxicity.F.col("text"), (), ())).first()
+    assert row.f_insults == 2 / 6 and row.f_loose == row.f_strict == 0
+    assert row.f_you == 1 / 6 and row.f_near_you == 1 / 6
+    assert row.f_capitals == 5 / len(text) and row.f_emphasis == 1 / len(text)
+    assert row.f_punctuation == 2 / len(text) and row.f_signs == 1 / 6 and row.f_digits == 1 / len(text)
+
+
+def stored(spark, folder, rows, labelled):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    out = corpus_pipeline.run(spark, stored(spark, tmp_path, [], []))
+    assert out.count() == 0 and {"doc_id", "lang", "source", "ids"} <= set(out.columns)
+
+
+def test_pipeline_with_null_and_repeated_ids_and_no_labels(spark, tmp_path):
+    plain = [PLAIN.format(" ".join(f"{w}{i}" for w in ("ash", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple", "oak", "pine"))) for i in range(12)]
+    near = plain[0] + " " + " ".join(f"tree{i}" for i in range(40))
+    rows = [(i, t, "en", "s1") for i, t in enumerate(plain)]
+    rows += [(None, near, "en", None), (None, near + " once more", None, None), (3, "a text of its own under an id that is taken", "en", "s2"), (50, None, None, "s2"), (51, "", "en", "s2")]
+    rows += [(60, INSULTING.format(""), "en", "s1"), (61, plain[1].upper(), "en", "s1"), (61, plain[1].upper(), "en", "s1")]
+    out = corpus_pipeline.run(spark, stored(spark, tmp_path, rows, [])).collect()
+    assert all(r.same_text for r in out)
+    import hashlib
+    digests = {r.decoded_sha256 for r in out}
+    of = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert of(INSULTING.format("")) not in digests
+    # Of equal texts the largest id stays, of near copies one.
+    assert of(plain[1].upper()) in digests and of(plain[1]) not in digests
+    assert len({of(near), of(near + " once more")} & digests) == 1
