@@ -16,6 +16,17 @@ from gatewarden.operators.scan import FINDING_ORDER, with_catalog
 from gatewarden.session import cut_lineage, temporary_tables
 
 BAR_WIDTH = 20
+#: General advice, the last block of a report.
+ADVICE = """
+## What to do in general
+
+1. State `permissions` in every workflow, read-only at the top, and widen them for single jobs.
+2. Pin actions of others to a full commit hash; a tag or a branch can be moved.
+3. Pass values from events to scripts through environment variables, and check their form first.
+4. Keep jobs that hold secrets apart from jobs that run code of a pull request.
+5. Never print a secret, and hand it only to the step that needs it.
+6. Let a code scanner, a secret scanner and a dependency updater run on every repository.
+"""
 
 
 def total(findings: DataFrame) -> DataFrame:
@@ -167,7 +178,8 @@ def report(
             ),
         )
     )
-    return head.unionByName(bars).unionByName(types).unionByName(details).unionByName(listed)
+    advice = findings.sparkSession.range(1).select(*_block(4, zero, zero, F.lit(ADVICE)))
+    return head.unionByName(bars).unionByName(types).unionByName(details).unionByName(listed).unionByName(advice)
 
 
 def write_report(

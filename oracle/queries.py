@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gatewarden.operators import render, sarif
+from gatewarden.operators import render, report, sarif
 from gatewarden.plans import catalog
 from oracle.parts import ecosystem, quote, trim, with_parts
 
@@ -83,7 +83,8 @@ _SQL: dict[str, str] = {
         UNION ALL SELECT 3, type_rank, o.occurrence, concat('### Occurrence ', o.occurrence, ' - ', o.full_name, ' ', o.path,
                ', line ', o.line, chr(10), chr(10), '    ', {trim('o.details')}, chr(10))
                FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY {_ORDER}) AS occurrence FROM findings) o
-               JOIN ({_RANKED}) r ON r.type = o.type""",
+               JOIN ({_RANKED}) r ON r.type = o.type
+        UNION ALL SELECT 4, 0, 0, '{report.ADVICE}'""",
     "sarif_rules": f"""SELECT replace(type, ' ', '') AS id, type AS name, description AS short_description,
         impact AS full_description, mitigation AS help, {_SCORE} AS security_severity,
         'security,github-actions,ci-cd' AS tags FROM ({_FIRST}) JOIN texts USING (rule_id)""",
