@@ -3,6 +3,7 @@
 import pytest
 
 from gatewarden import corpus
+from gatewarden.operators.scan import scan
 from gatewarden.plans import catalog
 
 
@@ -36,3 +37,13 @@ def test_own_rules_scan_once(spark, tables):
     # What is returned reads the findings as written, not the tables.
     assert not [f for f in found.inputFiles() if "/orders.parquet" in f]
     assert found.where("part = 'result'").count() > 0
+
+
+def test_an_arrival_is_many_files(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "ROWS_PER_TASK", 5)
+    monkeypatch.setattr(catalog, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
+    found = catalog.QUERIES["scan_incremental"](spark, tables)
+    files = list((tmp_path / "arrivals" / "orders.parquet").glob("part-*.parquet"))
+    assert len(files) == catalog.ARRIVALS * 5
+    assert len(list((tmp_path / "incremental" / "findings").glob("batch=*"))) == catalog.ARRIVALS
+    assert _rows(found) == _rows(scan(corpus.workflow_files(spark, tables)).select(*found.columns))
