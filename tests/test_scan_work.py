@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewarden.functions.header import HEADER, with_fields
+from gatewarden.operators.scan import scan
 
 
 
@@ -11,6 +12,10 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def found(df):
+    return sorted((r.repo_ord, r.rule_id, r.line) for r in df.collect())
+
+
 @pytest.fixture
 def stored(files_of, tmp_path, spark):
     """Files that are read from a table, so that a plan shows what is done with a content."""
@@ -33,3 +38,18 @@ def test_top_lines_end_at_line_feeds_only(files_of):
     texts = ["on: push\npermissions: {}\n\u2028", "on: push\npermissions: {}\n\u0085x", "on: push\npermissions: {}\n \r\n\r\n# c\r\n\t# d"]
     header = with_fields(files_of(texts)).orderBy("repo_ord")
     assert [r[0] for r in header.select(HEADER + "parse_ok").collect()] == [False, False, True]
+
+
+def test_rules_on_files_unnest_no_lines(stored):
+    files = stored(["on: push", "on: push\npermissions: {}", "- no mapping"])
+    alone = scan(files, ["R08"])
+    assert "posexplode" not in plan_of(alone)
+    assert found(alone) == [(0, "R08", 0)]
+
+
+@pytest.mark.parametrize("line, rules", [
+    ("\u00a0 \trun: |", {"R12"}), ("\u2028run:|", {"R12"}), ("   run: | ", {"R12"}), ("run: x", set()), ("\r", set()), ("\x7frun: |", set()),
+])
+def test_script_opens_behind_any_blank(files_of, line, rules):
+    text = f"on: push\npermissions: {{}}\nx:\n {line}\n  echo ${{{{ github.event.issue.title }}}}"
+    assert {r.rule_id for r in scan(files_of([text])).collect()} == rules
