@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gatewarden.functions.header import HEADER, with_fields
 from gatewarden.operators.scan import scan
 
+TOP = "on: pull_request_target\npermissions: read-all\n"
 
 
 def plan_of(df) -> str:
@@ -53,3 +54,15 @@ def test_rules_on_files_unnest_no_lines(stored):
 def test_script_opens_behind_any_blank(files_of, line, rules):
     text = f"on: push\npermissions: {{}}\nx:\n {line}\n  echo ${{{{ github.event.issue.title }}}}"
     assert {r.rule_id for r in scan(files_of([text])).collect()} == rules
+
+
+def test_files_without_needles_are_not_parsed(stored):
+    texts = [
+        TOP + "s:\n - uses: actions/checkout@v4\n   ref: ${{ github.event.pull_request.head.sha }}",
+        TOP + "s:\n - uses: actions/checkout@v4",
+        TOP + "s:\n   ref: ${{ github.event.pull_request.head.sha }}",
+        "",
+    ]
+    only = scan(stored(texts), ["R10"])
+    assert "Contains(content" in plan_of(only).split("_raw")[-1]
+    assert found(only) == [(0, "R10", 5)]
