@@ -21,9 +21,9 @@ def found(df):
 def stored(files_of, tmp_path, spark):
     """Files that are read from a table, so that a plan shows what is done with a content."""
 
-    def build(texts):
-        files_of(texts).write.parquet(str(tmp_path / "files"))
-        return spark.read.parquet(str(tmp_path / "files"))
+    def build(texts, name="files"):
+        files_of(texts).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
 
     return build
 
@@ -66,3 +66,43 @@ def test_files_without_needles_are_not_parsed(stored):
     only = scan(stored(texts), ["R10"])
     assert "Contains(content" in plan_of(only).split("_raw")[-1]
     assert found(only) == [(0, "R10", 5)]
+
+
+def test_header_looks_for_marks_and_keys_in_lines_without_indent(stored):
+    """The content is not measured, and is searched for an opening bracket only where its first letter allows one."""
+    plan = plan_of(with_fields(stored(["on: push"])).select("path", HEADER + "parse_ok"))
+    assert "length(content" not in plan and "ascii(_raw" in plan
+    texts = [
+        "on: push\n  --- x\n  ...\n  %y\npermissions: {}", "--- {on: push,\n permissions: {contents: admin}}", " \n---\non: push\n...\nx y",
+        "k:\t'a\nb: c'\non: push", "k: 'a\nb: c'\non: push\nb: d", "\ufeff on: push", "on: push\nx: 'it\n  goes on'\n", "\n  {on: push}", "on-x: a\non_x : b\n",
+    ]
+    header = with_fields(stored(texts, "tops")).orderBy("repo_ord")
+    got = [tuple(r) for r in header.select(HEADER + "parse_ok", HEADER + "permissions_form", HEADER + "triggers").collect()]
+    pushed = (True, "absent", ["push"])
+    assert got == [(True, "flow map", ["push"])] * 2 + [pushed] * 3 + [(True, "absent", [])] + [pushed] * 2 + [(True, "absent", [])]
+
+
+def test_tokens_are_lines_like_others(stored):
+    """No function runs over all lines of a file for them; the lines around are looked at for token lines alone."""
+    token = " token: ${{ secrets.GITHUB_TOKEN }}"
+    texts = ["\n".join(["on: push", "x:", " permissions:", *[" a"] * n, token, *[" b"] * m, " permissions:"]) for n, m in [(9, 9), (10, 9), (10, 8), (9, 8)]]
+    tokens = scan(stored(texts), ["R09"])
+    assert "exists(" not in plan_of(tokens) and "posexplode" in plan_of(tokens)
+    assert found(tokens) == [(1, "R09", 14)]
+
+
+@pytest.mark.parametrize("between, rules", [
+    (["", " \u00a0", "  echo"], {"R12"}), (["", "  # x", ""], set()), ([" \u3000- x"], set()), (["  x # y - run: |"], {"R12"}), ([" run: y"], set()), (["  echo run: | run: |", "  x"], {"R12"}),
+])
+def test_scripts_are_taken_apart_only_where_event_data_is_in_one(stored, between, rules):
+    text = "\n".join(["on: push", "permissions: {}", "x:", " run: |", *between, "  echo ${{ github.event.issue.title }}"])
+    scripts = scan(stored([text]), ["R12"])
+    assert "run: ?" in plan_of(scripts)
+    assert {r.rule_id for r in scripts.collect()} == rules
+
+
+@pytest.mark.parametrize("line, shown", [
+    ("  uses: a/b\u00a0", "uses: a/b"), ("  uses: a/b\t \x0b", "uses: a/b"), (" \tuses: a/b\r", "uses: a/b"), (" uses: \u00e9 ", "uses: \u00e9"), (" \u2003uses: a", "uses: a"),
+])
+def test_lines_lose_all_blanks_at_their_ends(files_of, line, shown):
+    assert [r.details for r in scan(files_of(["on: push\nx:\n" + line]), ["R02"]).collect()] == [shown]
