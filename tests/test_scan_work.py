@@ -106,3 +106,13 @@ def test_scripts_are_taken_apart_only_where_event_data_is_in_one(stored, between
 ])
 def test_lines_lose_all_blanks_at_their_ends(files_of, line, shown):
     assert [r.details for r in scan(files_of(["on: push\nx:\n" + line]), ["R02"]).collect()] == [shown]
+
+
+@pytest.mark.parametrize("line, hit", [
+    ("ECHO ${{ \u017fECRET\u017f.X }}", True), ("con\u017fole.LOG ${{ Secrets.X }}", True), ("PrINT \u0130 ${{ SECRETS.x", True), ("pr\u0131nt ${{ secrets.X }}", False),
+    ("\u00c9 cAt ${{\tsecretS.", True), ("echo ${{ secret.X }}", False), ("print ${{ env.X }} secrets.", False), ("dump ${{ secrets.X }}", False),
+])
+def test_patterns_in_any_case_are_tried_only_where_their_letters_are(stored, line, hit):
+    found = scan(stored(["on: push\nx:\n - " + line]), ["R04"])
+    assert "lower(line" in plan_of(found)
+    assert [r.line for r in found.collect()] == [3] * hit
