@@ -140,3 +140,21 @@ def test_a_run_without_findings_writes_one_document(spark, tmp_path):
     assert json.loads(line.value)["runs"][0]["results"] is None
     (place,) = sarif.read_index(spark, path).collect()
     assert (place.full_name, place.file, place.offset, place.bytes) == (None, 0, 0, len(line.value) + 1)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_findings_of_a_written_table(spark):
+    """Null comes first, ties of the first column are told apart by the others, types may be null; few rows are compared."""
+    rows = [finding(i, r) for i, r in enumerate(["R02", "R03", "R08", "R08", "R12"])]
+    rows = [(r[0], k, *r[2:8], t or r[8], *r[9:]) for r, k, t in zip(rows, [4, 4, None, 1, 7], [None] * 5)]
+    rows += [(*rows[0][:8], None, *rows[0][9:])]
+    found = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, report.first_of_type(found).collect()))
+    once = report.first_of_type(found, written=True)
+    assert sorted(map(str, once.collect())) == want and len(want) == 4
+    assert "Join" in plan_of(once)
+    blocks = report.report(golden(spark), "t")
+    assert plan_of(blocks).count("_least") > 0
