@@ -91,6 +91,20 @@ def test_op1_with_a_third_of_equal_rows(spark):
         assert cleaned(docs, **sizes) == want
 
 
+def test_op1_rows_follow_groups_of_chunks(spark):
+    """A bucket gets a row from a group, not from each chunk; a group is bounded by bytes as well."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefgh "), n)) for n in [3_000] * 40 + [60_000, 3_000, 3_000]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    chunks = docs.mapInArrow(lambda batches: suffix_dedup._pack(batches, 3_000), suffix_dedup.CHUNK).cache()
+    groups = [r.chunk >> suffix_dedup.GROUP_BITS for r in chunks.orderBy("chunk").collect()]
+    assert groups == [0] * 16 + [1] * 16 + [2] * 9 + [3] * 2
+    cores = chunks.select("chunk", "sizes", "data").mapInArrow(suffix_dedup._cores(3), suffix_dedup.CORES)
+    assert sorted((r.grp, r.bucket) for r in cores.collect()) == [(g, b) for g in range(4) for b in range(3)]
+    copies = docs.union(docs.selectExpr("doc_id + 100", "text")).repartition(3)
+    assert all(kept == b"" for kept, _ in cleaned(copies, chunk_bytes=3_000, range_suffixes=200).values())
+
+
 def test_merge_of_runs():
     rng = np.random.default_rng(2)
     for k in (0, 1, 2, 5, 8):
