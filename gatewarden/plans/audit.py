@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewarden.operators import collect, languages, registry, render, report, sarif
-from gatewarden.operators.ranking import bounded_by
+from gatewarden.operators.ranking import MAX_BROADCAST_ROWS, bounded_by
 from gatewarden.operators.rules import LineRule
 from gatewarden.operators.scan import scan
-from gatewarden.sources.contents import listed_contents
+from gatewarden.sources.contents import listed_contents, marked_contents
 from gatewarden.sources.text_lists import write_manifest
 
 DEFAULT_ANALYZED = 50
@@ -30,8 +30,9 @@ def scan_listed(repos: DataFrame, contents: DataFrame, limit: int | None = DEFAU
     """Findings of the first ``limit`` listed repositories, in list order.
 
     The distinct listed paths go to the files first, so that only listed files are
-    scanned however long the list is; the findings, which are smaller than the
-    contents, then meet the list. ``only`` names one repository in place of the limit.
+    scanned; the findings, which are smaller than the contents, then meet the list. A
+    list too long to be broadcast goes there as marks: a few other files are scanned
+    too, but no content moves, and the findings still meet the list. ``only`` names one repository in place of the limit.
     ``stored`` says that ``contents`` is a store (``contents.write_store``): no content is
     moved then, and of one repository only its row groups are read.
     """
@@ -41,7 +42,12 @@ def scan_listed(repos: DataFrame, contents: DataFrame, limit: int | None = DEFAU
     elif limit is not None:
         repos = repos.orderBy("repo_ord").limit(limit)
     paths = collect.manifest_paths(repos)
-    listed = listed_contents(paths, contents, stored)
+    count = paths.count() if only is None and limit is None and not stored else 0
+    if count <= MAX_BROADCAST_ROWS:
+        listed = listed_contents(paths, contents, stored)
+    else:
+        listed = marked_contents(paths, contents, count)
+        paths = paths.hint("shuffle_hash")
     found = scan(
         listed.selectExpr("full_name", "0L as repo_ord", "0 as wf_ord", "path", "content"),
         extra_rules=extra_rules,
@@ -54,11 +60,13 @@ def analyze_flow(repos: DataFrame, contents: DataFrame, path: str, run_time: str
                  run_start: str, run_end: str, form: str = "md",
                  limit: int | None = DEFAULT_ANALYZED, extra_rules: tuple[LineRule, ...] = (),
                  only: str | None = None, information_uri: str | None = None,
-                 stored: bool = False) -> None:
-    """Scan and report; ``sarif`` gives exchange documents, anything else Markdown."""
+                 stored: bool = False, compression: str | None = None) -> None:
+    """Scan and report; ``sarif`` gives exchange documents (in files of a ``compression``), anything else Markdown."""
     findings = scan_listed(repos, contents, limit, extra_rules, only, stored)
     if form == "sarif":
-        sarif.write_sarif(findings, run_start, run_end, path, extra_rules, information_uri)
+        sarif.write_sarif(
+            findings, run_start, run_end, path, extra_rules, information_uri, compression=compression
+        )
     else:
         report.write_report(findings, run_time, path, extra_rules)
 

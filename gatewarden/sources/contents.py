@@ -76,6 +76,39 @@ def open_store(spark: SparkSession, folder: str, table: str, buckets: int) -> Da
     return spark.table(table)
 
 
+#: Bits for each path that marks a list, most bits of all marks, and bits of a page of marks.
+PATH_BITS, MOST_BITS, PAGE_BITS = 8, 1 << 28, 1 << 15
+
+
+def marked_contents(paths: DataFrame, contents: DataFrame, count: int) -> DataFrame:
+    """The rows of ``contents`` whose file may be one of the ``count`` listed ones; no listed one is missed.
+
+    For lists that are too long to be broadcast. Each path sets the bit that its hash names; the
+    bits are broadcast (32 MB at most), so no content moves. Of the files that are not listed few
+    pass, more if the list is so long that the bits get scarce.
+    """
+    bits = PAGE_BITS
+    while bits < min(PATH_BITS * count, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64(*STORE_KEYS), F.lit(bits)).alias("_place")
+    none = paths.sparkSession.range(bits // 64).selectExpr("id as word", "0L as bit")
+    words = (
+        paths.select(place)
+        .selectExpr("_place div 64 as word", "shiftleft(1L, cast(_place % 64 as int)) as bit")
+        .unionByName(none)
+        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    )
+    page = F.collect_list(F.struct("word", "bits"))
+    pages = words.groupBy(F.expr(f"word div {PAGE_BITS // 64}").alias("_page")).agg(F.sort_array(page)["bits"].alias("_marks"))
+    word = f"get(_marks, cast(_place div 64 % {PAGE_BITS // 64} as int))"
+    return (
+        contents.select("*", place)
+        .join(F.broadcast(pages), F.expr(f"_place div {PAGE_BITS}") == F.col("_page"))
+        .where(f"shiftrightunsigned({word}, cast(_place % 64 as int)) % 2 <> 0")
+        .select(*contents.columns)
+    )
+
+
 def listed_contents(paths: DataFrame, contents: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of ``contents`` that are listed in ``paths``, each once.
 

@@ -6,6 +6,7 @@ from gatewarden import corpus
 from gatewarden.operators.scan import scan, workflow_lines
 from gatewarden.plans import audit
 from gatewarden.plans.catalog import QUERIES
+from gatewarden.sources import contents
 from gatewarden.sources.text_lists import read_manifest
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,34 @@ def test_long_list_gives_the_same_findings(spark):
     assert bag(audit.scan_listed(repos, files, None)) == bag(audit.scan_listed(repos, files, 10_000))
 
 
+def test_a_list_beyond_a_broadcast_moves_no_content(spark, monkeypatch):
+    """The list goes to the files as marks; what passes beside it is left out when the findings meet the list."""
+    text = "on: push\njobs:\n  build:\n    steps:\n      - uses: acme/tool@main"
+    files = [(f"o/r{i % 50}" if i % 97 else None, i, 0, f"w{i}.yml", text) for i in range(400)] * 2
+    files = spark.createDataFrame(files, "full_name string, repo_ord long, wf_ord int, path string, content string")
+    listed = [(i, "o", f"r{i}", f"o/r{i}", [f"w{i}.yml", f"w{i + 50}.yml", f"w{i}.yml"]) for i in range(20)]
+    listed += [(30, "o", None, None, ["w97.yml"]), *listed[:3]]
+    repos = spark.createDataFrame(listed, "repo_ord long, owner string, name string, full_name string, workflows array<string>")
+
+    def bag(df):
+        return sorted(map(str, df.collect()))
+
+    short = bag(audit.scan_listed(repos, files, None))
+    assert len(short) > 100
+    monkeypatch.setattr(audit, "MAX_BROADCAST_ROWS", 10, raising=False)
+    found = audit.scan_listed(repos, files, None)
+    assert "LeftSemi" not in plan_of(found) and bag(found) == short
+    paths = spark.createDataFrame([("o/r1", f"w{i}.yml") for i in range(1, 100)], "full_name string, path string")
+    marked = contents.marked_contents(paths, files, 99).select("full_name", "path")
+    exact = files.join(paths, ["full_name", "path"], "left_semi").select("full_name", "path")
+    assert marked.exceptAll(exact).count() < 40 and exact.exceptAll(marked).count() == 0
+    monkeypatch.setattr(contents, "PAGE_BITS", 128)
+    monkeypatch.setattr(contents, "MOST_BITS", 128)
+    assert bag(audit.scan_listed(repos, files, None)) == short
+    monkeypatch.setattr(contents, "MOST_BITS", 1 << 12)
+    assert bag(audit.scan_listed(repos, files, None)) == short
+
+
 def test_one_repository_and_own_rules_reach_the_outputs(spark, tmp_path):
     from gatewarden.operators.collect import parse_manifest
     from gatewarden.plans.catalog import OWN_RULE

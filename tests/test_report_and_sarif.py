@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -133,6 +134,23 @@ def test_written_documents_are_cut_into_files_by_bytes(spark, tmp_path):
     assert sarif.read_documents(spark, path, "o/none").count() == 0
 
 
+def test_compressed_files_hold_the_same_documents(spark, tmp_path):
+    """The same texts in the same files at the same places, in less than a tenth of the bytes; one file holds one document."""
+    rows = [finding(i, "R04", "o/hot" if i % 3 == 0 else f"o{i % 7}/r{i % 20}") for i in range(4500)]
+    found, texts, places, sizes = spark.createDataFrame(rows, SCHEMA), {}, {}, {}
+    for form in (None, "gzip"):
+        path = str(tmp_path / str(form))
+        sarif.write_sarif(found, "s", "e", path, file_bytes=100_000, compression=form)
+        parts = list((tmp_path / str(form)).glob("file=*/part-*"))
+        sizes[form] = sum(p.stat().st_size for p in parts)
+        assert {p.suffix for p in parts} == {".gz" if form else ".txt"}
+        texts[form] = {p.parent.name: gzip.decompress(p.read_bytes()) if form else p.read_bytes() for p in parts}
+        places[form] = sorted(map(tuple, sarif.read_index(spark, path).collect()))
+        assert sarif.read_documents(spark, path, "o/hot").count() == 2
+    assert texts[None] == texts["gzip"] and places[None] == places["gzip"] and len(texts[None]) > 8
+    assert sizes["gzip"] * 10 < sizes[None]
+
+
 def test_a_run_without_findings_writes_one_document(spark, tmp_path):
     path = str(tmp_path / "none")
     sarif.write_sarif(spark.createDataFrame([], SCHEMA), "s", "e", path)
